@@ -1,0 +1,153 @@
+"""First 30-days-past-due labels per horizon and a multinomial risk model on them."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from loanspan.contracts import CORE_PREDICTORS, CUTOFF, ContractError, merge_rows
+from loanspan.functions import months as M
+from loanspan.functions.codes import true
+
+OUTCOMES = [0, 1, 2]
+TRAIN_LAST_VINTAGE = 2022
+PENALTY = 1.0
+
+
+def first_overdue_ages(
+    loans: DataFrame, performance: DataFrame, orig: DataFrame, cutoff: int = CUTOFF
+) -> DataFrame:
+    """Eligible loans with the age of their first report of at least one month past due."""
+    first = (
+        performance.filter(
+            (F.col("reporting_period_num") <= cutoff) & (F.col("delinquency_num") >= 1)
+        )
+        .groupBy("loan_id")
+        .agg(F.min("reporting_period_num").alias("first_overdue_month"))
+    )
+    payment = M.date_month_index(F.col("first_payment_month"))
+    age = M.month_index(F.col("first_overdue_month")) - payment + 1
+    return (
+        loans.filter(true(F.col("survival_eligible")))
+        .select("loan_id", "vintage_year", "duration_months", "event_type", *CORE_PREDICTORS)
+        .join(first, "loan_id", "left")
+        .join(orig.select("loan_id", "first_payment_month"), "loan_id", "left")
+        .withColumn("first_30dpd_age", age)
+        .drop("first_overdue_month", "first_payment_month")
+    )
+
+
+def horizon_labels(data: DataFrame, horizon: int) -> DataFrame:
+    """`target` 0 overdue, 1 prepaid, 2 neither by the horizon; unobservable loans are removed.
+
+    Overdue wins over prepayment of the same month.
+    """
+    duration = F.col("duration_months")
+    raw = F.col("first_30dpd_age")
+    overdue = F.when((raw >= 1) & (raw <= duration), raw)
+    prepay = F.when(F.col("event_type") == "PREPAYMENT", duration)
+    by_overdue = overdue.isNotNull() & (overdue <= horizon) & (
+        prepay.isNull() | (overdue <= prepay)
+    )
+    by_prepay = prepay.isNotNull() & (prepay <= horizon) & (overdue.isNull() | (prepay < overdue))
+    observable = true(F.least(overdue, prepay) <= horizon) | true(duration >= horizon)
+    return data.filter(observable).withColumn(
+        "target", F.when(true(by_overdue), 0).when(true(by_prepay), 1).otherwise(2)
+    )
+
+
+def fit_outcome_model(labelled: DataFrame, train_last: int = TRAIN_LAST_VINTAGE):
+    """Median imputation with missing indicators, scaling and a multinomial logistic model.
+
+    Fitted on vintages up to `train_last`; returns the fitted pipeline model and the hold-out
+    metrics as a one-row DataFrame. The penalty matches a summed loss with unit inverse strength.
+    """
+    from pyspark.ml import Pipeline
+    from pyspark.ml.classification import LogisticRegression
+    from pyspark.ml.feature import Imputer, StandardScaler, VectorAssembler
+
+    train = _numeric(labelled.filter(F.col("vintage_year") <= train_last))
+    valid = _numeric(labelled.filter(F.col("vintage_year") > train_last))
+    counts = train.agg(
+        F.count("*").alias("n"),
+        F.count_distinct("target").alias("classes"),
+        *[F.count_if(F.isnan(c)).alias(c) for c in CORE_PREDICTORS],
+    ).first()
+    if counts["classes"] != len(OUTCOMES) or valid.isEmpty():
+        raise ContractError("Training needs all three outcomes and a later vintage to validate on.")
+    # Only predictors with missing training values get an indicator.
+    indicators = [f"missing_{c}" for c in CORE_PREDICTORS if counts[c]]
+    filled = [f"filled_{c}" for c in CORE_PREDICTORS]
+    stages = [
+        Imputer(
+            inputCols=CORE_PREDICTORS, outputCols=filled, strategy="median", relativeError=1e-4
+        ),
+        VectorAssembler(inputCols=filled + indicators, outputCol="raw_features"),
+        StandardScaler(inputCol="raw_features", outputCol="features", withMean=True, withStd=True),
+        LogisticRegression(
+            labelCol="target",
+            family="multinomial",
+            regParam=PENALTY / counts["n"],
+            elasticNetParam=0.0,
+            standardization=False,
+            maxIter=500,
+            tol=1e-8,
+        ),
+    ]
+    model = Pipeline(stages=stages).fit(train)
+    return model, outcome_metrics(model.transform(valid), counts["n"])
+
+
+def _numeric(data: DataFrame) -> DataFrame:
+    """Double predictors with NaN for missing, plus missing indicators."""
+    nan = F.lit(float("nan"))
+    return data.select(
+        "loan_id",
+        F.col("target").cast("double").alias("target"),
+        *[F.coalesce(F.col(c).cast("double"), nan).alias(c) for c in CORE_PREDICTORS],
+        *[F.col(c).isNull().cast("double").alias(f"missing_{c}") for c in CORE_PREDICTORS],
+    )
+
+
+def outcome_metrics(predicted: DataFrame, n_train: int) -> DataFrame:
+    """Accuracy, log-loss, and one-vs-rest AUC and Brier score per outcome."""
+    from pyspark.ml.functions import vector_to_array
+
+    rows = predicted.select(
+        F.col("target").cast("int").alias("target"),
+        F.col("prediction").cast("int").alias("prediction"),
+        vector_to_array("probability").alias("probability"),
+    )
+    own = F.greatest(F.element_at("probability", F.col("target") + 1), F.lit(1e-15))
+    base = rows.agg(
+        F.lit(n_train).alias("n_train"),
+        F.count("*").alias("n_valid"),
+        F.avg((F.col("target") == F.col("prediction")).cast("double")).alias("accuracy"),
+        (-F.avg(F.log(own))).alias("log_loss"),
+        *[
+            F.avg(
+                F.pow(
+                    F.element_at("probability", k + 1) - (F.col("target") == k).cast("double"), 2
+                )
+            ).alias(f"brier_{k}")
+            for k in OUTCOMES
+        ],
+    )
+    return merge_rows(base, *[_auc(rows, k) for k in OUTCOMES])
+
+
+def _auc(rows: DataFrame, k: int) -> DataFrame:
+    """One-vs-rest AUC from the binary evaluator's exact ROC points."""
+    from pyspark.ml.evaluation import BinaryClassificationEvaluator
+
+    scored = rows.select(
+        F.element_at("probability", k + 1).alias("score"),
+        (F.col("target") == k).cast("double").alias("label"),
+    )
+    kinds = scored.agg(F.count_distinct("label")).first()[0]
+    value = None
+    if kinds == 2:
+        value = BinaryClassificationEvaluator(
+            rawPredictionCol="score", labelCol="label", metricName="areaUnderROC", numBins=0
+        ).evaluate(scored)
+    return rows.sparkSession.createDataFrame([(value,)], f"auc_{k} double")
