@@ -42,7 +42,12 @@ RANKS = 16
 
 
 def _by_rank(rank: Column, values: list) -> Column:
-    return F.element_at(F.array(*[F.lit(v) for v in values]), rank + 1)
+    """values[rank], NULL for a NULL rank.
+
+    The explicit NULL branch matters: Spark infers `element_at` as never NULL from the array alone.
+    """
+    table = F.array(*[F.lit(v) for v in values])
+    return F.when(rank.isNotNull(), F.element_at(table, F.coalesce(rank, F.lit(0)) + 1))
 
 
 def _code_rank(code: Column) -> Column:
