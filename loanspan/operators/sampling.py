@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from loanspan.contracts import EVENT_TYPES, ContractError, require_columns
 
 PREFIX_DIGITS = 3
+FRACTION_SLICES = 1 << 14
 
 
 def sample_hash(column: str = "loan_id"):
@@ -69,23 +70,37 @@ def _size(requested, low: int, high: int) -> int:
 def nested_sample(frame: DataFrame, requested_loans: int) -> DataFrame:
     """Sample ids with every event present; a smaller sample is a prefix of a larger one.
 
-    The first loan of each stratum comes first, then loans by rank over stratum size.
+    The first loan of each stratum comes first, then loans by rank over stratum size. The order is
+    cut by counting loans per slice of that fraction: whole slices below the cut are a filter, and
+    only the slice the cut falls into is sorted.
     """
     counts = _strata(frame)
     _size(requested_loans, len(counts), sum(counts.values()))
+    rows = ranked(frame)
+    columns = ["loan_id", "event_type", "stratum_rank", "stratum_size"]
+    fraction = F.col("stratum_rank") / F.col("stratum_size")
+    rest = rows.filter(F.col("stratum_rank") > 0).withColumn(
+        "slice", F.floor(fraction * FRACTION_SLICES).cast("int")
+    )
+    sizes = rest.groupBy("slice").agg(F.count("*").alias("n")).orderBy("slice").collect()
+    left, cut = requested_loans - len(counts), FRACTION_SLICES
+    for row in sizes:
+        if row["n"] > left:
+            cut = row["slice"]
+            break
+        left -= row["n"]
+    chosen = [
+        rows.filter(F.col("stratum_rank") == 0),
+        rest.filter(F.col("slice") < cut),
+        rest.filter(F.col("slice") == cut)
+        .orderBy(fraction, "sample_hash", "event_type", "loan_id")
+        .limit(left),
+    ]
     return (
-        ranked(frame)
-        .withColumn("is_anchor", F.col("stratum_rank") == 0)
-        .withColumn("stratum_fraction", F.col("stratum_rank") / F.col("stratum_size"))
-        .orderBy(
-            F.desc("is_anchor"),
-            F.when(F.col("is_anchor"), F.lit(0.0)).otherwise(F.col("stratum_fraction")),
-            F.when(F.col("is_anchor"), F.col("event_type")).otherwise(F.col("sample_hash")),
-            "event_type",
-            "loan_id",
-        )
-        .limit(requested_loans)
-        .select("loan_id", "event_type", "stratum_rank", "stratum_size")
+        chosen[0]
+        .select(columns)
+        .unionByName(chosen[1].select(columns))
+        .unionByName(chosen[2].select(columns))
     )
 
 
