@@ -77,6 +77,8 @@ def scan_text(spark: SparkSession, paths, kind: str, vintage_year: int) -> DataF
         spark.read.schema(all_strings(fields))
         .option("sep", "|")
         .option("mode", "FAILFAST")
+        # With pruned parsing a row of the wrong length would pass unnoticed.
+        .option("columnPruning", "false")
         .option("enforceSchema", "true")
         # A quote is an ordinary character in these files.
         .option("quote", "\u0000")

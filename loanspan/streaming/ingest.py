@@ -21,6 +21,8 @@ def stream_text(spark: SparkSession, folder: str, kind: str) -> DataFrame:
         spark.readStream.schema(all_strings(fields))
         .option("sep", "|")
         .option("mode", "FAILFAST")
+        # With pruned parsing a row of the wrong length would pass unnoticed.
+        .option("columnPruning", "false")
         .option("quote", "\u0000")
         .option("pathGlobFilter", "*.txt")
         .csv(folder)
