@@ -251,7 +251,7 @@ class Fit:
     months: list[EventMonth]
 
 
-def newton(p: int, code: int, risk_of=at_risk_sums, penalty=0.0, tolerance=1e-9, max_steps=50):
+def newton(p: int, code: int, risk_of=at_risk_sums, penalty=0.0, tolerance=1e-14, max_steps=50):
     """Newton's method with step halving, as a generator.
 
     It yields the coefficients it wants evaluated and is sent their `MonthSums`, so several fits
