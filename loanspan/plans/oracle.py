@@ -68,7 +68,7 @@ SELECT loan_id,
   CASE WHEN k%43=0 THEN '999' ELSE (40+(k*31)%61+(k%3)*5)::VARCHAR END AS original_cltv,
   CASE WHEN k%41=0 THEN '999' ELSE (10+(k*19)%51)::VARCHAR END AS original_dti,
   (50000+(k*137)%450000)::VARCHAR AS original_upb,
-  (40+(k*31)%61)::VARCHAR AS original_ltv,
+  CASE WHEN k%59=0 THEN '999' ELSE (40+(k*31)%61)::VARCHAR END AS original_ltv,
   ((20+k%60)//10)::VARCHAR||'.'||((20+k%60)%10)::VARCHAR AS original_interest_rate,
   ['P','I','S','9'][k%4+1] AS occupancy_status, 'FRM' AS amortization_type,
   ['CA','TX','NY','FL','WA'][k%5+1] AS property_state,

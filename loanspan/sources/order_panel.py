@@ -121,7 +121,7 @@ def raw_origination(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.when(key % 43 == 0, "999").otherwise(text(ltv + (key % 3) * 5)).alias("original_cltv"),
         F.when(key % 41 == 0, "999").otherwise(text(10 + (key * 19) % 51)).alias("original_dti"),
         text(50000 + (key * 137) % 450000).alias("original_upb"),
-        text(ltv).alias("original_ltv"),
+        F.when(key % 59 == 0, "999").otherwise(text(ltv)).alias("original_ltv"),
         F.concat(text(F.floor(tenths / F.lit(10))), F.lit("."), text(tenths % 10)).alias(
             "original_interest_rate"
         ),
