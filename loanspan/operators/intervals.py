@@ -6,7 +6,7 @@ predicts the event that ends in it.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from loanspan.contracts import (
@@ -140,90 +140,79 @@ def check_interval_coverage(intervals: DataFrame, loans: DataFrame) -> DataFrame
     )
 
 
+HASH_BITS = 30
+
+
+def _chain_sum(seed: int) -> Column:
+    """Sum of h(stop) - h(start); over a gap-free chain it telescopes to h(last) - h(first)."""
+    return F.sum(_chain_hash("stop_time_month", seed) - _chain_hash("start_time_month", seed))
+
+
+def _chain_hash(name: str, seed: int) -> Column:
+    return F.pmod(F.xxhash64(F.lit(seed), F.col(name)), F.lit(1 << HASH_BITS))
+
+
 def check_intervals(intervals: DataFrame) -> DataFrame:
-    """Row, order and terminal-event violations of an interval table.
+    """Row, chain and terminal-event violations of an interval table.
 
-    Uniqueness is proven without comparing rows pairwise: within a loan the intervals are disjoint
-    and gap-free exactly when each starts where the previous one stopped.
+    One hash aggregate per loan, without sort or window. With start < stop in every row, the rows
+    of a loan are disjoint and gap-free exactly when all starts but the first equal all stops but
+    the last as multisets; repeated rows break that too. Two independent 30-bit hash sums compare
+    the multisets. The last row's flags travel in the maximum of one packed number.
     """
     require_schema(intervals, INTERVALS, "Time-varying input")
     start, stop = F.col("start_time_month"), F.col("stop_time_month")
     flags = [F.col(name) for name in LAG_COLUMNS[2:]]
     length = F.col("interval_length_months")
+    event = F.col("default_event").cast("int")
     complete = all_of(is_finite(F.col(name)) for name in TV_PREDICTORS)
     exclusive = all_of(f.isin(0, 1) for f in flags) & (sum(flags[1:], flags[0]) <= 1)
-    # Same-key rows collapse first, so the window below holds one row per start month of a loan.
-    keyed = intervals.groupBy("loan_id", "start_time_month", "stop_time_month").agg(
-        F.count("*").alias("copies"),
-        *violations(
-            invalid_interval=~(
-                (start >= 0)
-                & (stop > start)
-                & (length == stop - start)
-                & (F.col("gap_interval_flag") == (length > 1))
-            ),
-            incomplete_predictors=~complete,
-            invalid_delinquency_flags=~exclusive,
-            invalid_event_type=~F.col("event_type").isin(EVENT_TYPES),
+    rules = {
+        "invalid_interval": ~(
+            (start >= 0)
+            & (stop > start)
+            & (length == stop - start)
+            & (F.col("gap_interval_flag") == (length > 1))
         ),
-        F.sum(F.col("default_event").cast("int")).alias("events"),
+        "incomplete_predictors": ~complete,
+        "invalid_delinquency_flags": ~exclusive,
+        "invalid_event_type": ~F.col("event_type").isin(EVENT_TYPES),
+    }
+    terminal = F.col("terminal_interval_flag").cast("int")
+    per_loan = intervals.groupBy("loan_id").agg(
+        F.count("*").alias("rows"),
+        *violations(**rules),
+        F.min("start_time_month").alias("first_start"),
+        F.max("stop_time_month").alias("last_stop"),
+        *[_chain_sum(seed).alias(f"chain_{seed}") for seed in (1, 2)],
+        F.sum(event).alias("events"),
         F.count_if("terminal_interval_flag").alias("terminals"),
         F.count_if(F.col("event_type") == "DEFAULT").alias("default_rows"),
+        F.max(stop.cast("long") * 4 + terminal * 2 + event).alias("last_row"),
         *[F.min(name).alias(f"lo_{name}") for name in CORE_PREDICTORS],
         *[F.max(name).alias(f"hi_{name}") for name in CORE_PREDICTORS],
     )
-    ordered = Window.partitionBy("loan_id").orderBy("start_time_month", "stop_time_month")
-    chained = keyed.withColumn("previous_stop", F.lag("stop_time_month").over(ordered))
-    last = F.struct("start_time_month", "stop_time_month")
-    per_loan = chained.groupBy("loan_id").agg(
-        F.sum("copies").alias("rows"),
-        F.sum(F.col("copies") - 1).alias("duplicate_keys"),
-        F.count_if(F.col("previous_stop") != start).alias("noncontiguous"),
-        *[
-            F.sum(name).alias(name)
-            for name in [
-                "invalid_interval",
-                "incomplete_predictors",
-                "invalid_delinquency_flags",
-                "invalid_event_type",
-                "events",
-                "terminals",
-                "default_rows",
-            ]
-        ],
-        F.max_by("events", last).alias("last_events"),
-        F.max_by("terminals", last).alias("last_terminals"),
-        *[F.min(f"lo_{name}").alias(f"lo_{name}") for name in CORE_PREDICTORS],
-        *[F.max(f"hi_{name}").alias(f"hi_{name}") for name in CORE_PREDICTORS],
+    broken = any_of(
+        F.col(f"chain_{seed}") != _chain_hash("last_stop", seed) - _chain_hash("first_start", seed)
+        for seed in (1, 2)
     )
     expected = (F.col("default_rows") > 0).cast("int")
-    mixed = (F.col("default_rows") > 0) & (F.col("default_rows") < F.col("rows"))
     bad_terminal = (
-        mixed
+        ((F.col("default_rows") > 0) & (F.col("default_rows") < F.col("rows")))
         | (F.col("events") != expected)
         | (F.col("terminals") != 1)
-        | (F.col("last_terminals") != 1)
-        | (F.col("last_events") != expected)
+        | (F.col("last_row") % 4 != 2 + expected)
     )
     zero = F.lit(0)
     return per_loan.agg(
         F.coalesce(F.sum("rows"), zero).alias("rows"),
         F.count_if(F.col("loan_id").isNull()).alias("missing_loan_id"),
-        *[
-            F.coalesce(F.sum(name), zero).alias(name)
-            for name in [
-                "duplicate_keys",
-                "noncontiguous",
-                "invalid_interval",
-                "incomplete_predictors",
-                "invalid_delinquency_flags",
-                "invalid_event_type",
-            ]
-        ],
+        F.count_if(F.coalesce(broken, F.lit(True))).alias("noncontiguous_loans"),
+        *[F.coalesce(F.sum(name), zero).alias(name) for name in rules],
         F.count_if(
             any_of(F.col(f"lo_{name}") != F.col(f"hi_{name}") for name in CORE_PREDICTORS)
         ).alias("loans_with_varying_static_predictors"),
-        F.count_if(bad_terminal).alias("loans_with_bad_terminal_event"),
+        F.count_if(F.coalesce(bad_terminal, F.lit(True))).alias("loans_with_bad_terminal_event"),
     )
 
 

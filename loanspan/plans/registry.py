@@ -907,8 +907,9 @@ FROM complete c LEFT JOIN (SELECT loan_id, min(start_time_month) AS a, max(stop_
 
 query(
     "interval_check",
-    """SELECT count(*) AS rows, 0::BIGINT AS missing_loan_id, 0::BIGINT AS duplicate_keys,
-  0::BIGINT AS noncontiguous, 0::BIGINT AS invalid_interval, 0::BIGINT AS incomplete_predictors,
+    """SELECT count(*) AS rows, 0::BIGINT AS missing_loan_id,
+  0::BIGINT AS noncontiguous_loans, 0::BIGINT AS invalid_interval,
+  0::BIGINT AS incomplete_predictors,
   0::BIGINT AS invalid_delinquency_flags, 0::BIGINT AS invalid_event_type,
   0::BIGINT AS loans_with_varying_static_predictors, 0::BIGINT AS loans_with_bad_terminal_event
 FROM intervals""",

@@ -267,3 +267,51 @@ def test_overdue_labels(spark):
     )
     got = {r.loan_id: r.target for r in simulator.horizon_labels(df, 12).collect()}
     assert got == {"same": 0, "later": 1, "after_end": 1, "none": 2, "late": 2, "negative": 2}
+
+
+def interval_rows(spark, spans):
+    """Interval table of one default loan per list of (start, stop) spans."""
+    rows = []
+    for i, loan in enumerate(spans):
+        end = max(t for _, t in loan)
+        for s, t in loan:
+            last = t == end
+            rows.append(
+                (f"L{i}", 2020, datetime.date(2020, 1, 1), 202001, s, t, t - s, t - s > 1, last,
+                 int(last), "DEFAULT", 700, 80.0, 30.0, 4.0, 360, 1.0, 4.0, 0, 0, 0, 0, 0)
+            )
+    from loanspan.contracts import INTERVALS
+
+    return spark.createDataFrame(rows, INTERVALS)
+
+
+def test_broken_interval_chains_are_found(spark):
+    good = [(0, 2), (2, 3), (3, 7)]
+    spans = [
+        good,
+        [(0, 2), (1, 3), (4, 5)],  # overlap and gap of equal length
+        [(0, 2), (3, 5)],
+        [(0, 2), (0, 2), (2, 4)],
+        [(0, 3), (2, 4)],
+        list(reversed(good)),
+    ]
+    check = intervals.check_intervals(interval_rows(spark, spans)).first().asDict()
+    assert check["noncontiguous_loans"] == 4
+    assert check["rows"] == sum(map(len, spans)) and check["invalid_interval"] == 0
+    fine = intervals.check_intervals(interval_rows(spark, [good, [(4, 9)]])).first().asDict()
+    assert all(v == 0 for k, v in fine.items() if k != "rows")
+
+
+def test_interval_chain_check_equals_direct_check(spark):
+    rng = np.random.default_rng(4)
+    spans, expected = [], 0
+    for _ in range(300):
+        cuts = np.cumsum(rng.integers(1, 4, size=rng.integers(2, 6)))
+        loan = [[int(a), int(b)] for a, b in zip(cuts, cuts[1:])]
+        if rng.random() < 0.5:
+            loan[rng.integers(len(loan))][0] += int(rng.integers(-1, 1))
+        ordered = sorted(loan)
+        expected += any(a[1] != b[0] for a, b in zip(ordered, ordered[1:]))
+        spans.append([tuple(x) for x in loan])
+    check = intervals.check_intervals(interval_rows(spark, spans)).first()
+    assert check.noncontiguous_loans == expected
