@@ -69,7 +69,13 @@ def main() -> None:
     for name in ["raw_orig", "raw_perf", "events", "model", "intervals"]:
         timed(f"table_{name}", lambda name=name: getattr(tables, name).count())
     for name in HEADLINE:
-        timed(name, lambda name=name: QUERIES[name](spark, sf_dir).write.format("noop").mode("overwrite").save())
+        timed(
+            name,
+            lambda name=name: QUERIES[name](spark, sf_dir)
+            .write.format("noop")
+            .mode("overwrite")
+            .save(),
+        )
     print(
         json.dumps(
             {
@@ -84,6 +90,7 @@ def main() -> None:
             }
         )
     )
+    tables.drop()
 
 
 if __name__ == "__main__":

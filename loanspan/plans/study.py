@@ -22,6 +22,7 @@ from loanspan.operators.standardize import (
     standardize_performance,
 )
 from loanspan.sources import order_panel
+from loanspan.sources.tables import remove_path
 
 _STUDIES: dict[tuple[str, str], "Study"] = {}
 
@@ -39,6 +40,11 @@ class Study:
         df.write.mode("overwrite").option("compression", "zstd").parquet(path)
         return self.spark.read.parquet(path)
 
+    def drop(self) -> None:
+        """Remove the written tables; the study is unusable afterwards."""
+        remove_path(self.spark, self.folder)
+        _STUDIES.pop((self.spark.sparkContext.applicationId, self.sf_dir), None)
+
     @cached_property
     def feed(self) -> DataFrame:
         return order_panel.report_feed(self.spark, self.sf_dir)
