@@ -342,21 +342,27 @@ def predictor_support(intervals: DataFrame, names: list[str] | None = None) -> D
             ).alias(name)
         )
     wide = intervals.agg(*aggs).select(F.explode(F.array(*names)).alias("s")).select("s.*")
+    # Values travel with a small number instead of the name; NULL counts as one value.
     value = F.explode(
         F.array(
             *[
-                F.struct(F.lit(n).alias("predictor"), F.col(n).cast("double").alias("x"))
-                for n in names
+                F.struct(
+                    F.lit(i).cast("tinyint").alias("i"), F.col(n).cast("double").alias("x")
+                )
+                for i, n in enumerate(names)
             ]
         )
     ).alias("v")
-    # NULL counts as one value.
     unique = (
         intervals.select(value)
-        .groupBy("v.predictor", "v.x")
-        .agg(F.count("*").alias("rows"))
-        .groupBy("predictor")
+        .groupBy("v.i", "v.x")
+        .agg(F.first(F.lit(1)).alias("seen"))
+        .groupBy("i")
         .agg(F.count("*").alias("unique_value_count"))
+        .select(
+            F.element_at(F.array(*[F.lit(n) for n in names]), F.col("i") + 1).alias("predictor"),
+            "unique_value_count",
+        )
     )
     return wide.join(unique, "predictor").withColumn(
         "all_finite", (F.col("null_count") + F.col("nonfinite_count")) == 0

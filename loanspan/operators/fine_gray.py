@@ -34,6 +34,7 @@ from loanspan.functions.durable import durable
 from loanspan.operators.cox import coefficient_rows, complete_predictors, convergence
 from loanspan.operators.dataset import expected_code
 from loanspan.operators.riskset import (
+    MAX_MONTH_ROWS,
     Fit,
     MonthSums,
     Scaling,
@@ -244,8 +245,11 @@ def expand_fine_gray(frame: DataFrame, sums: MonthSums) -> DataFrame:
         F.lit(1.0).alias("fg_weight"),
         F.lit(False).alias("extended"),
     )
-    # One row per pair of months at most, so the broadcast is bounded by the clock.
-    runs = F.broadcast(spark.createDataFrame(weight_runs(sums), RUN_SCHEMA))
+    # One row per pair of months at most: broadcast while that stays small, else join by shuffle.
+    found = weight_runs(sums)
+    runs = spark.createDataFrame(found, RUN_SCHEMA)
+    if len(found) <= MAX_MONTH_ROWS:
+        runs = F.broadcast(runs)
     later = (
         frame.filter(F.col("cr_event_code") == COMPETING)
         .join(runs, "exit_time_month")

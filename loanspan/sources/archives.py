@@ -8,7 +8,6 @@ import zipfile
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loanspan.contracts import ContractError
 from loanspan.sources.text import kind_fields, split_lines
 
 LINES_PER_BATCH = 50_000
@@ -33,7 +32,7 @@ def scan_archives(spark: SparkSession, paths, kind: str, vintage_year: int) -> D
                 with zipfile.ZipFile(io.BytesIO(content)) as archive:
                     members = [n for n in archive.namelist() if n.rsplit("/", 1)[-1] == wanted]
                     if not members:
-                        raise ContractError(f"{path} holds no member {wanted}.")
+                        raise ValueError(f"{path} holds no member {wanted}.")
                     with archive.open(members[0]) as member:
                         text = io.TextIOWrapper(member, encoding="utf-8-sig", newline="\n")
                         while chunk := [
