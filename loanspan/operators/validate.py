@@ -109,11 +109,15 @@ def duplicate_keys(df: DataFrame, keys: list[str], name: str) -> DataFrame:
 
 def period_problems(perf: DataFrame, period: Column, cutoff: int = CUTOFF) -> DataFrame:
     """Reporting periods that are no month, and rows after the cutoff."""
+    return perf.agg(*_period_counts(period, cutoff))
+
+
+def _period_counts(period: Column, cutoff: int) -> list[Column]:
     month = period % 100
-    return perf.agg(
+    return [
         F.count_if(period.isNull() | (month < 1) | (month > 12)).alias("invalid_period"),
         F.count_if(period > cutoff).alias("after_cutoff"),
-    )
+    ]
 
 
 ORDER_CHUNK = 1 << 20
@@ -166,39 +170,54 @@ def reporting_gaps(perf: DataFrame, period: str = "reporting_period_num") -> Dat
 
 
 def date_sanity(orig: DataFrame) -> DataFrame:
+    return orig.agg(*_date_counts())
+
+
+def _date_counts() -> list[Column]:
     first, maturity = F.col("first_payment_month"), F.col("maturity_month")
-    return orig.agg(
+    return [
         F.count_if(first.isNull()).alias("invalid_first_payment"),
         F.count_if(maturity.isNull()).alias("invalid_maturity"),
         F.count_if(maturity < first).alias("maturity_before_first_payment"),
-    )
+    ]
 
 
 def negative_ages(perf: DataFrame) -> DataFrame:
-    return perf.agg(F.count_if(F.col("loan_age") < 0).alias("negative_loan_age"))
+    return perf.agg(_negative_age_count())
+
+
+def _negative_age_count() -> Column:
+    return F.count_if(F.col("loan_age") < 0).alias("negative_loan_age")
 
 
 def origination_rule_violations(clean: DataFrame) -> DataFrame:
     """Special codes that are still values after cleaning."""
+    return clean.agg(*_origination_rule_counts())
+
 
+def _origination_rule_counts() -> list[Column]:
     def bad(raw, code, value):
         return F.count_if((F.col(raw) == code) & F.col(value).isNotNull())
 
     legacy = F.col("legacy_number_borrowers_encoding_flag") & (
         F.col("number_borrowers_raw") == "2"
     )
-    return clean.agg(
+    return [
         bad("fico_raw", "9999", "fico").alias("fico_bad"),
         bad("original_dti_raw", "999", "original_dti").alias("dti_bad"),
         bad("original_ltv_raw", "999", "original_ltv").alias("ltv_bad"),
         bad("original_cltv_raw", "999", "original_cltv").alias("cltv_bad"),
         F.count_if(legacy & F.col("number_borrowers").isNotNull()).alias("borrower_legacy_bad"),
-    )
+    ]
 
 
 def performance_rule_violations(clean: DataFrame) -> DataFrame:
+    return clean.agg(*_performance_rule_counts())
+
+
+def _performance_rule_counts() -> list[Column]:
     raw, number = F.col("delinquency_status_raw"), F.col("delinquency_num")
-    return clean.agg(
+    return [
         F.count_if((raw == "XX") & number.isNotNull()).alias("xx_bad"),
         F.count_if((raw == "RA") & number.isNotNull()).alias("ra_bad"),
         F.count_if(
@@ -207,7 +226,7 @@ def performance_rule_violations(clean: DataFrame) -> DataFrame:
         F.count_if(raw.isNotNull() & ~raw.isin("XX", "RA") & number.isNull()).alias(
             "delinquency_parse_bad"
         ),
-    )
+    ]
 
 
 def clean_reconciliation(
@@ -285,6 +304,32 @@ def decide(failed: Column, warned: Column) -> Column:
     return F.when(true(failed), "FAIL").when(true(warned), "PASS_WITH_WARNING").otherwise("PASS")
 
 
+def _id_checks(raw_orig: DataFrame, raw_perf: DataFrame, period: Column) -> DataFrame:
+    """Row counts, repeated keys, ids on one side only, and reporting gaps of the raw tables."""
+    index = F.when(true((period % 100).between(1, 12)), M.month_index(period))
+    months = raw_perf.groupBy("loan_id", "monthly_reporting_period").agg(
+        F.count("*").alias("copies"), F.first(index).alias("month")
+    )
+    reports = months.groupBy("loan_id").agg(
+        F.sum("copies").alias("reports"),
+        F.count_if(F.col("copies") > 1).alias("repeated"),
+        (F.max("month") - F.min("month") + 1 - F.count("month")).alias("missing"),
+    )
+    loans = raw_orig.groupBy("loan_id").agg(F.count("*").alias("originated"))
+    both = loans.join(reports, "loan_id", "full")
+    zero = F.lit(0)
+    return both.agg(
+        F.coalesce(F.sum("originated"), zero).alias("raw_orig_rows"),
+        F.coalesce(F.sum("reports"), zero).alias("raw_perf_rows"),
+        F.count_if(F.col("originated") > 1).alias("duplicate_loans"),
+        F.coalesce(F.sum("repeated"), zero).alias("duplicate_loan_months"),
+        F.count_if(F.col("originated").isNull()).alias("perf_ids_not_in_orig"),
+        F.count_if(F.col("reports").isNull()).alias("orig_ids_without_perf"),
+        F.count_if(F.col("missing") > 0).alias("loans_with_gaps"),
+        F.coalesce(F.sum("missing"), zero).alias("missing_months"),
+    )
+
+
 def final_validation(
     raw_orig: DataFrame,
     raw_perf: DataFrame,
@@ -294,26 +339,23 @@ def final_validation(
 ) -> DataFrame:
     """All structural checks in one row, with the overall decision.
 
+    Each cleaned table is read once for its row rules. Raw reports are counted per loan and month,
+    then per loan, and one full join with the originated ids gives the id checks.
     `order_rows` (loan_id, reporting_period_num, source_row) adds the file-order check.
     """
     period = F.col("reporting_period_num").try_cast("int")
+    raw_period = F.col("monthly_reporting_period").try_cast("int")
     frames = [
-        merge_rows(
-            raw_orig.agg(F.count("*").alias("raw_orig_rows")),
-            raw_perf.agg(F.count("*").alias("raw_perf_rows")),
+        orig.agg(
+            F.count("*").alias("orig_rows"), *_date_counts(), *_origination_rule_counts()
+        ),
+        perf.agg(
+            F.count("*").alias("perf_rows"),
+            *_period_counts(period, CUTOFF),
+            _negative_age_count(),
+            *_performance_rule_counts(),
         ),
-        orig.agg(F.count("*").alias("orig_rows")),
-        perf.agg(F.count("*").alias("perf_rows")),
-        duplicate_keys(raw_orig, ["loan_id"], "duplicate_loans"),
-        duplicate_keys(raw_perf, ["loan_id", "monthly_reporting_period"], "duplicate_loan_months"),
-        ids_missing_from(raw_perf, raw_orig, "perf_ids_not_in_orig"),
-        ids_missing_from(raw_orig, raw_perf, "orig_ids_without_perf"),
-        period_problems(perf, period),
-        reporting_gaps(perf),
-        date_sanity(orig),
-        negative_ages(perf),
-        origination_rule_violations(orig),
-        performance_rule_violations(perf),
+        _id_checks(raw_orig, raw_perf, raw_period),
     ]
     if order_rows is not None:
         frames.append(order_violations(order_rows, "reporting_period_num"))

@@ -315,3 +315,26 @@ def test_interval_chain_check_equals_direct_check(spark):
         spans.append([tuple(x) for x in loan])
     check = intervals.check_intervals(interval_rows(spark, spans)).first()
     assert check.noncontiguous_loans == expected
+
+
+def test_final_validation_finds_broken_tables(spark, tables):
+    base = (tables.raw_orig, tables.raw_perf, tables.clean_orig, tables.clean_perf)
+    good = validate.final_validation(*base).first()
+    # The panel has gaps and months after the cutoff, which only a filtered table lacks.
+    assert good.duplicate_loans == good.perf_ids_not_in_orig == good.duplicate_loan_months == 0
+    assert good.status == "FAIL" and good.after_cutoff > 0
+    early = tables.clean_perf.filter("reporting_period_num <= 202603 and loan_age >= 0")
+    raw = tables.raw_perf.filter("monthly_reporting_period <= '202603' and loan_age >= 0")
+    row = validate.final_validation(tables.raw_orig, raw, tables.clean_orig, early).first()
+    assert row.status == "PASS_WITH_WARNING" and row.loans_with_gaps > 0
+    gaps = validate.reporting_gaps(early).first()
+    assert (row.loans_with_gaps, row.missing_months) == (gaps.loans_with_gaps, gaps.missing_months)
+    one = tables.raw_orig.limit(1)
+    broken = validate.final_validation(
+        tables.raw_orig.unionByName(one), raw.unionByName(raw), tables.clean_orig, early
+    ).first()
+    assert broken.duplicate_loans == 1 and broken.duplicate_loan_months == raw.count()
+    orphan = validate.final_validation(one, raw, tables.clean_orig, early).first()
+    assert orphan.perf_ids_not_in_orig == raw.select("loan_id").distinct().count() - 1
+    with pytest.raises(ContractError):
+        validate.require_pass(validate.final_validation(*base))
