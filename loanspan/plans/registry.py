@@ -6,6 +6,7 @@ Doubles are rounded to nine digits and dates are shown as text so that engines c
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -21,6 +22,8 @@ from loanspan.operators import ph_test, sampling, scoring, simulator, validate
 from loanspan.plans import projections, reads, release
 from loanspan.plans.oracle import dindex, dstr, idx, sql
 from loanspan.plans.study import Study, study
+from loanspan.sources import tables as io
+from loanspan.sources import text
 
 DIGITS = 9
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -66,6 +69,101 @@ def count_if(cond: str, name: str) -> str:
     return f"count(*) FILTER (WHERE {cond}) AS {name}"
 
 
+# ---- sources and sinks -----------------------------------------------------------------------
+
+
+def _scanned(s: Study, kind: str) -> DataFrame:
+    """Every vintage's text file through the strict scan."""
+    folder = s.text_folder(kind)
+    parts = [
+        text.scan_text(s.spark, f"{folder}/vintage_year={year}", kind, year) for year in s.vintages
+    ]
+    return reduce(DataFrame.unionByName, parts)
+
+
+query("text_scan_origination", "SELECT * FROM raw_orig")(lambda s: _scanned(s, "origination"))
+query(
+    "text_scan_performance",
+    """SELECT *, NULL::VARCHAR AS payment_deferral_flag,
+  NULL::VARCHAR AS delinquency_due_to_disaster, NULL::VARCHAR AS borrower_assistance_plan
+FROM raw_perf""",
+)(lambda s: _scanned(s, "performance"))
+
+query(
+    "typed_text_performance",
+    f"""SELECT loan_id, {dstr('reporting_month')} AS performance_month, current_actual_upb,
+  delinquency_status_raw AS current_delinquency_status, loan_age::DOUBLE AS source_loan_age,
+  modification_flag, zero_balance_code,
+  {dstr('zero_balance_effective_month')} AS zero_balance_effective_date, current_interest_rate
+FROM clean_perf""",
+)(
+    lambda s: text.scan_typed_text(
+        s.spark,
+        [f"{s.text_folder('performance')}/vintage_year={year}" for year in s.vintages],
+        "performance",
+    ).select(*text.TYPED_PERFORMANCE.values())
+)
+
+query(
+    "typed_text_line_numbers",
+    "SELECT vintage_year, count(*) AS lines, count(*) AS numbered FROM clean_orig GROUP BY 1",
+)(
+    lambda s: text.scan_typed_text(
+        s.spark,
+        [f"{s.text_folder('origination')}/vintage_year={year}" for year in s.vintages],
+        "origination",
+    )
+    .select(F.substring("loan_id", 2, 2).cast("int").alias("yy"), "source_file", "source_row")
+    .groupBy((F.col("yy") + 2000).cast("smallint").alias("vintage_year"), "source_file")
+    .agg(
+        F.count("*").alias("lines"),
+        (F.max("source_row") - F.min("source_row") + 1).alias("numbered"),
+    )
+    .groupBy("vintage_year")
+    .agg(F.sum("lines").alias("lines"), F.sum("numbered").alias("numbered"))
+)
+
+query(
+    "csv_round_trip",
+    f"""SELECT vintage_year, count(*) AS loans, {count_if("event_type='DEFAULT'", 'default_loans')},
+  {count_if("event_type='PREPAYMENT'", 'prepayment_loans')},
+  {count_if("event_type='CENSOR'", 'censored_loans')},
+  {count_if('same_month_default_prepay_flag', 'same_month_conflicts')},
+  {count_if('event_month>last_observed_month', 'events_after_last_report')}
+FROM events GROUP BY vintage_year""",
+)(lambda s: _csv_round_trip(s, audit.event_summary(s.events)))
+
+
+def _csv_round_trip(s: Study, df: DataFrame) -> DataFrame:
+    path = io.write_csv(df, f"{s.folder}/event_summary_csv")
+    return io.read_csv(s.spark, path, df.schema)
+
+
+query(
+    "vintage_partitions",
+    "SELECT vintage_year::INTEGER AS vintage_year, count(*) AS loans FROM model GROUP BY 1",
+)(lambda s: _vintage_partitions(s))
+
+
+def _vintage_partitions(s: Study) -> DataFrame:
+    """A second write without force adds nothing."""
+    path = f"{s.folder}/model_by_vintage"
+    io.write_vintages(s.model, path, force=True)
+    io.write_vintages(s.model, path)
+    return s.spark.read.parquet(path).groupBy("vintage_year").agg(F.count("*").alias("loans"))
+
+
+query(
+    "checked_export",
+    "SELECT event_type, count(*) AS loans FROM model GROUP BY 1",
+)(
+    lambda s: s.spark.read.parquet(
+        io.export_checked(s.model, f"{s.folder}/analysis_loans", dataset.validate_model_frame)
+    )
+    .groupBy("event_type")
+    .agg(F.count("*").alias("loans"))
+)
+
 # ---- standardization -------------------------------------------------------------------------
 
 query(
@@ -1692,6 +1790,16 @@ def _both_causes(s: Study) -> DataFrame:
 
 
 query("cox_cause_specific")(_both_causes)
+query("cox_time_varying_diagnostics")(lambda s: cox.fit_time_varying(s.intervals).diagnostics)
+query("fine_gray_diagnostics")(lambda s: fine_gray.fit_fine_gray(s.complete).diagnostics)
+
+
+def _tv_rank(s: Study) -> DataFrame:
+    found = cox.information_rank(s.intervals)
+    return s.spark.createDataFrame([tuple(found.values())], list(found))
+
+
+query("tv_information_rank")(_tv_rank)
 query("cox_time_varying")(lambda s: cox.fit_time_varying(s.intervals).coefficients)
 query("fine_gray_default")(lambda s: fine_gray.fit_fine_gray(s.complete).coefficients)
 

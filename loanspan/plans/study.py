@@ -9,6 +9,7 @@ from __future__ import annotations
 from functools import cached_property
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from loanspan.functions.durable import shared_folder
 from loanspan.operators.clock import build_survival
@@ -22,7 +23,8 @@ from loanspan.operators.standardize import (
     standardize_performance,
 )
 from loanspan.sources import order_panel
-from loanspan.sources.tables import remove_path
+from loanspan.sources.tables import path_exists, remove_path
+from loanspan.sources.text import kind_fields
 
 _STUDIES: dict[tuple[str, str], "Study"] = {}
 
@@ -57,6 +59,29 @@ class Study:
     def raw_perf(self) -> DataFrame:
         return self._written("raw_perf", order_panel.raw_performance(self.spark, self.sf_dir))
 
+    def text_folder(self, kind: str) -> str:
+        """The raw table of a kind as header-less pipe text, one folder per vintage."""
+        path = f"{self.folder}/text_{kind}"
+        if not path_exists(self.spark, path):
+            table = self.raw_orig if kind == "origination" else self.raw_perf
+            fields, _ = kind_fields(kind)
+            present = set(table.columns)
+            line = F.concat_ws(
+                "|",
+                *[
+                    F.coalesce(F.col(f), F.lit("")) if f in present else F.lit("") for f in fields
+                ],
+            )
+            table.select(line.alias("value"), "vintage_year").write.partitionBy(
+                "vintage_year"
+            ).text(path)
+        return path
+
+    @cached_property
+    def vintages(self) -> list[int]:
+        rows = self.raw_orig.select("vintage_year").distinct().collect()
+        return sorted(int(r["vintage_year"]) for r in rows)
+
     @cached_property
     def clean_orig(self) -> DataFrame:
         return clean_origination(self.raw_orig)
