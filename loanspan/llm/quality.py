@@ -35,16 +35,16 @@ MIN_KEPT_PERCENT = 50
 WINDOW = 8
 
 
-def line_passes(line: Column) -> Column:
-    """Whether a line passes the punctuation, navigation and boilerplate rules."""
-    n_words = F.size(words_of(line))
+def line_passes(entry: Column) -> Column:
+    """Whether a line, with its number of words, passes the three kinds of rules."""
+    line, n_words = entry["line"], entry["n_words"]
     without = lambda pattern: F.length(line) - F.length(F.regexp_replace(line, pattern, ""))
     punctuation = (line.rlike(TERMINAL) | (n_words >= OPEN_LINE_WORDS)) & (
         without(r"[#*$%&<>!]") <= MAX_MARKS_PER_WORD * n_words
     )
     navigation = without(SEPARATORS) <= MAX_SEPARATORS_PER_WORD * n_words
-    boilerplate = ~line.rlike(BOILERPLATE) | (n_words > BOILERPLATE_WORDS)
-    return (n_words > 0) & punctuation & navigation & boilerplate
+    boilerplate = (n_words > BOILERPLATE_WORDS) | ~line.rlike(BOILERPLATE)
+    return punctuation & navigation & boilerplate
 
 
 def clean_lines(docs: DataFrame, text: str = "text") -> DataFrame:
@@ -60,13 +60,22 @@ def clean_lines(docs: DataFrame, text: str = "text") -> DataFrame:
     """
     content = text_of(F.col(f"`{text}`"))
     base = docs.withColumn("__text", content).withColumns(
-        {"__words": words_of(F.col("__text")), "__lines": F.split("__text", "\n", -1)}
+        {
+            "__words": words_of(F.col("__text")),
+            "__lines": F.filter(
+                F.transform(
+                    F.split("__text", "\n", -1),
+                    lambda x: F.struct(x.alias("line"), F.size(words_of(x)).alias("n_words")),
+                ),
+                lambda x: x["n_words"] > 0,
+            ),
+        }
     )
     hashed = base.withColumns(
         {
             "__hashes": windows(F.col("__words"), WINDOW),
-            "__full": F.filter("__lines", lambda x: x.rlike(f"[^{SPACE[1:]}")),
-            "__kept": F.filter("__lines", line_passes),
+            "__full": F.col("__lines.line"),
+            "__kept": F.filter("__lines", line_passes)["line"],
         }
     )
     # Windows by hash, then place; neighbours with one hash are repeats.
@@ -75,7 +84,7 @@ def clean_lines(docs: DataFrame, text: str = "text") -> DataFrame:
         "__ordered",
         F.when(
             F.size(F.array_distinct("__hashes")) < F.size("__hashes"),
-            F.array_sort(
+            F.sort_array(
                 F.transform("__hashes", lambda h, i: F.struct(h.alias("h"), i.alias("i")))
             ),
         ).otherwise(none),
