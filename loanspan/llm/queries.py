@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from loanspan.llm import quality
+from loanspan.llm import neardup, quality
 from loanspan.llm.common import table
 
 
@@ -10,9 +10,15 @@ def op1_quality(spark, sf_dir):
     return quality.query(table(spark, sf_dir, "documents"))
 
 
+def op2_minhash_neardup(spark, sf_dir):
+    return neardup.query(table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     "op1_quality": op1_quality,
+    "op2_minhash_neardup": op2_minhash_neardup,
 }
 ORACLE = {
     "op1_quality": quality.SQL,
+    "op2_minhash_neardup": neardup.SQL,
 }
