@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from loanspan.llm import neardup, quality
+from loanspan.llm import decontam, neardup, quality
 from loanspan.llm.common import table
 
 
@@ -14,11 +14,19 @@ def op2_minhash_neardup(spark, sf_dir):
     return neardup.query(table(spark, sf_dir, "documents"))
 
 
+def op10_decontaminate(spark, sf_dir):
+    return decontam.contaminated(
+        table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")
+    )
+
+
 QUERIES = {
     "op1_quality": op1_quality,
     "op2_minhash_neardup": op2_minhash_neardup,
+    "op10_decontaminate": op10_decontaminate,
 }
 ORACLE = {
     "op1_quality": quality.SQL,
     "op2_minhash_neardup": neardup.SQL,
+    "op10_decontaminate": decontam.SQL,
 }
