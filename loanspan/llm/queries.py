@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from loanspan.llm import decontam, neardup, quality
+from loanspan.llm import decontam, neardup, quality, secrets
 from loanspan.llm.common import table
 
 
@@ -14,6 +14,10 @@ def op2_minhash_neardup(spark, sf_dir):
     return neardup.query(table(spark, sf_dir, "documents"))
 
 
+def op4_secrets(spark, sf_dir):
+    return secrets.query(table(spark, sf_dir, "documents"))
+
+
 def op10_decontaminate(spark, sf_dir):
     return decontam.contaminated(
         table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")
@@ -23,6 +27,7 @@ def op10_decontaminate(spark, sf_dir):
 QUERIES = {
     "op1_quality": op1_quality,
     "op2_minhash_neardup": op2_minhash_neardup,
+    "op4_secrets": op4_secrets,
     "op10_decontaminate": op10_decontaminate,
 }
 ORACLE = {
