@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from loanspan.llm import decontam, neardup, quality, secrets
+from loanspan.llm import decontam, neardup, quality, secrets, sharding
 from loanspan.llm.common import table
 
 
@@ -14,6 +14,10 @@ def op2_minhash_neardup(spark, sf_dir):
     return neardup.query(table(spark, sf_dir, "documents"))
 
 
+def op3_sharding(spark, sf_dir):
+    return sharding.query(table(spark, sf_dir, "documents"))
+
+
 def op4_secrets(spark, sf_dir):
     return secrets.query(table(spark, sf_dir, "documents"))
 
@@ -27,11 +31,13 @@ def op10_decontaminate(spark, sf_dir):
 QUERIES = {
     "op1_quality": op1_quality,
     "op2_minhash_neardup": op2_minhash_neardup,
+    "op3_sharding": op3_sharding,
     "op4_secrets": op4_secrets,
     "op10_decontaminate": op10_decontaminate,
 }
 ORACLE = {
     "op1_quality": quality.SQL,
     "op2_minhash_neardup": neardup.SQL,
+    "op3_sharding": sharding.SQL,
     "op10_decontaminate": decontam.SQL,
 }
