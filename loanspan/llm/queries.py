@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from loanspan.llm import decontam, neardup, quality, secrets, sharding
+from loanspan.llm import decontam, langid, neardup, quality, secrets, sharding
 from loanspan.llm.common import table
 
 
@@ -22,6 +22,10 @@ def op4_secrets(spark, sf_dir):
     return secrets.query(table(spark, sf_dir, "documents"))
 
 
+def op5_langid(spark, sf_dir):
+    return langid.query(table(spark, sf_dir, "documents"))
+
+
 def op10_decontaminate(spark, sf_dir):
     return decontam.contaminated(
         table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")
@@ -33,6 +37,7 @@ QUERIES = {
     "op2_minhash_neardup": op2_minhash_neardup,
     "op3_sharding": op3_sharding,
     "op4_secrets": op4_secrets,
+    "op5_langid": op5_langid,
     "op10_decontaminate": op10_decontaminate,
 }
 ORACLE = {
