@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from loanspan.llm import decontam, langid, neardup, quality, secrets, sharding
+from loanspan.llm import decontam, langid, neardup, quality, secrets, sharding, toxicity
 from loanspan.llm.common import table
 
 
@@ -26,6 +26,10 @@ def op5_langid(spark, sf_dir):
     return langid.query(table(spark, sf_dir, "documents"))
 
 
+def op9_toxicity(spark, sf_dir):
+    return toxicity.query(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op10_decontaminate(spark, sf_dir):
     return decontam.contaminated(
         table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")
@@ -38,6 +42,7 @@ QUERIES = {
     "op3_sharding": op3_sharding,
     "op4_secrets": op4_secrets,
     "op5_langid": op5_langid,
+    "op9_toxicity": op9_toxicity,
     "op10_decontaminate": op10_decontaminate,
 }
 ORACLE = {
