@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from loanspan.llm import decontam, langid, neardup, quality, secrets, sharding, toxicity
+from loanspan.llm import bpe, decontam, langid, neardup, quality, secrets, sharding, toxicity
 from loanspan.llm.common import table
 
 
@@ -26,6 +26,16 @@ def op5_langid(spark, sf_dir):
     return langid.query(table(spark, sf_dir, "documents"))
 
 
+def tokenizer_path():
+    import public_tokenizers
+
+    return public_tokenizers.path("word_bpe_49k.json")
+
+
+def op6_bpe(spark, sf_dir):
+    return bpe.query(table(spark, sf_dir, "documents"), tokenizer_path())
+
+
 def op9_toxicity(spark, sf_dir):
     return toxicity.query(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
@@ -42,6 +52,7 @@ QUERIES = {
     "op3_sharding": op3_sharding,
     "op4_secrets": op4_secrets,
     "op5_langid": op5_langid,
+    "op6_bpe": op6_bpe,
     "op9_toxicity": op9_toxicity,
     "op10_decontaminate": op10_decontaminate,
 }

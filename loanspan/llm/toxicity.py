@@ -30,6 +30,8 @@ DECAY = 3e-4
 #: Every fifth labelled text only serves to move the logits, so that the best cut is THRESHOLD.
 CALIBRATION = 5
 MAX_SHIFT = 2.5
+#: A text without evidence scores this at most.
+MAX_PRIOR = 0.15
 THRESHOLD = 0.3
 
 
@@ -90,6 +92,7 @@ def fit(bags: list[tuple[np.ndarray, np.ndarray]], labels: list[int]) -> Model:
         return Model(np.zeros(BUCKETS, np.float32), float(np.log(0.05 / 0.95)))
     model = _trained([bags[i] for i in learn], np.array([labels[i] for i in learn]))
     model.bias += _shift([model.score(bags[i]) for i in check], [labels[i] for i in check])
+    model.bias = min(model.bias, float(np.log(MAX_PRIOR / (1 - MAX_PRIOR))))
     return model
 
 
