@@ -1,7 +1,7 @@
 """MinHash near-duplicates by an inverted join over signature coordinates.
 
 Every distinct shingle set is posted under its (coordinate, value) pairs. Two sets of similarity
-0.8 agree in about 51 of 64 coordinates; pairs that agree in MATCHES or more are wanted.
+0.8 agree in about 102 of 128 coordinates; pairs that agree in MATCHES or more are wanted.
 
 * Prefix: in one order of all postings, rare ones first, two sets that share MATCHES postings
   share one among the first `size - MATCHES + 1` of each. Postings held by one set only match
@@ -27,14 +27,16 @@ from loanspan.llm.common import written
 from loanspan.llm.components import components
 from loanspan.llm.shingles import MinHash, WordHashes, set_id, shingle_set, similar
 
-COORDINATES = 64
-#: At similarity 0.8 fewer matches than this have a chance of four in a million.
-MATCHES = 36
-#: Ids of this many sets at most, 16 bytes each, are broadcast to pick their texts.
-BROADCAST_IDS = 2_000_000
-#: A posting with more pairs between components than this, per set, gets another pivot first.
-PAIRS_PER_SET = 32
-PIVOT_ROUNDS = 6
+COORDINATES = 128
+#: At similarity 0.8 fewer matches than this have a chance of about four in a million.
+MATCHES = 82
+#: Pairs or ids, 24 bytes each, that are broadcast at most to pick texts; more are shuffled.
+BROADCAST_ROWS = 500_000
+#: A posting of more than SMALL sets and more pairs between components than this, per set, gets
+#: other pivots first, while these take away a fifth of the pairs, in so many rounds.
+SMALL = 100
+PAIRS_PER_SET = 16
+PIVOT_ROUNDS = 5
 
 
 def _signatures(n: int, coordinates: int):
@@ -155,23 +157,27 @@ class _Search:
         )
 
     def links(self, pairs: DataFrame) -> DataFrame:
-        """Links (u, v) among the pairs, confirmed on the full sets."""
-        pairs = written(pairs)
-        needed = (
-            pairs.select(F.col("a").alias("sid"))
-            .union(pairs.select(F.col("b").alias("sid")))
-            .distinct()
-            .join(self.sets.select("sid", "label"), "sid")
+        """Links (u, v) among the pairs, confirmed on the full sets.
+
+        Each pair goes to the text of its first set, where the texts lie if the pairs are few
+        enough to broadcast, and then to that of its second set.
+        """
+        labels = self.sets.select("sid", "label")
+        pairs = written(
+            pairs.join(labels.withColumnRenamed("sid", "a"), "a").select("a", "b", "label")
         )
-        needed = written(needed)
-        few = needed.count() <= BROADCAST_IDS
-        texts = self.docs.join(
-            F.broadcast(needed) if few else needed, F.col("doc_id") == F.col("label")
+        second = written(
+            pairs.select(F.col("b").alias("sid")).distinct().join(labels, "sid")
+        )
+        near = lambda df: F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
+        left = self.docs.join(near(pairs), F.col("doc_id") == F.col("label")).select(
+            "a", "b", F.col("text").alias("text_a")
+        )
+        right = self.docs.join(near(second), F.col("doc_id") == F.col("label")).select(
+            F.col("sid").alias("b"), F.col("text").alias("text_b")
         )
-        side = lambda x: texts.select(F.col("sid").alias(x), F.col("text").alias(f"text_{x}"))
         return written(
-            pairs.join(side("a"), "a")
-            .join(side("b"), "b")
+            left.join(right, "b")
             .select("a", "b", "text_a", "text_b")
             .mapInArrow(_confirmed(self.n, self.percent), "u bigint, v bigint")
         )
@@ -221,27 +227,25 @@ def similar_groups(
         .agg(F.max(F.struct("common", F.col("b").alias("b"))).alias("m"))
         .select("a", F.col("m.b").alias("b"))
     )
-    links = [search.links(search.matching(best))]
-    for seed in range(1, PIVOT_ROUNDS + 2):
-        roots = components(reduce(DataFrame.union, links))
-        open_keys, members = _unresolved(postings, roots)
-        wide = open_keys.filter(F.col("pairs") > PAIRS_PER_SET * F.col("held"))
-        last = seed > PIVOT_ROUNDS or wide.isEmpty()
-        if last:
-            pairs = _between(members)
-        else:
-            few = members.join(open_keys.join(wide.select("key"), "key", "left_anti"), "key")
-            many = members.join(wide.select("key"), "key", "left_semi")
-            root = members.select("sid", "root").distinct()
-            star = (
-                _pivoted(many.select("key", "sid"), seed)
-                .join(root.select(F.col("sid").alias("a"), F.col("root").alias("ra")), "a")
-                .join(root.select(F.col("sid").alias("b"), F.col("root").alias("rb")), "b")
-                .filter("ra <> rb")
-                .select("a", "b")
-            )
-            pairs = _between(few.select("key", "sid", "root")).union(star).distinct()
-        links.append(search.links(search.matching(pairs)))
+    checked = [written(search.matching(best))]
+    links = [search.links(checked[0])]
+    before = None
+    for seed in range(PIVOT_ROUNDS + 1):
+        rooted = _rooted(postings, components(reduce(DataFrame.union, links)))
+        keys = written(_unresolved(rooted))
+        wide = keys.filter(
+            (F.col("held") > SMALL) & (F.col("pairs") > PAIRS_PER_SET * F.col("held"))
+        )
+        left = wide.agg(F.coalesce(F.sum("pairs"), F.lit(0))).first()[0]
+        last = seed == PIVOT_ROUNDS or not left or (before is not None and 5 * left > 4 * before)
+        before = left
+        # Pivots thin out the wide postings; what they leave is compared in full.
+        pairs = _between(search, rooted, keys) if last else _stars(rooted, wide, seed)
+        done = reduce(DataFrame.union, checked)
+        checked.append(
+            written(search.matching(pairs.join(done, ["a", "b"], "left_anti")))
+        )
+        links.append(search.links(checked[-1]))
         if last:
             break
     roots = components(reduce(DataFrame.union, links))
@@ -267,30 +271,52 @@ def similar_groups(
     )
 
 
-def _unresolved(postings: DataFrame, roots: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Postings that hold sets of several components, with their pairs between components; and
-    their members (key, sid, root)."""
-    rooted = postings.join(roots.withColumnRenamed("node", "sid"), "sid", "left").select(
+def _rooted(postings: DataFrame, roots: DataFrame) -> DataFrame:
+    """(key, sid, root): postings with the component of each set."""
+    return postings.join(roots.withColumnRenamed("node", "sid"), "sid", "left").select(
         "key", "sid", F.coalesce("root", "sid").alias("root")
     )
-    sizes = rooted.groupBy("key", "root").agg(F.count("*").alias("n"))
-    keys = written(
-        sizes.groupBy("key")
+
+
+def _unresolved(rooted: DataFrame) -> DataFrame:
+    """(key, held, pairs): postings that hold sets of several components, with the number of
+    sets and of pairs between components."""
+    squares = F.sum(F.col("n") * F.col("n"))
+    return (
+        rooted.groupBy("key", "root")
+        .agg(F.count("*").alias("n"))
+        .groupBy("key")
         .agg(
             F.sum("n").alias("held"),
             F.count("*").alias("roots"),
-            ((F.sum("n") * F.sum("n") - F.sum(F.col("n") * F.col("n"))) / 2).alias("pairs"),
+            ((F.sum("n") * F.sum("n") - squares) / 2).alias("pairs"),
         )
         .filter("roots > 1")
+        .drop("roots")
+    )
+
+
+def _stars(rooted: DataFrame, wide: DataFrame, seed: int) -> DataFrame:
+    """Pairs of each set of a wide posting and the posting's pivot, if of other components."""
+    members = rooted.join(wide.select("key"), "key", "left_semi")
+    root = members.select("sid", "root").distinct()
+    return (
+        _pivoted(members.select("key", "sid"), seed)
+        .join(root.select(F.col("sid").alias("a"), F.col("root").alias("ra")), "a")
+        .join(root.select(F.col("sid").alias("b"), F.col("root").alias("rb")), "b")
+        .filter("ra <> rb")
+        .select("a", "b")
     )
-    return keys, written(rooted.join(keys.select("key"), "key", "left_semi"))
 
 
-def _between(members: DataFrame) -> DataFrame:
-    """Pairs of sets of one posting that are in different components."""
-    left = members.select("key", F.col("sid").alias("a"), F.col("root").alias("ra"))
-    right = members.select("key", F.col("sid").alias("b"), F.col("root").alias("rb"))
-    return left.join(right, "key").filter("ra < rb").select("a", "b").distinct()
+def _between(search: _Search, rooted: DataFrame, keys: DataFrame) -> DataFrame:
+    """Pairs of sets of one posting that are in different components and near enough in size."""
+    sizes = search.sets.select("sid", F.col("n_shingles").alias("n"))
+    members = rooted.join(keys.select("key"), "key", "left_semi").join(sizes, "sid")
+    left = members.select("key", F.col("sid").alias("a"), F.col("root").alias("ra"), F.col("n").alias("na"))
+    right = members.select("key", F.col("sid").alias("b"), F.col("root").alias("rb"), F.col("n").alias("nb"))
+    near = 100 * F.least("na", "nb") >= search.percent * F.greatest("na", "nb")
+    return left.join(right, "key").filter((F.col("ra") < F.col("rb")) & near).select("a", "b").distinct()
 
 
 def deduplicated(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame:
