@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from loanspan.llm import bpe, decontam, langid, neardup, quality, secrets, sharding, toxicity
+from loanspan.llm import bpe, decontam, extract, langid, neardup, quality, secrets, sharding, toxicity
 from loanspan.llm.common import table
 
 
@@ -36,6 +36,10 @@ def op6_bpe(spark, sf_dir):
     return bpe.query(table(spark, sf_dir, "documents"), tokenizer_path())
 
 
+def op7_html(spark, sf_dir):
+    return extract.extract(table(spark, sf_dir, "pages"))
+
+
 def op9_toxicity(spark, sf_dir):
     return toxicity.query(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
@@ -53,6 +57,7 @@ QUERIES = {
     "op4_secrets": op4_secrets,
     "op5_langid": op5_langid,
     "op6_bpe": op6_bpe,
+    "op7_html": op7_html,
     "op9_toxicity": op9_toxicity,
     "op10_decontaminate": op10_decontaminate,
 }
