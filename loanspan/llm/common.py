@@ -17,6 +17,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def tokenizer_path(name: str = "word_bpe_49k.json") -> str:
+    """Place of a public tokenizer file on the driver."""
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
 def text_of(text: Column) -> Column:
     """The text; an empty one for null."""
     return F.coalesce(text, F.lit(""))

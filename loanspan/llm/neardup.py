@@ -322,11 +322,17 @@ def _between(search: _Search, rooted: DataFrame, keys: DataFrame) -> DataFrame:
 def deduplicated(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame:
     """`docs` with one document of each group: the one with the smallest doc_id.
 
-    Of rows that repeat a kept doc_id and text all stay, as rows without an id do.
+    Rows that repeat a doc_id and text are one document; rows without an id all stay.
     """
-    groups = similar_groups(docs, n, percent)
+    groups = written(similar_groups(docs, n, percent))
     dropped = groups.filter("NOT kept").select(F.col("doc_id").alias("__dropped")).distinct()
-    return docs.join(dropped, docs["doc_id"] == dropped["__dropped"], "left_anti")
+    kept = docs.join(dropped, docs["doc_id"] == dropped["__dropped"], "left_anti")
+    again = groups.filter("kept AND doc_id IS NOT NULL").groupBy("doc_id").count().filter("count > 1")
+    if again.isEmpty():
+        return kept
+    return kept.filter("doc_id IS NOT NULL").dropDuplicates(["doc_id", "text"]).union(
+        kept.filter("doc_id IS NULL")
+    )
 
 
 def query(docs: DataFrame) -> DataFrame:

@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
-from loanspan.llm import bpe, decontam, extract, langid, neardup, quality, secrets, sharding, toxicity
-from loanspan.llm.common import table
+import corpus_pipeline
+from loanspan.llm import bpe, decontam, extract, langid, neardup, pii, quality, secrets, sharding, toxicity
+from loanspan.llm.common import table, tokenizer_path
 
 
 def op1_quality(spark, sf_dir):
@@ -26,12 +27,6 @@ def op5_langid(spark, sf_dir):
     return langid.query(table(spark, sf_dir, "documents"))
 
 
-def tokenizer_path():
-    import public_tokenizers
-
-    return public_tokenizers.path("word_bpe_49k.json")
-
-
 def op6_bpe(spark, sf_dir):
     return bpe.query(table(spark, sf_dir, "documents"), tokenizer_path())
 
@@ -40,6 +35,10 @@ def op7_html(spark, sf_dir):
     return extract.extract(table(spark, sf_dir, "pages"))
 
 
+def op8_pii(spark, sf_dir):
+    return pii.query(table(spark, sf_dir, "documents"))
+
+
 def op9_toxicity(spark, sf_dir):
     return toxicity.query(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
@@ -50,6 +49,10 @@ def op10_decontaminate(spark, sf_dir):
     )
 
 
+def pipeline(spark, sf_dir):
+    return corpus_pipeline.run(spark, sf_dir)
+
+
 QUERIES = {
     "op1_quality": op1_quality,
     "op2_minhash_neardup": op2_minhash_neardup,
@@ -58,8 +61,10 @@ QUERIES = {
     "op5_langid": op5_langid,
     "op6_bpe": op6_bpe,
     "op7_html": op7_html,
+    "op8_pii": op8_pii,
     "op9_toxicity": op9_toxicity,
     "op10_decontaminate": op10_decontaminate,
+    "pipeline": pipeline,
 }
 ORACLE = {
     "op1_quality": quality.SQL,
