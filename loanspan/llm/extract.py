@@ -47,6 +47,8 @@ ASIDE_WORDS = {
 }
 #: Elements and words of a site's header, which are part of an article inside its container.
 HEADER, HEADER_WORDS = {"header"}, {"header", "masthead"}
+#: Elements that can be a container besides article and main.
+CONTAINERS = {"div", "section", "main", "article", "td", "table", "center", "body", "html"}
 ARTICLE, ARTICLE_ROLES = {"article", "main"}, {"main", "article"}
 
 _PART = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)(?:>|\Z)", re.S)
@@ -144,7 +146,7 @@ def statistics(page: str) -> dict[int, list]:
         else:
             row = found.setdefault(element.end, [0, 0, False, False, len(stack)])
             row[0] += 1
-            found[element.token][1] += element.mass
+            found[element.token][1] += element.mass if element.name in CONTAINERS else 0
     return found
 
 

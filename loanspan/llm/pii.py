@@ -249,7 +249,9 @@ def train(docs: DataFrame) -> Trees:
         .toArrow()
         .to_pydict()
     )
-    return fit(np.array(rows["x"], float).reshape(len(rows["y"]), -1), np.array(rows["y"], int))
+    if not rows["y"]:
+        return fit(np.zeros((0, 1)), np.zeros(0, int))
+    return fit(np.array(rows["x"], float), np.array(rows["y"], int))
 
 
 def find(text: str | None, model: Trees) -> tuple[list[tuple[int, int, int]], list[tuple[int, int, int]]]:
