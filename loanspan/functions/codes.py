@@ -4,9 +4,11 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from loanspan.functions.guards import enforce
+
 
 def blank_to_null(col: Column) -> Column:
     """Trim text and turn an empty result into NULL."""
@@ -18,14 +20,20 @@ def numeric_without_code(col: Column, code: str, dtype: str) -> Column:
     return F.when(col == code, F.lit(None).cast(dtype)).otherwise(col.try_cast(dtype))
 
 
-def strict_numeric(col: Column, code: str, dtype: str, label: str) -> Column:
-    """Numeric value of raw text; blank and the missing code are NULL, other bad text fails."""
+def coded_numeric(col: Column, code: str, dtype: str) -> Column:
+    """Numeric value of raw text; blank, the missing code and text that is no number are NULL."""
     text = F.trim(col)
-    value = text.try_cast(dtype)
-    return F.when(text.isin("", code), F.lit(None).cast(dtype)).when(
-        text.isNotNull() & value.isNull(),
-        F.raise_error(F.concat(F.lit(f"{label} is not numeric: "), text)).cast(dtype),
-    ).otherwise(value)
+    return F.when(text.isin("", code), F.lit(None).cast(dtype)).otherwise(text.try_cast(dtype))
+
+
+def require_numeric(df: DataFrame, col: Column, code: str, dtype: str, label: str) -> DataFrame:
+    """The rows of `df`; text that is neither blank, the missing code nor a number fails."""
+    text = F.trim(col)
+    return enforce(
+        df,
+        text.isNull() | text.isin("", code) | text.try_cast(dtype).isNotNull(),
+        F.concat(F.lit(f"{label} is not numeric: "), text),
+    )
 
 
 def true(cond: Column) -> Column:

@@ -2,22 +2,26 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from loanspan.functions.guards import enforce
+
 
 def yyyymm_to_date(col: Column) -> Column:
     """YYYYMM text to the first day of that month; NULL when it is not a month."""
     return F.try_to_date(col, "yyyyMM")
 
 
-def strict_month_date(col: Column, label: str) -> Column:
-    """Like `yyyymm_to_date`, but a non-NULL value that is no month fails the query."""
-    parsed = yyyymm_to_date(col)
-    return F.when(
-        col.isNotNull() & parsed.isNull(),
-        F.raise_error(F.concat(F.lit(f"{label} is not a YYYYMM month: "), col)).cast("date"),
-    ).otherwise(parsed)
+def require_months(df: DataFrame, columns: dict[str, Column]) -> DataFrame:
+    """The rows of `df`; a non-NULL value of the labelled columns that is no month fails."""
+    for label, col in columns.items():
+        df = enforce(
+            df,
+            col.isNull() | yyyymm_to_date(col).isNotNull(),
+            F.concat(F.lit(f"{label} is not a YYYYMM month: "), col),
+        )
+    return df
 
 
 def is_month(num: Column) -> Column:

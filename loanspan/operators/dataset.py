@@ -24,6 +24,7 @@ from loanspan.contracts import (
 )
 from loanspan.functions import months as M
 from loanspan.functions.codes import all_of, any_of, is_finite, true
+from loanspan.functions.guards import enforce
 from loanspan.operators.clock import build_survival
 from loanspan.operators.events import build_event_map, unique_rows
 
@@ -67,14 +68,14 @@ def build_model_dataset(
         "Origination",
     )
     kind = F.col("event_type")
-    matched = F.when(true(F.col("_matched")), F.col("loan_id")).otherwise(
-        F.raise_error(F.concat(F.lit("Loan without origination row: "), F.col("loan_id")))
+    joined = enforce(
+        population.join(features, "loan_id", "left"),
+        F.col("_matched"),
+        F.concat(F.lit("Loan without origination row: "), F.col("loan_id")),
     )
     return (
-        population.join(features, "loan_id", "left")
-        .withColumns(
+        joined.withColumns(
             {
-                "loan_id": matched,
                 "core_covariates_complete_flag": complete_case(),
                 "km_default_event": (kind == "DEFAULT").cast("tinyint"),
                 "km_prepayment_event": (kind == "PREPAYMENT").cast("tinyint"),

@@ -22,6 +22,7 @@ from loanspan.contracts import (
 )
 from loanspan.functions import months as M
 from loanspan.functions.codes import blank_to_null, true
+from loanspan.functions.guards import enforce
 
 # Fixed values: (rank order, evidence, event type, label).
 CANDIDATES = [
@@ -36,7 +37,16 @@ CANDIDATES = [
     ("96", "CENSOR", "ZB96_DEFECT"),
 ]
 KNOWN_CODES = ["01", "02", "03", "09", "15", "16", "96"]
-AFTER_LAST_REPORT_SOURCES = [label for _, _, label in CANDIDATES[2:]] + ["MATURITY"]
+AFTER_LAST_REPORT_SOURCES = [
+    "ZB02",
+    "ZB03",
+    "ZB09",
+    "ZB01_PREPAYMENT",
+    "ZB15_WHOLE_LOAN_SALE",
+    "ZB16_REPERFORMING_SECURITIZATION",
+    "ZB96_DEFECT",
+    "MATURITY",
+]
 RANK = {evidence: rank for rank, (evidence, _, _) in enumerate(CANDIDATES)}
 RANKS = 16
 
@@ -88,10 +98,7 @@ def monthly_evidence(perf: DataFrame, cutoff: int = CUTOFF) -> DataFrame:
     )
     code = blank_to_null(F.col("zero_balance_code").cast("string"))
     effective = M.yyyymm_to_date(blank_to_null(F.col("zero_balance_effective_date").cast("string")))
-    known = F.when(code.isNull() | code.isin(KNOWN_CODES), code).otherwise(
-        F.raise_error(F.concat(F.lit("Unknown zero-balance code: "), code)).cast("string")
-    )
-    return (
+    reports = (
         perf.select(
             "loan_id",
             _report_month(F.col("reporting_period_num").cast("int")).alias("month"),
@@ -106,10 +113,15 @@ def monthly_evidence(perf: DataFrame, cutoff: int = CUTOFF) -> DataFrame:
             "month",
             "delinquency_num",
             "is_ra",
-            known.alias("code"),
+            code.alias("code"),
             M.date_to_yyyymm(effective).alias("effective_month"),
         )
     )
+    return enforce(
+        reports,
+        F.col("code").isNull() | F.col("code").isin(KNOWN_CODES),
+        F.concat(F.lit("Unknown zero-balance code: "), F.col("code")),
+    )
 
 
 def loan_evidence(perf: DataFrame, cutoff: int = CUTOFF) -> DataFrame:
@@ -152,14 +164,11 @@ def unique_rows(df: DataFrame, key: str, columns: list[str], label: str) -> Data
     needs anyway, so the guarantee costs no extra shuffle, sort or buffering.
     """
     copy = F.row_number().over(Window.partitionBy(key).orderBy(key))
-    checked = F.when(F.col("_copy") == 1, F.col(columns[0])).otherwise(
-        F.raise_error(F.concat(F.lit(f"{label} repeats {key} "), F.col(key).cast("string"))).cast(
-            df.schema[columns[0]].dataType
-        )
-    )
-    return df.select(key, *columns, copy.alias("_copy")).select(
-        key, checked.alias(columns[0]), *columns[1:]
-    )
+    return enforce(
+        df.select(key, *columns, copy.alias("_copy")),
+        F.col("_copy") == 1,
+        F.concat(F.lit(f"{label} repeats {key} "), F.col(key).cast("string")),
+    ).drop("_copy")
 
 
 def build_event_map(
@@ -181,13 +190,10 @@ def build_event_map(
     if exclude_missing_effective_date:
         loans = loans.filter(~F.col("unusable_date"))
     else:
-        loans = loans.withColumn(
-            "first_observed_month",
-            F.when(~F.col("unusable_date"), F.col("first_observed_month")).otherwise(
-                F.raise_error(
-                    F.concat(F.lit("Termination code without an effective date: "), F.col("loan_id"))
-                ).cast("int")
-            ),
+        loans = enforce(
+            loans,
+            ~F.col("unusable_date"),
+            F.concat(F.lit("Termination code without an effective date: "), F.col("loan_id")),
         )
     packed = F.col("packed_event")
     rank = _rank_of(packed)

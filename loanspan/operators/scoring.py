@@ -86,8 +86,9 @@ def _curve_kernel(hazards: Hazards, horizons: list[int]):
     """
     months = np.array(hazards.months)
     default, prepay = np.array(hazards.default_steps), np.array(hazards.prepay_steps)
-    # Right-continuous: the last step at or before the horizon.
-    last = np.searchsorted(months, horizons, side="right") - 1
+    # Right-continuous: the last step at or before the horizon; before the first one nothing has
+    # happened.
+    last = np.searchsorted(months, horizons, side="right")
 
     @F.pandas_udf("default_cif array<double>, prepay_cif array<double>, survival array<double>")
     def kernel(d: pd.Series, p: pd.Series) -> pd.DataFrame:
@@ -97,10 +98,11 @@ def _curve_kernel(hazards: Hazards, horizons: list[int]):
         cumulative = np.cumsum(total, axis=1)
         event = np.exp(total - cumulative) * -np.expm1(-total)
         share = np.divide(rate_d, total, out=np.zeros_like(total), where=total > 0)
+        start = np.zeros((len(total), 1))
         paths = (
-            np.cumsum(event * share, axis=1),
-            np.cumsum(np.where(total > 0, event * (1 - share), 0.0), axis=1),
-            np.exp(-cumulative),
+            np.hstack([start, np.cumsum(event * share, axis=1)]),
+            np.hstack([start, np.cumsum(np.where(total > 0, event * (1 - share), 0.0), axis=1)]),
+            np.hstack([start + 1, np.exp(-cumulative)]),
         )
         return pd.DataFrame(
             {
@@ -117,11 +119,10 @@ def score_horizons(
 ) -> DataFrame:
     """Survival and both incidences of every profile at each horizon, in long format.
 
-    Horizons before the first baseline step are left out. No shuffle and no join.
+    Before the first baseline step survival is 1 and both incidences are 0. No shuffle, no join.
     """
     hazards.check()
-    kept = [h for h in horizons if h >= hazards.months[0]]
-    kernel = _curve_kernel(hazards, kept)
+    kernel = _curve_kernel(hazards, horizons)
     scored = profiles.withColumn(
         "_curve",
         kernel(
@@ -130,7 +131,7 @@ def score_horizons(
         ),
     )
     points = F.arrays_zip(
-        F.array(*[F.lit(h) for h in kept]).alias("horizon_months"),
+        F.array(*[F.lit(h) for h in horizons]).alias("horizon_months"),
         F.col("_curve.default_cif").alias("default_cif"),
         F.col("_curve.prepay_cif").alias("prepay_cif"),
         F.col("_curve.survival").alias("survival"),

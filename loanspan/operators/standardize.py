@@ -8,7 +8,14 @@ from pyspark.sql import types as T
 
 from loanspan.contracts import CUTOFF_DATE
 from loanspan.functions import months as M
-from loanspan.functions.codes import blank_to_null, numeric_without_code, strict_numeric, true
+from loanspan.functions.codes import (
+    blank_to_null,
+    coded_numeric,
+    numeric_without_code,
+    require_numeric,
+    true,
+)
+from loanspan.functions.guards import enforce
 
 # Not-available codes.
 ORIGINATION_CODES = {
@@ -140,11 +147,15 @@ def trim_text(df: DataFrame) -> DataFrame:
 def standardize_origination(clean: DataFrame) -> DataFrame:
     """Final origination table: range checks, strict dates, origin proxy and review flags."""
     df = trim_text(clean)
-    score = strict_numeric(F.col("fico_raw"), "9999", "smallint", "fico")
-    dti = strict_numeric(F.col("original_dti_raw"), "999", "double", "original_dti")
+    df = require_numeric(df, F.col("fico_raw"), "9999", "smallint", "fico")
+    df = require_numeric(df, F.col("original_dti_raw"), "999", "double", "original_dti")
+    months = ["first_payment_date", "maturity_date"]
+    df = M.require_months(df, {name: F.col(name) for name in months})
+    score = coded_numeric(F.col("fico_raw"), "9999", "smallint")
+    dti = coded_numeric(F.col("original_dti_raw"), "999", "double")
     score_ok, dti_ok = score.between(*SCORE_RANGE), dti.between(*DTI_RANGE)
-    first = M.strict_month_date(F.col("first_payment_date"), "first_payment_date")
-    maturity = M.strict_month_date(F.col("maturity_date"), "maturity_date")
+    first = M.yyyymm_to_date(F.col("first_payment_date"))
+    maturity = M.yyyymm_to_date(F.col("maturity_date"))
     origin = F.add_months(first, -1)
     year = F.year(origin)
     return df.withColumns(
@@ -173,15 +184,15 @@ def standardize_origination(clean: DataFrame) -> DataFrame:
 def standardize_performance(clean: DataFrame) -> DataFrame:
     """Final performance table up to the cutoff; a missing reporting month fails the query."""
     df = trim_text(clean)
-    month = M.strict_month_date(F.col("monthly_reporting_period"), "monthly_reporting_period")
-    present = F.coalesce(month, F.raise_error(F.lit("performance_month is missing")).cast("date"))
+    months = ["monthly_reporting_period", "zero_balance_effective_date"]
+    df = M.require_months(df, {name: F.col(name) for name in months})
+    present = M.yyyymm_to_date(F.col("monthly_reporting_period"))
+    df = enforce(df, present.isNotNull(), F.lit("performance_month is missing"))
     return df.withColumns(
         {
             "zero_balance_effective_date_raw": F.col("zero_balance_effective_date"),
             "performance_month": present,
-            "zero_balance_effective_date": M.strict_month_date(
-                F.col("zero_balance_effective_date"), "zero_balance_effective_date"
-            ),
+            "zero_balance_effective_date": M.yyyymm_to_date(F.col("zero_balance_effective_date")),
             "source_loan_age": F.col("loan_age"),
             "current_delinquency_status": blank_to_null(F.col("delinquency_status_raw")),
             "qc_current_upb_negative": true(F.col("current_actual_upb") < 0),

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from loanspan.contracts import (
+    ContractError,
     ALLOWED_HORIZONS,
     CUTOFF,
     conform,
@@ -186,6 +187,9 @@ def survival_results(
 
 
 def _stack(tables, sources, schema, prov, extra, validate) -> DataFrame:
+    missing = [name for name in sources if name not in tables]
+    if missing:
+        raise ContractError(f"Missing result tables: {missing}.")
     parts = [
         conform(
             tables[name]
@@ -194,7 +198,6 @@ def _stack(tables, sources, schema, prov, extra, validate) -> DataFrame:
             schema,
         )
         for name, (model, version) in sources.items()
-        if name in tables
     ]
     return attach(reduce(DataFrame.unionByName, parts), schema, validate)
 

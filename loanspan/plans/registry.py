@@ -778,6 +778,23 @@ query(
   event_month>last_observed_month AS event_after_last_report_flag FROM events""",
 )(lambda s: events.build_event_map(s.clean_orig, s.clean_perf))
 
+# Damage: the effective dates of every tenth loan are lost.
+query(
+    "event_map_excluding",
+    """SELECT loan_id, event_type, event_month, event_source FROM events
+WHERE NOT (right(loan_id,1)='3' AND loan_id IN (SELECT loan_id FROM clean_perf
+  WHERE zero_balance_code IS NOT NULL AND reporting_period_num<=202603))""",
+)(
+    lambda s: events.build_event_map(
+        s.clean_orig,
+        s.clean_perf.withColumn(
+            "zero_balance_effective_date",
+            F.when(~F.col("loan_id").endswith("3"), F.col("zero_balance_effective_date")),
+        ),
+        exclude_missing_effective_date=True,
+    ).select("loan_id", "event_type", "event_month", "event_source")
+)
+
 query(
     "event_map_check",
     """SELECT count(*) AS loans, 0::BIGINT AS duplicate_loans, 0::BIGINT AS invalid_event_type,
@@ -1639,6 +1656,7 @@ def _eta(beta: list[float]) -> str:
     )
 
 
+_HORIZONS_SQL = "(SELECT unnest([12,24,36]) AS hz)"
 _SCORED_SQL = f"""(SELECT loan_id, vintage_year, event_type, duration_months, hz,
   sum(s_before*-expm1x*share) AS dcif, sum(s_before*-expm1x*(1-share)) AS pcif, exp(-max(cum)) AS surv
 FROM (SELECT *, exp(-(cum-tot)) AS s_before, exp(-tot)-1 AS expm1x,
@@ -1647,15 +1665,30 @@ FROM (SELECT *, exp(-(cum-tot)) AS s_before, exp(-tot)-1 AS expm1x,
     FROM (SELECT m.loan_id, m.vintage_year, m.event_type, m.duration_months, z.hz, b.t,
         b.h1*m.ed AS d, b.h2*m.ep AS p
       FROM (SELECT *, exp({_eta(_BETA_D)}) AS ed, exp({_eta(_BETA_P)}) AS ep FROM complete) m,
-        (SELECT unnest([12,24,36]) AS hz) z, haz_all b WHERE b.t<=z.hz AND b.d1+b.d2>0)))
+        {_HORIZONS_SQL} z, haz_all b WHERE b.t<=z.hz AND b.d1+b.d2>0)))
 GROUP BY ALL)"""
 
 
-def _scored(s: Study) -> DataFrame:
+def _scored(s: Study, horizons: list[int] = scoring.FORECAST_HORIZONS) -> DataFrame:
     profiles = s.complete.select(
         "loan_id", "vintage_year", "event_type", "duration_months", *CORE_PREDICTORS
     )
-    return scoring.score_horizons(profiles, _occurrence_hazards(s))
+    return scoring.score_horizons(profiles, _occurrence_hazards(s), horizons)
+
+
+# Month 0 lies before the first step: nothing has happened yet.
+query(
+    "early_horizon_scores",
+    f"""SELECT m.loan_id, z.hz AS horizon_months,
+  {rnd('coalesce(dcif,0::DOUBLE)', 'default_cif')}, {rnd('coalesce(pcif,0::DOUBLE)', 'prepay_cif')},
+  {rnd('coalesce(surv,1::DOUBLE)', 'survival')}
+FROM complete m CROSS JOIN (SELECT unnest([0,1,2,12]) AS hz) z
+LEFT JOIN {_SCORED_SQL.replace('[12,24,36]', '[0,1,2,12]')} x ON x.loan_id=m.loan_id AND x.hz=z.hz""",
+)(
+    lambda s: _scored(s, [0, 1, 2, 12]).select(
+        "loan_id", "horizon_months", "default_cif", "prepay_cif", "survival"
+    )
+)
 
 
 query(
@@ -1842,6 +1875,10 @@ def _drivers(s: Study) -> DataFrame:
     tables["fine_gray_default_results"] = fine_gray.fit_fine_gray(
         s.complete, validate=False
     ).coefficients
+    tables["cox_results"] = cox.fit_cox(
+        s.complete, validate=False, with_concordance=False
+    ).coefficients
+    tables["time_varying_cox_results"] = cox.fit_time_varying(s.intervals).coefficients
     view = reads.driver_view(projections.risk_driver_results(tables, PROV))
     return view.withColumn(
         "evidence", reads.evidence_label(F.col("p_value"), F.col("ci_low"), F.col("ci_high"))
@@ -1858,6 +1895,14 @@ def _diagnostics(s: Study) -> DataFrame:
         "cox_diagnostics": model.diagnostics,
         "ph_diagnostics": variables,
         "ph_global_diagnostics": overall,
+        "time_varying_cox_diagnostics": cox.fit_time_varying(s.intervals).diagnostics,
+        "fine_gray_default_diagnostics": fine_gray.fit_fine_gray(
+            s.complete, validate=False
+        ).diagnostics,
+    }
+    tables |= {
+        f"cause_specific_{cause.lower()}_diagnostics": model.diagnostics
+        for cause, model in cox.fit_cause_specific(s.complete, validate=False).items()
     }
     return reads.diagnostics_view(projections.model_diagnostics(tables, PROV))
 

@@ -15,6 +15,7 @@ from loanspan.contracts import (
 )
 from loanspan.functions import months as M
 from loanspan.functions.codes import blank_to_null
+from loanspan.functions.guards import enforce
 
 # Field positions and names of the typed reader.
 TYPED_ORIGINATION = {
@@ -88,13 +89,12 @@ def scan_text(spark: SparkSession, paths, kind: str, vintage_year: int) -> DataF
     )
 
 
-def _exact_fields(line, count: int):
-    """Fields of a pipe-delimited line; another number of fields fails the query."""
-    parts = F.split(line, r"\|", -1)
-    return F.when(F.size(parts) == count, parts).otherwise(
-        F.raise_error(
-            F.concat(F.lit(f"expected {count} fields, found "), F.size(parts).cast("string"))
-        ).cast("array<string>")
+def _with_fields(lines: DataFrame, line, count: int) -> DataFrame:
+    """`lines` with `_parts`, the fields of a pipe-delimited line; another number of them fails."""
+    return enforce(
+        lines.withColumn("_parts", F.split(line, r"\|", -1)),
+        F.size("_parts") == count,
+        F.concat(F.lit(f"expected {count} fields, found "), F.size("_parts").cast("string")),
     )
 
 
@@ -102,8 +102,7 @@ def split_lines(lines: DataFrame, kind: str) -> DataFrame:
     """Split a `value` column of pipe-delimited lines into the kept columns, strictly."""
     fields, keep = kind_fields(kind)
     rest = [name for name in lines.columns if name != "value"]
-    parts = _exact_fields(F.col("value"), len(fields))
-    return lines.select(parts.alias("_parts"), *rest).select(
+    return _with_fields(lines, F.col("value"), len(fields)).select(
         *[
             F.when(F.col("_parts")[fields.index(name)] != "", F.col("_parts")[fields.index(name)])
             .alias(name)
@@ -158,23 +157,25 @@ def scan_typed_text(spark: SparkSession, paths, kind: str) -> DataFrame:
     line = F.when(
         F.col("source_row") == 1, F.regexp_replace("value", "^\\uFEFF", "")
     ).otherwise(F.col("value"))
-    source = numbered_lines(spark, paths).select(
-        _exact_fields(line, len(fields)).alias("_parts"), "source_file", "source_row"
-    )
+    source = _with_fields(numbered_lines(spark, paths), line, len(fields))
     columns = []
     for position, name in spec.items():
         raw = F.col("_parts")[position]
         value = blank_to_null(raw)
         if name in TYPED_DATES:
-            columns += [M.strict_month_date(value, name).alias(name), raw.alias(f"{name}_raw")]
+            source = M.require_months(source, {name: value})
+            columns += [M.yyyymm_to_date(value).alias(name), raw.alias(f"{name}_raw")]
         elif name in TYPED_NUMBERS:
-            columns += [value.cast("double").alias(name), raw.alias(f"{name}_raw")]
-        elif name == "loan_id":
-            columns.append(
-                F.coalesce(value, F.raise_error(F.lit("loan_id is missing")).cast("string")).alias(
-                    name
-                )
+            number = value.try_cast("double")
+            source = enforce(
+                source,
+                value.isNull() | number.isNotNull(),
+                F.concat(F.lit(f"{name} is not numeric: "), value),
             )
+            columns += [number.alias(name), raw.alias(f"{name}_raw")]
+        elif name == "loan_id":
+            source = enforce(source, value.isNotNull(), F.lit("loan_id is missing"))
+            columns.append(value.alias(name))
         else:
             columns.append(value.alias(name))
     return source.select(*columns, "source_file", "source_row")

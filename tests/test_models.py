@@ -309,3 +309,18 @@ def test_tail_functions():
     k = tie_terms(10.0, 4.0, 3)
     d = 10 - 4 * np.arange(3) / 3
     assert k.log_d == pytest.approx(np.log(d).sum()) and k.inv == pytest.approx((1 / d).sum())
+
+
+def test_horizons_before_the_first_step_are_kept(spark):
+    from loanspan.operators import scoring
+
+    hazards = scoring.Hazards([40, 41], [0.01, 0.02], [0.03, 0.0], [0.0] * 5, [0.0] * 5, [0.0] * 5)
+    profiles = spark.createDataFrame(
+        [("A", 700, 80.0, 30.0, 4.0, 360)], ["loan_id", *scoring.CORE_PREDICTORS]
+    )
+    found = {
+        r["horizon_months"]: (r["default_cif"], r["prepay_cif"], r["survival"])
+        for r in scoring.score_horizons(profiles, hazards, [0, 12, 36, 40]).collect()
+    }
+    assert [found[h] for h in (0, 12, 36)] == [(0.0, 0.0, 1.0)] * 3
+    assert found[40][0] == pytest.approx(0.01 / 0.04 * -np.expm1(-0.04))
