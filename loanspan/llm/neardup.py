@@ -1,11 +1,12 @@
 """MinHash near-duplicates by an inverted join over signature coordinates.
 
-Every distinct shingle set is posted under its (coordinate, value) pairs. Two sets of similarity
-0.8 agree in about 102 of 128 coordinates; pairs that agree in MATCHES or more are wanted.
+Every distinct shingle set is posted under the (coordinate, value) pairs of its first POSTED
+coordinates. Two sets of similarity 0.8 agree in about 38 of these 48 and in 102 of all 128; pairs
+that agree in POSTED_MATCHES of the posted and MATCHES of all coordinates are wanted.
 
-* Prefix: in one order of all postings, rare ones first, two sets that share MATCHES postings
-  share one among the first `size - MATCHES + 1` of each. Postings held by one set only match
-  nothing, so a set with fewer than MATCHES shared postings leaves at once.
+* Prefix: in one order of all postings, rare ones first, two sets that share POSTED_MATCHES
+  postings share one among the first `size - POSTED_MATCHES + 1` of each. Postings held by one set
+  only match nothing, so a set with fewer than POSTED_MATCHES shared ones leaves at once.
 * Skip: the frequent postings, those of common passages, stand last and are never joined.
 * Groups: a posting held by m sets is not expanded into m² pairs. Each posting compares its sets
   with one pivot, another one for every posting. Sets joined that way form components, and only
@@ -30,12 +31,18 @@ from loanspan.llm.shingles import MinHash, WordHashes, set_id, shingle_set, simi
 COORDINATES = 128
 #: At similarity 0.8 fewer matches than this have a chance of about four in a million.
 MATCHES = 82
+#: Likewise for the posted coordinates.
+POSTED = 48
+POSTED_MATCHES = 25
+#: Sets in a block, where there are more than DENSE pairs for each set.
+BLOCK = 1000
+DENSE = 8
 #: Pairs or ids, 24 bytes each, that are broadcast at most to pick texts; more are shuffled.
 BROADCAST_ROWS = 500_000
 #: A posting of more than SMALL sets and more pairs between components than this, per set, gets
 #: other pivots first, while these take away a fifth of the pairs, in so many rounds.
-SMALL = 100
-PAIRS_PER_SET = 16
+SMALL = 50
+PAIRS_PER_SET = 8
 PIVOT_ROUNDS = 5
 
 
@@ -92,6 +99,27 @@ def _confirmed(n: int, percent: int):
     return run
 
 
+def _confirmed_block(n: int, percent: int):
+    def run(pairs: pa.Table, texts: pa.Table) -> pa.Table:
+        known, sets = WordHashes(), {}
+        for sid, text in zip(texts["sid"].to_pylist(), texts["text"].to_pylist(), strict=True):
+            found = shingle_set(text, n, known)
+            if len(found) and set_id(found) == sid:
+                sets[sid] = found
+        a, b = pairs["a"].to_pylist(), pairs["b"].to_pylist()
+        keep = [
+            i
+            for i in range(len(a))
+            if a[i] in sets and b[i] in sets and similar(sets[a[i]], sets[b[i]], percent)
+        ]
+        return pa.table({"u": [a[i] for i in keep], "v": [b[i] for i in keep]}, _LINKS)
+
+    return run
+
+
+_LINKS = pa.schema([("u", pa.int64()), ("v", pa.int64())])
+
+
 class _Search:
     def __init__(self, docs: DataFrame, n: int, percent: int, coordinates: int, matches: int):
         self.docs, self.n, self.percent, self.matches = docs, n, percent, matches
@@ -114,7 +142,7 @@ class _Search:
     def postings(self) -> DataFrame:
         """(key, sid) of the prefix of each set that can have a partner."""
         posted = self.sets.select(
-            "sid", F.posexplode("signature").alias("place", "value")
+            "sid", F.posexplode(F.slice("signature", 1, POSTED)).alias("place", "value")
         ).select(
             "sid",
             F.shiftleft(F.col("place").cast("bigint"), 32)
@@ -126,12 +154,12 @@ class _Search:
             posted.join(shared, "key")
             .groupBy("sid")
             .agg(F.sort_array(F.collect_list(F.struct("n", "key"))).alias("keys"))
-            .filter(F.size("keys") >= self.matches)
+            .filter(F.size("keys") >= POSTED_MATCHES)
         )
         return written(
             ordered.select(
                 "sid",
-                F.explode(F.slice("keys", 1, F.size("keys") - (self.matches - 1))).alias("e"),
+                F.explode(F.slice("keys", 1, F.size("keys") - (POSTED_MATCHES - 1))).alias("e"),
             ).select("sid", F.col("e.key").alias("key"))
         )
 
@@ -170,6 +198,8 @@ class _Search:
             pairs.select(F.col("b").alias("sid")).distinct().join(labels, "sid")
         )
         near = lambda df: F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
+        if pairs.count() > DENSE * second.count():
+            return self._links_by_block(pairs, near)
         left = self.docs.join(near(pairs), F.col("doc_id") == F.col("label")).select(
             "a", "b", F.col("text").alias("text_a")
         )
@@ -183,6 +213,35 @@ class _Search:
         )
 
 
+    def _links_by_block(self, pairs: DataFrame, near) -> DataFrame:
+        """Links among many pairs of few sets: sets fall into blocks, each pair of blocks is one
+        group, and a text goes once to each group that needs it instead of to each of its pairs."""
+        sets = pairs.select(F.col("a").alias("sid")).union(pairs.select(F.col("b").alias("sid")))
+        blocks = -(-sets.distinct().count() // BLOCK)
+        placed = written(
+            pairs.select(
+                "a",
+                "b",
+                F.pmod("a", F.lit(blocks)).alias("pa"),
+                F.pmod("b", F.lit(blocks)).alias("pb"),
+            )
+        )
+        needed = written(
+            placed.select(F.col("a").alias("sid"), "pa", "pb")
+            .union(placed.select(F.col("b").alias("sid"), "pa", "pb"))
+            .distinct()
+            .join(self.sets.select("sid", "label"), "sid")
+        )
+        texts = self.docs.join(near(needed), F.col("doc_id") == F.col("label")).select(
+            "pa", "pb", "sid", "text"
+        )
+        return written(
+            placed.groupBy("pa", "pb")
+            .cogroup(texts.groupBy("pa", "pb"))
+            .applyInArrow(_confirmed_block(self.n, self.percent), "u bigint, v bigint")
+        )
+
+
 def _pivoted(members: DataFrame, seed: int) -> DataFrame:
     """Pairs (a, b) of each set and its posting's pivot, with the number of such postings.
 
@@ -298,7 +357,7 @@ def _unresolved(rooted: DataFrame) -> DataFrame:
 
 def _stars(rooted: DataFrame, wide: DataFrame, seed: int) -> DataFrame:
     """Pairs of each set of a wide posting and the posting's pivot, if of other components."""
-    members = rooted.join(wide.select("key"), "key", "left_semi")
+    members = rooted.join(wide.select("key"), "key")
     root = members.select("sid", "root").distinct()
     return (
         _pivoted(members.select("key", "sid"), seed)
@@ -312,7 +371,7 @@ def _stars(rooted: DataFrame, wide: DataFrame, seed: int) -> DataFrame:
 def _between(search: _Search, rooted: DataFrame, keys: DataFrame) -> DataFrame:
     """Pairs of sets of one posting that are in different components and near enough in size."""
     sizes = search.sets.select("sid", F.col("n_shingles").alias("n"))
-    members = rooted.join(keys.select("key"), "key", "left_semi").join(sizes, "sid")
+    members = rooted.join(keys.select("key"), "key").join(sizes, "sid")
     left = members.select("key", F.col("sid").alias("a"), F.col("root").alias("ra"), F.col("n").alias("na"))
     right = members.select("key", F.col("sid").alias("b"), F.col("root").alias("rb"), F.col("n").alias("nb"))
     near = 100 * F.least("na", "nb") >= search.percent * F.greatest("na", "nb")

@@ -73,6 +73,10 @@ def _spans(kind: int, matches: Column, pieces: Column, lengths: Column) -> Colum
     return F.aggregate(steps, start, step)["out"]
 
 
+def _at_least(length: int):
+    return lambda x: x["n"] >= length
+
+
 def _with_base(docs: DataFrame) -> DataFrame:
     """`docs` with __base, the spans of the fixed formats; __text is scanned."""
     parts, empty = [], F.array().cast("array<struct<s:int,k:int,e:int,n:int>>")
@@ -84,11 +88,9 @@ def _with_base(docs: DataFrame) -> DataFrame:
         found = _spans(
             k, matches, F.split(text, pattern, -1), F.transform(counted, lambda x: F.length(x))
         )
-        parts.append(
-            F.when(
-                F.size(matches) > 0, F.filter(found, lambda x, least=least: x["n"] >= least)
-            ).otherwise(empty)
-        )
+        # The filter's lambda has one parameter: Spark would take a second one as the place.
+        enough = F.filter(found, _at_least(least))
+        parts.append(F.when(F.size(matches) > 0, enough).otherwise(empty))
     return docs.withColumn("__base", F.concat(*parts))
 
 
