@@ -304,6 +304,12 @@ def fit_aalen_johansen(
 def check_aj_results(result: DataFrame) -> DataFrame:
     """Bounds, endpoint pairs, their sum, and monotony of each curve."""
     require_schema(result, AJ_RESULT, "Aalen-Johansen result")
+    wrong_model = F.col("model_type") != "AALEN_JOHANSEN"
+    return check_curves(result, GROUP, wrong_model)
+
+
+def check_curves(result: DataFrame, group: list[str], wrong_model: Column) -> DataFrame:
+    """The rules of `check_aj_results` for curves of both endpoints in each `group`."""
     f, lo, hi = F.col("cumulative_incidence"), F.col("ci_lower"), F.col("ci_upper")
     bounded = (
         is_finite(f)
@@ -317,13 +323,13 @@ def check_aj_results(result: DataFrame) -> DataFrame:
         & (F.col("analysis_time") >= 0)
         & (F.col("n_at_risk") > 0)
     )
-    previous = F.lag(f).over(Window.partitionBy(*CURVE).orderBy("analysis_time"))
+    previous = F.lag(f).over(Window.partitionBy(*group, "endpoint").orderBy("analysis_time"))
     paired = (
         result.withColumn("drop", F.coalesce(f - previous < -1e-12, F.lit(False)))
-        .groupBy(*GROUP, "analysis_time")
+        .groupBy(*group, "analysis_time")
         .agg(
             F.count("*").alias("rows"),
-            F.count_if(~bounded | (F.col("model_type") != "AALEN_JOHANSEN")).alias("unbounded"),
+            F.count_if(~bounded | wrong_model).alias("unbounded"),
             F.count_if("drop").alias("drops"),
             F.count_if(F.col("endpoint") == "DEFAULT").alias("default_rows"),
             F.count_if(F.col("endpoint") == "PREPAYMENT").alias("prepay_rows"),

@@ -1312,12 +1312,23 @@ query(
     """SELECT loan_id, vintage_year AS origination_vintage, event_type, fico, original_ltv,
   original_dti, original_loan_term, duration_months FROM model
 WHERE event_type='DEFAULT' AND contains(loan_id,'Q2') ORDER BY loan_id LIMIT 10 OFFSET 5""",
-)(lambda s: reads.catalog_page(s.model, None, "default", "Q2", 5, 10))
+)(
+    lambda s: reads.catalog_page(
+        s.model,
+        # The last loan of a first page of five.
+        reads.catalog_page(s.model, rows=5, event="default", part="Q2")
+        .agg(F.coalesce(F.max("loan_id"), F.lit("")))
+        .first()[0],
+        rows=10,
+        event="default",
+        part="Q2",
+    )
+)
 
 query(
     "catalog_count",
     "SELECT count(*) AS loans FROM model WHERE vintage_year=2018 AND event_type='CENSOR'",
-)(lambda s: reads.catalog_count(s.model, 2018, "censor"))
+)(lambda s: reads.catalog_count(s.model, vintage=2018, event="censor"))
 
 query(
     "catalog_examples",

@@ -97,7 +97,9 @@ def export_checked(
 ) -> str:
     """Write to a staging path, re-read and validate it, then move it to the final path.
 
-    The final path keeps its old contents when validation fails.
+    The final path keeps its old contents when validation fails. The old table is moved aside, not
+    deleted, until the new one is in place: after a crash in between it is at `<path>__previous`,
+    and it is moved back when the second move fails.
     """
     spark = df.sparkSession
     staging = f"{path.rstrip('/')}__staging"
@@ -108,8 +110,14 @@ def export_checked(
     validate(written)
     fs, final = _filesystem(spark, path)
     _, source = _filesystem(spark, staging)
+    _, previous = _filesystem(spark, f"{path.rstrip('/')}__previous")
     if fs.exists(final):
-        fs.delete(final, True)
+        fs.delete(previous, True)
+        if not fs.rename(final, previous):
+            raise ContractError(f"{path}: could not move the old table aside.")
     if not fs.rename(source, final):
+        if fs.exists(previous):
+            fs.rename(previous, final)
         raise ContractError(f"{path}: could not move the validated table into place.")
+    fs.delete(previous, True)
     return path
