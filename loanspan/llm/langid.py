@@ -20,7 +20,7 @@ from loanspan.llm.common import replacing
 DIMENSIONS = 4096
 ORDERS = 3
 #: About this many documents of each language, picked by a hash of the id, are learned from.
-TRAIN_DOCS_PER_LANGUAGE = 1000
+TRAIN_DOCS_PER_LANGUAGE = 500
 #: Languages, by number of training documents and name, that a model holds at most.
 MAX_LANGUAGES = 500
 CLUSTERS = 4
@@ -126,7 +126,7 @@ def _count_batches(batches):
         yield pa.RecordBatch.from_arrays(
             [
                 batch.column(0),
-                pa.array([None if c is None else c.astype(np.uint32).tobytes() for c in found], pa.binary()),
+                pa.array([None if c is None else np.minimum(c, 65535).astype(np.uint16).tobytes() for c in found], pa.binary()),
             ],
             names=["lang", "counts"],
         )
@@ -141,7 +141,7 @@ def train(docs: DataFrame) -> Model:
     """Model of the documents with lang that are not held out.
 
     A sample of at most about TRAIN_DOCS_PER_LANGUAGE documents of each language is used; vectors
-    are counted on executors and only they reach the driver, 16 KB each.
+    are counted on executors and only they reach the driver, 8 KB each.
     """
     labelled = docs.filter(F.col("lang").isNotNull() & ~held_out(F.col("doc_id")))
     sizes = (
@@ -160,12 +160,15 @@ def train(docs: DataFrame) -> Model:
         picked.select("lang", "text")
         .mapInArrow(_count_batches, "lang string, counts binary")
         .filter("counts IS NOT NULL")
-        .orderBy("lang", "counts")
         .toArrow()
         .to_pydict()
     )
-    counts = np.frombuffer(b"".join(rows["counts"]), np.uint32).reshape(-1, DIMENSIONS)
-    return fit(counts.astype(np.float32), rows["lang"])
+    # The same model whatever the order of arrival.
+    order = sorted(range(len(rows["lang"])), key=lambda i: (rows["lang"][i], rows["counts"][i]))
+    counts = np.zeros((len(order), DIMENSIONS), np.float32)
+    for place, i in enumerate(order):
+        counts[place] = np.frombuffer(rows["counts"][i], np.uint16)
+    return fit(counts, [rows["lang"][i] for i in order])
 
 
 def _predictor(model: Model):
