@@ -23,13 +23,17 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from loanspan.llm.common import replacing
+from loanspan.llm.common import replacing, written
 
 #: Words in the lexicon, and bytes of the longest one.
-LEXICON_WORDS = 50_000
+LEXICON_WORDS = 100_000
 LEXICON_BYTES = 64
-#: Words whose count or encoding a task remembers.
-REMEMBERED = 300_000
+#: Words whose count a task, or whose encoding a process remembers.
+REMEMBERED = 400_000
+#: Bytes of a word up to which plain search for the best pair is faster than a heap.
+SHORT = 32
+#: Counts are told apart by this many steps for each doubling when the lexicon is cut.
+STEPS = 64
 
 _SPACE = r"\t-\r \x85\xa0  -     　"
 #: Fixed values of the tokenizer file's kind: its word pattern, ends of words, byte characters.
@@ -73,6 +77,16 @@ class Vocabulary:
         there is one."""
         parts: list[str | None] = [_byte_chars()[b] for b in word.encode("utf-8", "replace")]
         parts[-1] += _END
+        if len(parts) <= SHORT:
+            ranks, never = self.ranks, len(self.ranks)
+            while len(parts) > 1:
+                found = [ranks.get(pair, never) for pair in zip(parts, parts[1:], strict=False)]
+                best = min(found)
+                if best == never:
+                    break
+                i = found.index(best)
+                parts[i : i + 2] = [parts[i] + parts[i + 1]]
+            return [self.ids[p] for p in parts]
         after = [*range(1, len(parts)), -1]
         before = [*range(-1, len(parts) - 1)]
         heap = [
@@ -239,10 +253,20 @@ class Encoder:
     def __init__(self, vocabulary: Vocabulary, transducer: Transducer):
         self.vocabulary, self.transducer = vocabulary, transducer
         self.known: dict[str, tuple[int, ...]] = {}
+        #: Number of ids, the ids and the decoded text as strings, of each known word.
+        self.shown: dict[str, tuple[int, str, str]] = {}
+
+    def show(self, words: set[str]) -> None:
+        self.learn(words)
+        for word in words:
+            if word not in self.shown:
+                ids = self.known[word]
+                self.shown[word] = (len(ids), " ".join(map(str, ids)), self.vocabulary.decode(ids))
 
     def learn(self, words: set[str]) -> None:
         if len(self.known) + len(words) > REMEMBERED:
             self.known.clear()
+            self.shown.clear()
         new = [w for w in words if w not in self.known]
         for word, ids in zip(new, self.transducer.lookup([w.encode("utf-8", "replace") for w in new]), strict=True):
             if word in self.vocabulary.special:
@@ -258,17 +282,17 @@ class Encoder:
         return [i for w in words for i in self.known[w]]
 
 
-_loaded: dict[str, tuple[Vocabulary, Transducer]] = {}
+_loaded: dict[str, Encoder] = {}
 
 
 def _encoder(shared) -> Encoder:
-    """Encoder of a broadcast (vocabulary, transducer bytes), mapped once in a process."""
+    """Encoder of a broadcast (vocabulary, transducer bytes), made once in a process."""
     vocabulary, data = shared.value
     key = hashlib.sha256(data).hexdigest()
     if key not in _loaded:
         _loaded.clear()
-        _loaded[key] = (vocabulary, Transducer.mapped(data))
-    return Encoder(*_loaded[key])
+        _loaded[key] = Encoder(vocabulary, Transducer.mapped(data))
+    return _loaded[key]
 
 
 def _count_words(shared):
@@ -296,45 +320,53 @@ def _count_words(shared):
 
 
 def lexicon(docs: DataFrame, vocabulary: Vocabulary, size: int = LEXICON_WORDS) -> Transducer:
-    """Transducer of the `size` most frequent words of all documents, ties in order of word."""
+    """Transducer of the most frequent words of all documents, `size` at most.
+
+    Words are taken by steps of their count, from the highest, while a whole step fits. Only the
+    number of words of each step and the words taken reach the driver.
+    """
     shared = docs.sparkSession.sparkContext.broadcast(vocabulary)
-    top = (
+    counted = written(
         docs.select("text")
         .mapInArrow(_count_words(shared), "word string, n bigint")
         .filter(F.octet_length("word") <= LEXICON_BYTES)
         .groupBy("word")
         .agg(F.sum("n").alias("n"))
-        .orderBy(F.desc("n"), "word")
-        .limit(size)
-        .collect()  # `size` words of LEXICON_BYTES at most
+        .select("word", F.floor(F.log2("n") * STEPS).cast("int").alias("step"))
+    )
+    room, least = size, None
+    for row in counted.groupBy("step").count().orderBy(F.desc("step")).collect():
+        room -= row["count"]
+        if room < 0:
+            break
+        least = row["step"]
+    if least is None:
+        return Transducer.compile({})
+    words = [r["word"] for r in counted.filter(F.col("step") >= least).select("word").collect()]
+    return Transducer.compile(
+        {w.encode("utf-8"): vocabulary.merge(w) for w in words if w not in vocabulary.special}
     )
-    words = [r["word"] for r in top if r["word"] not in vocabulary.special]
-    return Transducer.compile({w.encode("utf-8"): vocabulary.merge(w) for w in words})
 
 
 def _encode_batches(shared, digest: bool):
     def run(batches):
         encoder = _encoder(shared)
-        decoded: dict[str, str] = {}
         for batch in batches:
             out: list[list] = [[], [], []]
             for text in batch.column(0).field("text").to_pylist():
                 words = encoder.vocabulary.split(text)
-                encoder.learn(set(words))
-                ids = [i for w in words for i in encoder.known[w]]
-                out[0].append(len(ids))
+                encoder.show(set(words))
+                shown = [encoder.shown[w] for w in words]
+                plain = " ".join([x[2] for x in shown])
                 if digest:
-                    if len(decoded) > REMEMBERED:
-                        decoded.clear()
-                    for w in words:
-                        if w not in decoded:
-                            decoded[w] = encoder.vocabulary.decode(encoder.known[w])
-                    plain = " ".join([decoded[w] for w in words])
-                    out[1].append(hashlib.sha256(" ".join(map(str, ids)).encode()).hexdigest())
+                    out[0].append(sum([x[0] for x in shown]))
+                    ids = " ".join([x[1] for x in shown])
+                    out[1].append(hashlib.sha256(ids.encode()).hexdigest())
                     out[2].append(hashlib.sha256(plain.encode("utf-8")).hexdigest())
                 else:
-                    out[1].append(ids)
-                    out[2].append(encoder.vocabulary.decode(ids))
+                    out[1].append([i for w in words for i in encoder.known[w]])
+                    out[0].append(len(out[1][-1]))
+                    out[2].append(plain)
             kinds = [pa.int64(), pa.string() if digest else pa.list_(pa.int32()), pa.string()]
             names = ["n", "ids_sha256", "decoded_sha256"] if digest else ["n", "ids", "decoded"]
             yield pa.RecordBatch.from_arrays(
