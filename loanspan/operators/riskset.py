@@ -103,12 +103,15 @@ def month_sums(table: DataFrame, betas: list[np.ndarray]) -> list[MonthSums]:
         sums += [
             F.sum(w * F.col(f"z{i}") * F.col(f"z{j}")).alias(f"s{b}_{i}_{j}") for i, j in _pairs(p)
         ]
-    grouped = weighted.groupingSets(
+    # Rows meet one hash aggregate per step; only its cells, a few thousand, are grouped twice.
+    cells = weighted.groupBy("entry", "exit", "code").agg(*sums)
+    again = [F.sum(c).alias(c) for c in cells.columns if c not in ("entry", "exit", "code")]
+    grouped = cells.groupingSets(
         [[F.col("entry")], [F.col("exit"), F.col("code")]],
         F.col("entry"),
         F.col("exit"),
         F.col("code"),
-    ).agg(*sums)
+    ).agg(*again)
     rows = grouped.limit(MAX_MONTH_ROWS + 1).collect()
     if len(rows) > MAX_MONTH_ROWS:
         raise ContractError("The clock has too many distinct months for month sums.")
