@@ -29,7 +29,9 @@ from loanspan.llm.common import replacing, written
 LEXICON_WORDS = 100_000
 LEXICON_BYTES = 64
 #: Words whose count a task, or whose encoding a process remembers.
-REMEMBERED = 400_000
+REMEMBERED = 200_000
+#: Rows that are encoded before they are passed on.
+ROWS = 500
 #: Bytes of a word up to which plain search for the best pair is faster than a heap.
 SHORT = 32
 #: Counts are told apart by this many steps for each doubling when the lexicon is cut.
@@ -256,25 +258,30 @@ class Encoder:
         #: Number of ids, the ids and the decoded text as strings, of each known word.
         self.shown: dict[str, tuple[int, str, str]] = {}
 
-    def show(self, words: set[str]) -> None:
-        self.learn(words)
-        for word in words:
-            if word not in self.shown:
-                ids = self.known[word]
-                self.shown[word] = (len(ids), " ".join(map(str, ids)), self.vocabulary.decode(ids))
+    def ids_of(self, words: list[str]) -> list[tuple[int, ...]]:
+        """Ids of each word: a special token's, the transducer's, or those of exact merges."""
+        special, found = self.vocabulary.special, []
+        looked_up = self.transducer.lookup([w.encode("utf-8", "replace") for w in words])
+        for word, ids in zip(words, looked_up, strict=True):
+            if word in special:
+                found.append((special[word],))
+            else:
+                found.append(tuple(ids.tolist() if ids is not None else self.vocabulary.merge(word)))
+        return found
+
+    def _new(self, memory: dict, words: set[str]) -> list[str]:
+        if len(memory) + len(words) > REMEMBERED:
+            memory.clear()
+        return [w for w in words if w not in memory]
 
     def learn(self, words: set[str]) -> None:
-        if len(self.known) + len(words) > REMEMBERED:
-            self.known.clear()
-            self.shown.clear()
-        new = [w for w in words if w not in self.known]
-        for word, ids in zip(new, self.transducer.lookup([w.encode("utf-8", "replace") for w in new]), strict=True):
-            if word in self.vocabulary.special:
-                self.known[word] = (self.vocabulary.special[word],)
-            elif ids is not None:
-                self.known[word] = tuple(ids.tolist())
-            else:
-                self.known[word] = tuple(self.vocabulary.merge(word))
+        new = self._new(self.known, words)
+        self.known.update(zip(new, self.ids_of(new), strict=True))
+
+    def show(self, words: set[str]) -> None:
+        new = self._new(self.shown, words)
+        for word, ids in zip(new, self.ids_of(new), strict=True):
+            self.shown[word] = (len(ids), " ".join(map(str, ids)), self.vocabulary.decode(ids))
 
     def encode(self, text: str | None) -> list[int]:
         words = self.vocabulary.split(text)
@@ -348,57 +355,70 @@ def lexicon(docs: DataFrame, vocabulary: Vocabulary, size: int = LEXICON_WORDS)
     )
 
 
-def _encode_batches(shared, digest: bool):
+def _encode_batches(shared, names: list[str], kinds: list[pa.DataType]):
+    def digests(encoder: Encoder, words: list[str]) -> tuple:
+        encoder.show(set(words))
+        shown = [encoder.shown[w] for w in words]
+        ids, plain = " ".join([x[1] for x in shown]), " ".join([x[2] for x in shown])
+        return (
+            sum([x[0] for x in shown]),
+            hashlib.sha256(ids.encode()).hexdigest(),
+            hashlib.sha256(plain.encode("utf-8")).hexdigest(),
+        )
+
+    def whole(encoder: Encoder, words: list[str]) -> tuple:
+        encoder.learn(set(words))
+        ids = [i for w in words for i in encoder.known[w]]
+        return (len(ids), ids, encoder.vocabulary.decode(ids) if "decoded" in names else None)
+
     def run(batches):
         encoder = _encoder(shared)
+        row = digests if "ids_sha256" in names else whole
         for batch in batches:
-            out: list[list] = [[], [], []]
-            for text in batch.column(0).field("text").to_pylist():
-                words = encoder.vocabulary.split(text)
-                encoder.show(set(words))
-                shown = [encoder.shown[w] for w in words]
-                plain = " ".join([x[2] for x in shown])
-                if digest:
-                    out[0].append(sum([x[0] for x in shown]))
-                    ids = " ".join([x[1] for x in shown])
-                    out[1].append(hashlib.sha256(ids.encode()).hexdigest())
-                    out[2].append(hashlib.sha256(plain.encode("utf-8")).hexdigest())
-                else:
-                    out[1].append([i for w in words for i in encoder.known[w]])
-                    out[0].append(len(out[1][-1]))
-                    out[2].append(plain)
-            kinds = [pa.int64(), pa.string() if digest else pa.list_(pa.int32()), pa.string()]
-            names = ["n", "ids_sha256", "decoded_sha256"] if digest else ["n", "ids", "decoded"]
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0), *(pa.array(v, k) for v, k in zip(out, kinds, strict=True))],
-                names=["row", *names],
-            )
+            # Ids take more memory than texts: a few rows at a time.
+            for start in range(0, batch.num_rows, ROWS):
+                part = batch.slice(start, ROWS)
+                texts = part.column(0).field("text").to_pylist()
+                rows = [row(encoder, encoder.vocabulary.split(text)) for text in texts]
+                columns = [pa.array([r[i] for r in rows], k) for i, k in enumerate(kinds)]
+                yield pa.RecordBatch.from_arrays([part.column(0), *columns], names=["row", *names])
 
     return run
 
 
-def encoded(docs: DataFrame, path: str, digest: bool = False, size: int = LEXICON_WORDS) -> DataFrame:
+def encoded(
+    docs: DataFrame,
+    path: str,
+    digest: bool = False,
+    decode: bool = True,
+    size: int = LEXICON_WORDS,
+) -> DataFrame:
     """`docs` with n_tokens, ids and decoded, or the digests ids_sha256 and decoded_sha256.
 
-    `path` names the tokenizer file, which only the driver reads. Columns of `docs` with result
-    names are replaced. Null texts are empty: no ids, an empty decoded text. Null ids and repeated
-    rows pass through. Texts are encoded whole.
+    `path` names the tokenizer file, which only the driver reads; without `decode` there is no
+    column decoded. Columns of `docs` with result names are replaced. Null texts are empty: no
+    ids, an empty decoded text. Null ids and repeated rows pass through. Texts are encoded whole.
     """
     vocabulary = Vocabulary.load(path)
     transducer = lexicon(docs, vocabulary, size)
     shared = docs.sparkSession.sparkContext.broadcast((vocabulary, transducer.to_bytes()))
     row = docs.select(F.struct("*").alias("row"))
-    names = ["ids_sha256", "decoded_sha256"] if digest else ["ids", "decoded"]
-    kinds = ["string", "string"] if digest else ["array<int>", "string"]
-    columns = ", ".join(f"{n} {k}" for n, k in zip(names, kinds, strict=True))
+    if digest:
+        names, kinds = ["n", "ids_sha256", "decoded_sha256"], [pa.int64(), pa.string(), pa.string()]
+    else:
+        names, kinds = ["n", "ids"], [pa.int64(), pa.list_(pa.int32())]
+        if decode:
+            names, kinds = [*names, "decoded"], [*kinds, pa.string()]
+    sql = {pa.int64(): "bigint", pa.string(): "string", pa.list_(pa.int32()): "array<int>"}
+    columns = ", ".join(f"{n} {sql[k]}" for n, k in zip(names, kinds, strict=True))
     found = row.mapInArrow(
-        _encode_batches(shared, digest),
-        f"row {row.schema['row'].dataType.simpleString()}, n bigint, {columns}",
+        _encode_batches(shared, names, kinds),
+        f"row {row.schema['row'].dataType.simpleString()}, {columns}",
     )
-    flat = found.select("row.*", *[F.col(c).alias(f"__{c}") for c in ("n", *names)])
+    flat = found.select("row.*", *[F.col(c).alias(f"__{c}") for c in names])
     return replacing(
-        flat, {"n_tokens": F.col("__n")} | {c: F.col(f"__{c}") for c in names}
-    ).drop("__n", *[f"__{c}" for c in names])
+        flat, {"n_tokens": F.col("__n")} | {c: F.col(f"__{c}") for c in names[1:]}
+    ).drop(*[f"__{c}" for c in names])
 
 
 def query(docs: DataFrame, path: str) -> DataFrame:
