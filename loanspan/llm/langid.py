@@ -2,13 +2,15 @@
 
 A text is a normalised TF-IDF vector of its hashed character 1- to 3-grams. Each language has
 several centroids, the clusters of its training vectors, and the nearest one by cosine names the
-language. A text further from it than the centroid's radius is rejected.
+language. A text further from it than the centroid's radius is rejected. How wide radii are is
+learned from texts left out of training, with and without the centroids of their own language.
 """
 
 from __future__ import annotations
 
 from dataclasses import dataclass
 from functools import cache
+from zlib import crc32
 
 import numpy as np
 import pyarrow as pa
@@ -25,10 +27,13 @@ TRAIN_DOCS_PER_LANGUAGE = 500
 MAX_LANGUAGES = 500
 CLUSTERS = 4
 ROUNDS = 12
-#: A centroid's radius is this quantile of its members' distances, and the given share of the way
-#: from there to the distance of orthogonal vectors.
+#: A centroid's radius is this quantile of its members' distances, and a share of the way from
+#: there to the distance of orthogonal vectors, the slack. The slack is learned, see _slack().
 RADIUS_QUANTILE = 0.99
-RADIUS_SLACK = 0.75
+#: Parts of the training texts, each judged by a model of the others; the slack passes at least
+#: this share of them.
+FOLDS = 3
+LEAST_PASSED = 0.99
 UNKNOWN = "und"
 
 
@@ -102,22 +107,78 @@ def _clusters(vectors: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
     return centroids, (vectors @ centroids.T).argmax(axis=1)
 
 
+def _edges(vectors: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Centroids of one language's vectors, and the quantile of distances of each one's members."""
+    centres, own = _clusters(vectors, CLUSTERS)
+    used = [j for j in range(len(centres)) if (own == j).any()]
+    edges = [np.quantile(1 - vectors[own == j] @ centres[j], RADIUS_QUANTILE) for j in used]
+    return centres[used], np.array(edges)
+
+
+def _needed(vectors: np.ndarray, centroids: np.ndarray, edges: np.ndarray) -> np.ndarray:
+    """The least slack with which each vector passes."""
+    cosines = vectors @ centroids.T
+    best = cosines.argmax(axis=1)
+    distance = 1 - cosines[np.arange(len(best)), best]
+    return (distance - edges[best]) / np.maximum(1 - edges[best], 1e-9)
+
+
+def _slack(known: np.ndarray, foreign: np.ndarray) -> float:
+    """The slack that tells best the texts of known languages from those of languages not learned,
+    by what each text needs; the middle of the gap, and at least LEAST_PASSED of the known pass."""
+    if not len(known):
+        return 0.0
+    floor = max(float(np.quantile(known, LEAST_PASSED, method="higher")), 0.0)
+    if not len(foreign):
+        return min(floor, 1.0)
+    cuts = np.unique(np.concatenate((known[known > floor], foreign[foreign > floor], [floor])))
+    lost = 1 - np.searchsorted(np.sort(known), cuts, side="right") / len(known)
+    passed = np.searchsorted(np.sort(foreign), cuts, side="right") / len(foreign)
+    best = int((lost + passed).argmin())
+    return min(float(cuts[best : best + 2].mean()), 1.0)
+
+
 def fit(counts: np.ndarray, languages: list[str]) -> Model:
     """Model of labelled term counts, one row for each text."""
     if not languages:
         return Model(np.ones(DIMENSIONS), np.zeros((0, DIMENSIONS)), [], np.zeros(0))
     idf = np.log((1 + len(counts)) / (1 + (counts > 0).sum(axis=0))) + 1
-    labels, names, centroids, radii = np.array(languages), [], [], []
+    labels = np.array(languages)
+    # Equal texts are in the same part.
+    folds = np.array([crc32(row.tobytes()) % FOLDS for row in counts])
+    names, centroids, edges = [], [], []
+    parts: list[list[tuple]] = [[] for _ in range(FOLDS)]
     for name in sorted(set(languages)):
-        vectors = _vectors(counts[labels == name], idf)
-        centres, own = _clusters(vectors, CLUSTERS)
-        for j in range(len(centres)):
-            if (own == j).any():
-                edge = np.quantile(1 - vectors[own == j] @ centres[j], RADIUS_QUANTILE)
-                names.append(name)
-                centroids.append(centres[j])
-                radii.append(edge + RADIUS_SLACK * (1 - edge))
-    return Model(idf.astype(np.float32), np.array(centroids, np.float32), names, np.array(radii))
+        own = labels == name
+        vectors = _vectors(counts[own], idf)
+        centres, edge = _edges(vectors)
+        names += [name] * len(centres)
+        centroids.append(centres)
+        edges.append(edge)
+        for part in range(FOLDS):
+            rest = vectors[folds[own] != part]
+            if len(rest):
+                centres, edge = _edges(rest)
+                parts[part].append(([name] * len(centres), centres, edge))
+    known, foreign = [np.zeros(0)], [np.zeros(0)]
+    for part, found in enumerate(parts):
+        if not found:
+            continue
+        of = np.array([name for owners, _, _ in found for name in owners])
+        centres, edge = np.concatenate([c for _, c, _ in found]), np.concatenate([e for _, _, e in found])
+        for name in sorted(set(languages)):
+            held = counts[(labels == name) & (folds == part)]
+            other = of != name
+            if not len(held):
+                continue
+            vectors = _vectors(held, idf)
+            if not other.all():
+                known.append(_needed(vectors, centres, edge))
+            if other.any():
+                foreign.append(_needed(vectors, centres[other], edge[other]))
+    edge = np.concatenate(edges)
+    radii = edge + _slack(np.concatenate(known), np.concatenate(foreign)) * (1 - edge)
+    return Model(idf.astype(np.float32), np.concatenate(centroids).astype(np.float32), names, radii)
 
 
 def _count_batches(batches):

@@ -96,6 +96,18 @@ def test_language(spark, small, odd, none):
     assert np.array_equal(langid.train(other).centroids, model.centroids)
 
 
+def test_languages_never_learned_are_rejected(spark, small):
+    random = np.random.default_rng(2)
+    letters = list("abcdefghijklmnopqrstuvwxyz")
+    junk = [" ".join("".join(random.choice(letters, random.integers(2, 10))) for _ in range(60)) for _ in range(50)]
+    for left_out in ("de", "fr", "es", "en"):
+        model = langid.train(small.filter(f"lang <> '{left_out}'"))
+        rows = langid.identify(small, model).collect()
+        assert np.mean([r["rejected"] for r in rows if r["lang"] == left_out]) >= 0.9
+        assert np.mean([r["rejected"] for r in rows if r["lang"] != left_out]) <= 0.02
+        assert all(r["rejected"] for r in langid.identify(documents(spark, junk), model).collect())
+
+
 @pytest.fixture(scope="module")
 def tokenizer():
     return Tokenizer.from_file(tokenizer_path())
