@@ -6,6 +6,10 @@ class; classes of two or more tokens on at least half of the pages, with each el
 end in order inside one class, are the host's template, nested by path. The article lies in the
 slot of one template element; what remains of that slot without boilerplate elements is the text.
 
+Elements are boilerplate by name or by words of class, id or role. A page's frame, articles and
+headings never are by words, an element with as much of the host's text as a container never is by
+words or as a form, and a label with other words besides counts only on the host's template.
+
 Occurrence vectors never exist: two sums of a hash of (page, count) stand for them, so a host with
 a third of all pages is summed on the map side like any other and nothing is gathered by host.
 """
@@ -36,8 +40,10 @@ BLOCKS = {
     "h6", "head", "header", "hr", "html", "legend", "li", "main", "menu", "nav", "ol", "option", "p", "pre",
     "section", "summary", "table", "tbody", "td", "tfoot", "th", "thead", "tr", "ul",
 }
-#: Elements that are never part of an article, by name and by a word of class, id or role.
-ASIDE = {"nav", "footer", "aside", "form", "button", "select", "menu", "dialog", "head", "object", "canvas"} | RAW
+#: Elements that are never part of an article, by name and by a word of class, id or role; a form
+#: is one unless it holds the text.
+ASIDE = {"nav", "footer", "aside", "button", "select", "menu", "dialog", "head", "object", "canvas"} | RAW
+FORM = "form"
 ASIDE_WORDS = {
     "ad", "ads", "advert", "adverts", "advertisement", "advertising", "promo", "promotion", "sponsor", "sponsored",
     "banner", "cookie", "cookies", "consent", "notice", "notices", "alert", "popup", "modal", "overlay", "sidebar",
@@ -49,6 +55,8 @@ ASIDE_WORDS = {
 HEADER, HEADER_WORDS = {"header"}, {"header", "masthead"}
 #: Elements that can be a container besides article and main.
 CONTAINERS = {"div", "section", "main", "article", "td", "table", "center", "body", "html"}
+#: Elements that words do not make boilerplate.
+KEPT = {"html", "body", "main", "article", "h1", "h2", "h3", "h4", "h5", "h6"}
 ARTICLE, ARTICLE_ROLES = {"article", "main"}, {"main", "article"}
 
 _PART = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)(?:>|\Z)", re.S)
@@ -59,21 +67,37 @@ _ENDS_P = BLOCKS - {"br", "option", "body", "html", "head"}
 
 
 class Element:
-    __slots__ = ("aside", "header", "is_article", "mass", "name", "token")
+    __slots__ = ("aside", "by_name", "header", "is_article", "mass", "name", "soft", "token")
 
-    def __init__(self, name: str, attributes: str, parent: Element | None):
-        labels = " ".join((b or c or d).lower() for _, b, c, d in _LABEL.findall(attributes)) if attributes else ""
+    def __init__(self, name: str, attributes: str, parent: Element | None, exceptions=frozenset()):
+        found = [(k.lower(), (b or c or d).lower()) for k, b, c, d in _LABEL.findall(attributes)] if attributes else []
+        labels = " ".join(v for _, v in found)
         words = set(_WORD.findall(labels))
         self.name = name
-        self.aside = name in ASIDE or bool(words & ASIDE_WORDS)
-        self.header = name in HEADER or bool(words & HEADER_WORDS)
-        self.is_article = not self.aside and (
-            name in ARTICLE or bool(ARTICLE_ROLES & set(labels.split()) and "role" in attributes.lower())
-        )
-        self.mass = 0
         path = parent.token if parent else 0
         stable = re.sub(r"\d+", "0", labels)
         self.token = xxhash.xxh3_64_intdigest(f"{path} {name} {stable}".encode("utf-8", "replace")) >> 1
+        self.by_name = name in ASIDE or name in HEADER
+        aside, header = bool(words & ASIDE_WORDS), bool(words & HEADER_WORDS)
+        # A label of listed words only; the id of a section is a mark in the text.
+        sure = (aside or header) and any(
+            part <= ASIDE_WORDS | HEADER_WORDS
+            for k, v in found if k != "id" or name != "section"
+            for part in map(set, map(_WORD.findall, v.split())) if part
+        )
+        #: None, or whether the host's exceptions turn it from boilerplate (True) or to it (False).
+        self.soft = None
+        if name == FORM:
+            self.soft, aside, header = True, True, False
+        elif (aside or header) and name not in KEPT and not self.by_name:
+            self.soft = sure
+        on = self.soft is not None and self.soft != (self.token in exceptions)
+        self.aside = name in ASIDE or (on and aside)
+        self.header = name in HEADER or (on and header and not aside)
+        self.is_article = not self.aside and not (sure and aside) and (
+            name in ARTICLE or bool(ARTICLE_ROLES & set(labels.split()) and "role" in attributes.lower())
+        )
+        self.mass = 0
 
     @property
     def end(self) -> int:
@@ -81,7 +105,7 @@ class Element:
         return self.token ^ 1
 
 
-def events(page: str):
+def events(page: str, exceptions=frozenset()):
     """(text, None, stack), ("", element, stack) at starts and (None, element, stack) at ends, in
     page order. Unclosed elements end with an ancestor; end tags without start are ignored."""
     stack: list[Element] = []
@@ -114,7 +138,7 @@ def events(page: str):
         if name == "li" and stack and stack[-1].name == "li":
             yield None, stack.pop(), stack
         attributes = match.group(3) or ""
-        element = Element(name, attributes, stack[-1] if stack else None)
+        element = Element(name, attributes, stack[-1] if stack else None, exceptions)
         yield "", element, stack
         if name in VOID or attributes.rstrip().endswith("/"):
             continue
@@ -129,11 +153,27 @@ def _outside(stack: list[Element]) -> bool:
     return any(e.aside or e.header for e in stack)
 
 
-def statistics(page: str) -> dict[int, list]:
+def doubtful(page: str) -> dict[int, list]:
+    """Text inside each element that words or a form make boilerplate, and whether they do without
+    the template. Token 0 is the page."""
+    found: dict[int, list] = {0: [0, False]}
+    for text, element, stack in events(page):
+        if element is None:
+            if not any(e.by_name for e in stack):
+                size = len(text.strip())
+                found[0][0] += size
+                for token in {e.token for e in stack if e.soft is not None}:
+                    found[token][0] += size
+        elif text == "" and element.soft is not None:
+            found.setdefault(element.token, [0, element.soft])
+    return found
+
+
+def statistics(page: str, exceptions=frozenset()) -> dict[int, list]:
     """Of each markup token: occurrences, text inside, whether it is a start tag, an article, and
     its depth. Token 0 is the page."""
     found: dict[int, list] = {0: [1, 0, False, False, 0]}
-    for text, element, stack in events(page):
+    for text, element, stack in events(page, exceptions):
         if element is None:
             if not _outside(stack):
                 size = len(text.strip())
@@ -150,7 +190,7 @@ def statistics(page: str) -> dict[int, list]:
     return found
 
 
-def main_text(page: str | None, container: int | None) -> str:
+def main_text(page: str | None, container: int | None, exceptions=frozenset()) -> str:
     """Text of a page's article: of the elements with the token `container`, else of its article or
     main elements, else of the whole page; without boilerplate elements."""
     page = page or ""
@@ -163,7 +203,7 @@ def main_text(page: str | None, container: int | None) -> str:
         inside: list[Element] = []
         hidden: list[Element] = []
         any_container = False
-        for text, element, stack in events(page):
+        for text, element, stack in events(page, exceptions):
             if element is None:
                 if (inside or choose is None) and not hidden:
                     parts.append(markup.unescape(text))
@@ -188,11 +228,30 @@ def main_text(page: str | None, container: int | None) -> str:
     return ""
 
 
+def _doubtful_batches(batches):
+    for batch in batches:
+        sums: dict[tuple[str, int], list] = {}
+        for host, page in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            for token, (mass, sure) in doubtful(page).items():
+                row = sums.setdefault((host, token), [0, 0, sure])
+                row[0] += 1
+                row[1] += mass
+        columns = [[h for h, _ in sums], [t for _, t in sums], *zip(*sums.values(), strict=True)]
+        if sums:
+            kinds = [pa.string(), *[pa.int64()] * 3, pa.bool_()]
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=_DOUBTFUL
+            )
+
+
+_DOUBTFUL = ["host", "token", "pages", "mass", "sure"]
+
+
 def _statistic_batches(batches):
     for batch in batches:
         sums: dict[tuple[str, int], list] = {}
-        for host, identity, page in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-            for token, (count, mass, start, article, depth) in statistics(page).items():
+        for host, identity, page, exceptions in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            for token, (count, mass, start, article, depth) in statistics(page, frozenset(exceptions or ())).items():
                 mark = xxhash.xxh3_64_intdigest(f"{identity} {count}".encode())
                 row = sums.setdefault((host, token), [0, 0, 0, 0, 0, start, article, depth])
                 row[0] += 1
@@ -218,15 +277,49 @@ def host_of(url):
     )
 
 
+def exceptions(pages: DataFrame) -> DataFrame:
+    """(host, exceptions): tokens of elements that are not boilerplate though a form or labelled so,
+    since they hold as much of the host's text as a container; and of elements that are, since they
+    have a listed word among others and are on two pages or more and half of the host's.
+
+    Hosts without such elements have no row.
+    """
+    found = pages.select("host", text_of(F.col("html")).alias("html")).mapInArrow(
+        _doubtful_batches, "host string, token bigint, pages bigint, mass bigint, sure boolean"
+    )
+    tokens = written(
+        found.groupBy("host", "token").agg(F.sum("pages").alias("pages"), F.sum("mass").alias("mass"), F.max("sure").alias("sure"))
+    )
+    hosts = tokens.filter("token = 0").select(
+        "host", F.col("pages").alias("host_pages"), F.col("mass").alias("host_mass")
+    )
+    holds = F.expr(f"100 * mass >= {CONTAINER_PERCENT} * host_mass AND mass > 0")
+    common = F.expr("pages > 1 AND 2 * pages >= host_pages")
+    return (
+        tokens.filter("token <> 0")
+        .join(hosts, "host")
+        .filter(F.when(F.col("sure"), holds).otherwise(common & ~holds))
+        .groupBy("host")
+        .agg(F.sort_array(F.collect_list("token")).alias("exceptions"))
+    )
+
+
+def _with_host_rows(pages: DataFrame, found: DataFrame) -> DataFrame:
+    """`pages` with the columns of their host's row in `found`, or nulls."""
+    return pages.join(F.broadcast(found) if found.count() <= BROADCAST_HOSTS else found, "host", "left")
+
+
 def templates(pages: DataFrame) -> DataFrame:
-    """(host, container): the template element of each host that holds the article.
+    """(host, container): the template element of each host that holds the article. `pages` have
+    host and exceptions.
 
     Hosts of one page, and hosts whose template has no such element, have no row.
     """
     counted = pages.select(
-        host_of(F.col("url")).alias("host"),
+        "host",
         F.xxhash64("page_id", "url", "html").alias("identity"),
         text_of(F.col("html")).alias("html"),
+        "exceptions",
     ).mapInArrow(
         _statistic_batches,
         "host string, token bigint, pages bigint, total bigint, mark1 bigint, mark2 bigint,"
@@ -267,8 +360,10 @@ def _text_batches(batches):
     for batch in batches:
         rows = batch.column(0)
         texts = [
-            main_text(page, container)
-            for page, container in zip(rows.field("html").to_pylist(), batch.column(1).to_pylist(), strict=True)
+            main_text(page, container, frozenset(exceptions or ()))
+            for page, container, exceptions in zip(
+                rows.field("html").to_pylist(), *(c.to_pylist() for c in batch.columns[1:]), strict=True
+            )
         ]
         yield pa.RecordBatch.from_arrays(
             [rows.field("page_id"), rows.field("url"), pa.array(texts, pa.string())],
@@ -284,9 +379,9 @@ def extract(pages: DataFrame) -> DataFrame:
     ids and repeated rows pass through; other columns are not looked at.
     """
     pages = pages.select(F.col("page_id").cast("bigint").alias("page_id"), "url", "html")
-    found = written(templates(pages))
-    found = F.broadcast(found) if found.count() <= BROADCAST_HOSTS else found
-    chosen = pages.withColumn("host", host_of(F.col("url"))).join(found, "host", "left")
-    row = chosen.select(F.struct("page_id", "url", "html").alias("row"), "container")
+    pages = pages.withColumn("host", host_of(F.col("url")))
+    pages = _with_host_rows(pages, written(exceptions(pages)))
+    chosen = _with_host_rows(pages, written(templates(pages)))
+    row = chosen.select(F.struct("page_id", "url", "html").alias("row"), "container", "exceptions")
     texts = row.mapInArrow(_text_batches, "page_id bigint, url string, text string")
     return texts.withColumn("n_chars", F.length("text").cast("bigint"))

@@ -172,6 +172,32 @@ def test_extraction_learns_a_template(spark):
     assert extract.extract(pages.limit(0)).count() == 0
 
 
+def test_extraction_keeps_frames_and_articles_with_listed_words(spark):
+    text = "<h2 id='related-work'>Related</h2><p>Long {0} " + "words " * 40 + "</p><section id='search-{1}'><p>Trees {0}</p></section>"
+    frames = [
+        "<body class='has-sidebar'>" + text + "</body>",
+        "<body><article class='post comments-open'>" + text + "</article></body>",
+        "<body><main class='with-sidebar'>" + text + "</main></body>",
+        "<body><form><div>" + text + "</div></form></body>",
+        "<body><div class='sidebar-layout'>" + text + "</div><div class='ad box'>buy</div></body>",
+        "<body class='fixed-header'><div class='notice'>" + text + "</div><div class=share>s</div></body>",
+    ]
+    rows = [(10 * f + i, f"http://h{f}/{i}", frame.format(i, "abc"[i] * 3)) for f, frame in enumerate(frames) for i in range(3)]
+    rows += [(100 + f, f"http://one{f}/", frame.format(0, "algorithms")) for f, frame in enumerate(frames)]
+    # On one host, blocks of listed words among others: a template's, and one page's own.
+    rows += [
+        (200 + i, "http://t/", f"<body><div class=text><p>Long {i} {'words ' * 40}</p><div class='post-comments'>nice {i}</div>"
+         + ("<div id='share-prices'>Prices</div>" if i == 2 else "") + "</div></body>") for i in range(5)
+    ]
+    pages = spark.createDataFrame(rows, "page_id bigint, url string, html string")
+    found = {r["page_id"]: r["text"] for r in extract.extract(pages).collect()}
+    words = " ".join(["words"] * 40)
+    for i, text in found.items():
+        n = i % 10 if i < 100 or i >= 200 else 0
+        expected = f"Related Long {n} {words} Trees {n}" if i < 200 else f"Long {n} {words}" + " Prices" * (n == 2)
+        assert text == expected, i
+
+
 PII = [
     ("email", r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", lambda v, d: True),
     ("ip", r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", lambda v, d: all(int(x) <= 255 for x in v.split("."))),
