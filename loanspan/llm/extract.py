@@ -5,6 +5,9 @@ that occur equally often on every page have equal occurrence vectors and form an
 class; classes of two or more tokens on at least half of the pages, with each element's start and
 end in order inside one class, are the host's template, nested by path. The article lies in the
 slot of one template element; what remains of that slot without boilerplate elements is the text.
+A block inside is a token by path and wording too. One in the class of the article's element, once
+on each of its pages like itself, is the site's and not the article's; paragraphs, lists and headings
+that are in no such block stay.
 
 Elements are boilerplate by name or by words of class, id or role. A page's frame, articles and
 headings never are by words, an element with as much of the host's text as a container never is by
@@ -28,6 +31,12 @@ from loanspan.llm.common import text_of, written
 
 #: Least share of a host's text that lies in an element taken for the article's container.
 CONTAINER_PERCENT = 60
+#: Pages on which a block must be to count as the site's, and the share of a page's text that is left
+#: at least; with less left the pages are copies of each other, and nothing is taken away.
+SITE_TEXT_PAGES = 5
+LEFT_PERCENT = 50
+#: Tokens held at once while counting.
+HELD_TOKENS = 200_000
 #: Hosts, one id each, whose templates are broadcast at most; more are joined by shuffle.
 BROADCAST_HOSTS = 200_000
 
@@ -67,7 +76,7 @@ _ENDS_P = BLOCKS - {"br", "option", "body", "html", "head"}
 
 
 class Element:
-    __slots__ = ("aside", "by_name", "header", "is_article", "mass", "name", "soft", "token")
+    __slots__ = ("aside", "by_name", "first", "header", "is_article", "mass", "name", "soft", "token", "wording")
 
     def __init__(self, name: str, attributes: str, parent: Element | None, exceptions=frozenset()):
         found = [(k.lower(), (b or c or d).lower()) for k, b, c, d in _LABEL.findall(attributes)] if attributes else []
@@ -98,6 +107,7 @@ class Element:
             name in ARTICLE or bool(ARTICLE_ROLES & set(labels.split()) and "role" in attributes.lower())
         )
         self.mass = 0
+        self.wording = 0
 
     @property
     def end(self) -> int:
@@ -169,48 +179,82 @@ def doubtful(page: str) -> dict[int, list]:
     return found
 
 
+def fold(text: str, stack: list[Element]) -> None:
+    """Takes a text into the wording of the element that it is in."""
+    words = " ".join(text.split())
+    if words and stack and not any(e.aside for e in stack):
+        stack[-1].wording = _mixed(stack[-1].wording, words)
+
+
+def _mixed(*values) -> int:
+    return xxhash.xxh3_64_intdigest(" ".join(map(str, values)).encode("utf-8", "replace")) >> 1
+
+
+def folded(element: Element, stack: list[Element]) -> int | None:
+    """Token of a block that ends and can be the site's. Its wording goes into that of its parent."""
+    if not element.wording:
+        return None
+    if stack:
+        stack[-1].wording = _mixed(stack[-1].wording, element.wording)
+    return _mixed(element.token, "#text", element.wording) if element.name in CONTAINERS else None
+
+
 def statistics(page: str, exceptions=frozenset()) -> dict[int, list]:
-    """Of each markup token: occurrences, text inside, whether it is a start tag, an article, and
-    its depth. Token 0 is the page."""
-    found: dict[int, list] = {0: [1, 0, False, False, 0]}
+    """Of each token: occurrences, text inside, whether it is a start tag, an article, its depth, and
+    whether it is a text. Token 0 is the page."""
+    found: dict[int, list] = {0: [1, 0, False, False, 0, False]}
     for text, element, stack in events(page, exceptions):
         if element is None:
+            fold(text, stack)
             if not _outside(stack):
                 size = len(text.strip())
                 found[0][1] += size
                 for e in stack:
                     e.mass += size
         elif text == "":
-            row = found.setdefault(element.token, [0, 0, True, element.is_article and not _outside(stack), len(stack)])
+            row = found.setdefault(element.token, [0, 0, True, element.is_article and not _outside(stack), len(stack), False])
             row[0] += 1
         else:
-            row = found.setdefault(element.end, [0, 0, False, False, len(stack)])
+            row = found.setdefault(element.end, [0, 0, False, False, len(stack), False])
             row[0] += 1
             found[element.token][1] += element.mass if element.name in CONTAINERS else 0
+            token = folded(element, stack)
+            if token is not None:
+                found.setdefault(token, [0, 0, False, False, len(stack), True])[0] += 1
     return found
 
 
-def main_text(page: str | None, container: int | None, exceptions=frozenset()) -> str:
+def main_text(page: str | None, container: int | None, exceptions=frozenset(), site=frozenset()) -> str:
     """Text of a page's article: of the elements with the token `container`, else of its article or
-    main elements, else of the whole page; without boilerplate elements."""
+    main elements, else of the whole page; without boilerplate elements. Blocks with tokens in `site`
+    are left out of the container."""
     page = page or ""
-    for choose in (
-        lambda e: container is not None and e.token == container,
-        lambda e: e.is_article,
-        None,
+    for by_template, choose in (
+        (True, lambda e: container is not None and e.token == container),
+        (False, lambda e: e.is_article),
+        (False, None),
     ):
         parts: list[str] = []
+        kept: list[str] = []
         inside: list[Element] = []
         hidden: list[Element] = []
         any_container = False
         for text, element, stack in events(page, exceptions):
             if element is None:
+                if by_template and site:
+                    fold(text, stack)
                 if (inside or choose is None) and not hidden:
                     parts.append(markup.unescape(text))
+                    kept.append(parts[-1])
                 continue
             if element.name in BLOCKS:
                 parts.append(" ")
+                kept.append(" ")
+            if text == "":
+                element.first = len(kept)
             if text is None:
+                if by_template and site and folded(element, stack) in site and inside:
+                    del kept[element.first :]
                 if inside and inside[-1] is element:
                     inside.pop()
                 if hidden and hidden[-1] is element:
@@ -224,7 +268,8 @@ def main_text(page: str | None, container: int | None, exceptions=frozenset()) -
                 inside.append(element)
                 any_container = True
         if any_container or choose is None:
-            return " ".join("".join(parts).split())
+            whole, varying = (" ".join("".join(p).split()) for p in (parts, kept))
+            return varying if 100 * len(varying) >= LEFT_PERCENT * len(whole) else whole
     return ""
 
 
@@ -248,26 +293,33 @@ _DOUBTFUL = ["host", "token", "pages", "mass", "sure"]
 
 
 def _statistic_batches(batches):
+    sums: dict[tuple[str, int], list] = {}
     for batch in batches:
-        sums: dict[tuple[str, int], list] = {}
         for host, identity, page, exceptions in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-            for token, (count, mass, start, article, depth) in statistics(page, frozenset(exceptions or ())).items():
+            for token, (count, mass, *kind) in statistics(page, frozenset(exceptions or ())).items():
                 mark = xxhash.xxh3_64_intdigest(f"{identity} {count}".encode())
-                row = sums.setdefault((host, token), [0, 0, 0, 0, 0, start, article, depth])
+                row = sums.setdefault((host, token), [0, 0, 0, 0, 0, *kind])
                 row[0] += 1
                 row[1] += count
                 row[2] += mark & 0x7FFFFFFF
                 row[3] += mark >> 33
                 row[4] += mass
-        columns = [[h for h, _ in sums], [t for _, t in sums], *zip(*sums.values(), strict=True)]
-        if sums:
-            kinds = [pa.string(), *[pa.int64()] * 6, pa.bool_(), pa.bool_(), pa.int32()]
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=_STATISTICS
-            )
+            if len(sums) >= HELD_TOKENS:
+                yield _statistic_batch(sums)
+                sums = {}
+    if sums:
+        yield _statistic_batch(sums)
+
+
+def _statistic_batch(sums: dict[tuple[str, int], list]) -> pa.RecordBatch:
+    columns = [[h for h, _ in sums], [t for _, t in sums], *zip(*sums.values(), strict=True)]
+    kinds = [pa.string(), *[pa.int64()] * 6, pa.bool_(), pa.bool_(), pa.int32(), pa.bool_()]
+    return pa.RecordBatch.from_arrays(
+        [pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=_STATISTICS
+    )
 
 
-_STATISTICS = ["host", "token", "pages", "total", "mark1", "mark2", "mass", "start", "article", "depth"]
+_STATISTICS = ["host", "token", "pages", "total", "mark1", "mark2", "mass", "start", "article", "depth", "text"]
 
 
 def host_of(url):
@@ -310,8 +362,8 @@ def _with_host_rows(pages: DataFrame, found: DataFrame) -> DataFrame:
 
 
 def templates(pages: DataFrame) -> DataFrame:
-    """(host, container): the template element of each host that holds the article. `pages` have
-    host and exceptions.
+    """(host, container, site): the template element of each host that holds the article, and the
+    blocks of its class by wording. `pages` have host and exceptions.
 
     Hosts of one page, and hosts whose template has no such element, have no row.
     """
@@ -323,7 +375,7 @@ def templates(pages: DataFrame) -> DataFrame:
     ).mapInArrow(
         _statistic_batches,
         "host string, token bigint, pages bigint, total bigint, mark1 bigint, mark2 bigint,"
-        " mass bigint, start boolean, article boolean, depth int",
+        " mass bigint, start boolean, article boolean, depth int, text boolean",
     )
     vector = ["host", "pages", "mark1", "mark2"]
     tokens = written(
@@ -332,7 +384,8 @@ def templates(pages: DataFrame) -> DataFrame:
             F.max("start").alias("start"),
             F.max("article").alias("article"),
             F.max("depth").alias("depth"),
-        )
+            F.max("text").alias("text"),
+        ).filter(f"NOT text OR pages >= {SITE_TEXT_PAGES}")
     )
     hosts = tokens.filter("token = 0").select(
         "host", F.col("pages").alias("host_pages"), F.col("mass").alias("host_mass")
@@ -342,26 +395,30 @@ def templates(pages: DataFrame) -> DataFrame:
     )
     classes = frequent.groupBy(*vector).agg(F.count("*").alias("size")).filter("size > 1")
     valid = frequent.join(classes, vector)
-    ends = valid.filter("NOT start").select(*vector, F.col("token").bitwiseXOR(F.lit(1)).alias("token"))
+    ends = valid.filter("NOT start AND NOT text").select(*vector, F.col("token").bitwiseXOR(F.lit(1)).alias("token"))
     holds = F.col("article") | (100 * F.col("mass") >= CONTAINER_PERCENT * F.col("host_mass"))
     # An article or main element, the outermost; else the innermost one that holds the text.
     order = F.when(F.col("article"), 1_000_000 - F.col("depth")).otherwise(F.col("depth"))
-    return (
+    containers = (
         valid.filter("start AND total = pages")
         .join(ends, [*vector, "token"], "left_semi")
         .filter(holds)
         .groupBy("host")
-        .agg(F.max(F.struct(order.alias("order"), F.col("token").alias("token"))).alias("best"))
-        .select("host", F.col("best.token").alias("container"))
+        .agg(F.max(F.struct(order.alias("order"), "token", "pages", "mark1", "mark2")).alias("best"))
+        .select("host", "best.*")
+        .withColumnRenamed("token", "container")
     )
+    texts = valid.filter("text AND total = pages").select(*vector, "token")
+    site = containers.join(texts, vector).groupBy("host").agg(F.sort_array(F.collect_list("token")).alias("site"))
+    return containers.select("host", "container").join(site, "host", "left")
 
 
 def _text_batches(batches):
     for batch in batches:
         rows = batch.column(0)
         texts = [
-            main_text(page, container, frozenset(exceptions or ()))
-            for page, container, exceptions in zip(
+            main_text(page, container, frozenset(exceptions or ()), frozenset(site or ()))
+            for page, container, exceptions, site in zip(
                 rows.field("html").to_pylist(), *(c.to_pylist() for c in batch.columns[1:]), strict=True
             )
         ]
@@ -382,6 +439,6 @@ def extract(pages: DataFrame) -> DataFrame:
     pages = pages.withColumn("host", host_of(F.col("url")))
     pages = _with_host_rows(pages, written(exceptions(pages)))
     chosen = _with_host_rows(pages, written(templates(pages)))
-    row = chosen.select(F.struct("page_id", "url", "html").alias("row"), "container", "exceptions")
+    row = chosen.select(F.struct("page_id", "url", "html").alias("row"), "container", "exceptions", "site")
     texts = row.mapInArrow(_text_batches, "page_id bigint, url string, text string")
     return texts.withColumn("n_chars", F.length("text").cast("bigint"))

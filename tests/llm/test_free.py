@@ -198,6 +198,25 @@ def test_extraction_keeps_frames_and_articles_with_listed_words(spark):
         assert text == expected, i
 
 
+def test_extraction_leaves_out_the_text_of_the_site(spark):
+    page = (
+        "<body><article><h1>News</h1><p>Story {0} begins {1}</p><div>Follow us on <a href=/x>our channel</a></div>"
+        "<p>Shared line.</p><p>Shared line.</p>{2}<div><p>Text under  the <i>open</i> licence</p></div></article></body>"
+    )
+    rows = [(i, "http://s/", page.format(i, "word " * 30, "<p>Shared line.</p>" * (i % 2))) for i in range(6)]
+    # Copies of one page, and a host of few pages, lose nothing.
+    rows += [(10 + i, "http://copies/", page.format(7, "word " * 30, "")) for i in range(6)]
+    rows += [(20 + i, "http://few/", page.format(i, "word " * 30, "")) for i in range(3)]
+    found = {r["page_id"]: r["text"] for r in extract.extract(spark.createDataFrame(rows, "page_id bigint, url string, html string")).collect()}
+    words = " ".join(["word"] * 30)
+    for i, text in found.items():
+        shared = " ".join(["Shared line."] * (2 + (i % 2 if i < 10 else 0)))
+        if i < 10:
+            assert text == f"News Story {i} begins {words} {shared}", i
+        else:
+            assert text == f"News Story {7 if i < 20 else i % 10} begins {words} Follow us on our channel {shared} Text under the open licence", i
+
+
 PII = [
     ("email", r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", lambda v, d: True),
     ("ip", r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", lambda v, d: all(int(x) <= 255 for x in v.split("."))),
