@@ -59,6 +59,23 @@ def luhn(digits: str) -> bool:
     return total % 10 == 0
 
 
+def iban_rest(value: str) -> int:
+    """Remainder of an account number modulo 97; 1 if its check digits are right."""
+    plain = value.replace(" ", "")
+    return int("".join(str(int(c, 36)) for c in plain[4:] + plain[:4])) % 97
+
+
+def _account(digits: str) -> str:
+    """An account number with right check digits, made from digits."""
+    country = ["DE", "FR", "ES", "GB", "NL"][sum(map(int, digits)) % 5]
+    body = (digits * 3)[:18]
+    return f"{country}{98 - iban_rest(f'{country}00{body}'):02d}{body}"
+
+
+def _fours(value: str) -> str:
+    return " ".join(value[i : i + 4] for i in range(0, len(value), 4))
+
+
 def _emails(text: str):
     after = 0
     at = text.find("@")
@@ -106,7 +123,7 @@ def features(kind: int, value: str, before: str, after: str) -> list[float]:
         float(groups[-1]), float(value[:1] == "+"), float("(" in value), float(value.count("-")),
         float(value.count(".")), float(value.count(" ")), float("@" in value),
         float(len(digits) >= 12 and luhn(plain)), float(len(set(plain)) / max(len(plain), 1)),
-        float(value.count("/")), *[float(bool(cue.search(before))) for cue in _CUES],
+        float(value.count("/")), float(kind == 6 and iban_rest(value) == 1), *[float(bool(cue.search(before))) for cue in _CUES],
         float(before[-1:].isalnum() or before[-1:] in "\"'=:"), float(after[:1] in "%$€\"'"),
     ]
 
@@ -117,16 +134,31 @@ def _variants(kind: int, value: str) -> list[tuple[int, str]]:
     if kind == 0:
         return [(4, value), (4, value.replace("@", " (at) ")), (4, value.replace("@", "[at]").replace(".", "[dot]"))]
     if kind == 2:
-        return [(5, value), (5, " ".join(digits[i : i + 4] for i in range(0, len(digits), 4)))]
+        return [(5, value), (5, _fours(digits))]
     if kind == 3:
         rest = digits[-10:]
         return [(5, value), (5, f"({rest[:3]}) {rest[3:6]}-{rest[6:]}"), (5, f"{rest[:3]}-{rest[3:6]}-{rest[6:]}")]
     return [(5, value)]
 
 
+def _checked(kind: int, value: str, before: str) -> int | None:
+    """Label of a candidate outside the fixed formats; None if nothing tells."""
+    if kind == 6:
+        return int(iban_rest(value) == 1)
+    cues = [bool(cue.search(before)) for cue in _CUES]
+    if cues[-1] and not any(cues[:-1]):
+        return 0
+    digits = re.sub(r"[^0-9]", "", value)
+    if kind == 5 and 16 <= len(digits) <= 19 and not luhn(digits) and not any(cues):
+        return 0
+    return None
+
+
 def examples(text: str) -> list[tuple[list[float], int]]:
-    """Labelled candidates of a text: fixed-format spans in several spellings are positive;
-    candidates that touch none, and numbers and dates made from their digits, are negative."""
+    """Labelled candidates of a text. Fixed-format spans in several spellings, and account numbers
+    with right check digits, found or made from a span's digits, are positive. Numbers and dates made
+    from their digits, account numbers with wrong check digits and candidates after words of pages,
+    prices or versions only are negative. Other candidates have no label: they may be what is sought."""
     base, rows = base_spans(text), []
     around = lambda s, e: (text[max(0, s - CONTEXT) : s], text[e : e + CONTEXT])
     for kind, s, e in base:
@@ -136,9 +168,15 @@ def examples(text: str) -> list[tuple[list[float], int]]:
             year = f"{1900 + int(digits[:4]) % 130}-{1 + int(digits[4:6]) % 12:02d}-{1 + int(digits[6:8]) % 28:02d}"
             for v in (digits[:8], year, f"{digits[:3]}.{digits[3:6]}.{digits[6:8]}00"):
                 rows.append((features(5, v, *around(s, e)), 0))
+            good = _account(digits)
+            bad = f"{good[:2]}{(int(good[2:4]) + 1) % 100:02d}{good[4:]}"
+            for v, label in ((good, 1), (_fours(good), 1), (bad, 0), (_fours(bad), 0)):
+                rows.append((features(6, v, *around(s, e)), label))
     for kind, s, e in candidates(text):
         if not any(a < e and s < b for _, a, b in base):
-            rows.append((features(kind, text[s:e], *around(s, e)), 0))
+            label = _checked(kind, text[s:e], text[max(0, s - CONTEXT) : s])
+            if label is not None:
+                rows.append((features(kind, text[s:e], *around(s, e)), label))
     return rows
 
 

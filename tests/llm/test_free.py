@@ -250,6 +250,26 @@ def test_personal_data(spark, small, odd, none):
     assert pii.query(none).count() == 0
 
 
+def test_personal_data_commoner_than_the_fixed_formats(spark):
+    random = np.random.default_rng(4)
+    number = lambda n: "".join(map(str, random.integers(0, 10, n)))
+    accounts, texts = [], []
+    for i in range(400):
+        bare = number(18)
+        accounts.append(f"DE{98 - int(bare + '131400') % 97:02d}{bare}")
+        phone = f"{number(3)}-{number(3)}-{number(4)}"
+        texts.append(f"call {phone} now, or account {accounts[-1]} today, see page {number(8)} there")
+        if i % 8 == 0:
+            texts[-1] += f", write to a{i}@mail.com or phone +1 415 555 {number(4)}"
+    docs = documents(spark, texts)
+    rows = pii.detect(docs, pii.train(docs)).collect()
+    found = {r["doc_id"]: r["spans"] for r in rows}
+    phones = ["number_like:5:17" in found[i] for i in range(400)]
+    ibans = [f"account_like:{t.index('DE')}:{t.index('DE') + 22}" in found[i] for i, t in enumerate(texts)]
+    pages = [f"number_like:{t.index('page') + 5}:" in found[i] for i, t in enumerate(texts)]
+    assert np.mean(phones) >= 0.95 and np.mean(ibans) >= 0.95 and np.mean(pages) <= 0.05
+
+
 def test_toxicity(spark, small, odd, none):
     random = np.random.default_rng(1)
     words = ["river", "stone", "market", "winter", "garden", "letter", "window", "summer"]
