@@ -29,9 +29,10 @@ from loanspan.llm.components import components
 from loanspan.llm.shingles import MinHash, WordHashes, set_id, shingle_set, similar
 
 COORDINATES = 128
-#: At similarity 0.8 fewer matches than this have a chance of about four in a million.
+#: At similarity 0.8 fewer matches than this have a chance of 8.7 in a million.
 MATCHES = 82
-#: Likewise for the posted coordinates.
+#: Likewise for the posted coordinates, 3.3 in a million; either one misses a pair, at most 12 in a
+#: million together.
 POSTED = 48
 POSTED_MATCHES = 25
 #: Sets in a block, where there are more than DENSE pairs for each set.
