@@ -3,7 +3,19 @@
 from __future__ import annotations
 
 import corpus_pipeline
-from loanspan.llm import bpe, decontam, extract, langid, neardup, pii, quality, secrets, sharding, toxicity
+from loanspan.llm import (
+    bpe,
+    decontam,
+    extract,
+    langid,
+    neardup,
+    pii,
+    quality,
+    runs,
+    secrets,
+    sharding,
+    toxicity,
+)
 from loanspan.llm.common import table, tokenizer_path
 
 
@@ -49,6 +61,10 @@ def op10_decontaminate(spark, sf_dir):
     )
 
 
+def op13_runs(spark, sf_dir):
+    return runs.query(table(spark, sf_dir, "documents"))
+
+
 def pipeline(spark, sf_dir):
     return corpus_pipeline.run(spark, sf_dir)
 
@@ -64,6 +80,7 @@ QUERIES = {
     "op8_pii": op8_pii,
     "op9_toxicity": op9_toxicity,
     "op10_decontaminate": op10_decontaminate,
+    "op13_runs": op13_runs,
     "pipeline": pipeline,
 }
 ORACLE = {
