@@ -8,12 +8,14 @@ from loanspan.llm import (
     decontam,
     extract,
     langid,
+    negatives,
     neardup,
     pii,
     quality,
     runs,
     secrets,
     sharding,
+    topk,
     toxicity,
 )
 from loanspan.llm.common import table, tokenizer_path
@@ -61,6 +63,14 @@ def op10_decontaminate(spark, sf_dir):
     )
 
 
+def op11_topk(spark, sf_dir):
+    return topk.query(table(spark, sf_dir, "embeddings"))
+
+
+def op12_hard_negatives(spark, sf_dir):
+    return negatives.query(table(spark, sf_dir, "embeddings"))
+
+
 def op13_runs(spark, sf_dir):
     return runs.query(table(spark, sf_dir, "documents"))
 
@@ -80,6 +90,8 @@ QUERIES = {
     "op8_pii": op8_pii,
     "op9_toxicity": op9_toxicity,
     "op10_decontaminate": op10_decontaminate,
+    "op11_topk": op11_topk,
+    "op12_hard_negatives": op12_hard_negatives,
     "op13_runs": op13_runs,
     "pipeline": pipeline,
 }
@@ -88,4 +100,6 @@ ORACLE = {
     "op2_minhash_neardup": neardup.SQL,
     "op3_sharding": sharding.SQL,
     "op10_decontaminate": decontam.SQL,
+    "op11_topk": topk.SQL,
+    "op12_hard_negatives": negatives.SQL,
 }
