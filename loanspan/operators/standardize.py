@@ -187,7 +187,8 @@ def standardize_performance(clean: DataFrame) -> DataFrame:
     months = ["monthly_reporting_period", "zero_balance_effective_date"]
     df = M.require_months(df, {name: F.col(name) for name in months})
     present = M.yyyymm_to_date(F.col("monthly_reporting_period"))
-    df = enforce(df, present.isNotNull(), F.lit("performance_month is missing"))
+    in_time = present <= F.lit(CUTOFF_DATE).cast("date")
+    df = enforce(df, present.isNotNull(), F.lit("performance_month is missing"), keep=in_time)
     return df.withColumns(
         {
             "zero_balance_effective_date_raw": F.col("zero_balance_effective_date"),
@@ -197,4 +198,4 @@ def standardize_performance(clean: DataFrame) -> DataFrame:
             "current_delinquency_status": blank_to_null(F.col("delinquency_status_raw")),
             "qc_current_upb_negative": true(F.col("current_actual_upb") < 0),
         }
-    ).filter(F.col("performance_month") <= F.lit(CUTOFF_DATE).cast("date"))
+    )

@@ -136,6 +136,28 @@ def test_cleaning_rules(spark, tmp_path):
     assert std["F18Q10000001"].qc_proxy_year_differs_from_vintage
 
 
+@pytest.mark.parametrize("month", [None, "202013", "20200"])
+@pytest.mark.parametrize("stored", [False, True])
+def test_bad_reporting_months_fail_whatever_is_read(spark, tables, tmp_path, month, stored):
+    column = "monthly_reporting_period"
+    bad = F.lit(month).cast("string")
+    if stored:
+        some = F.when(F.crc32(F.col("loan_id").cast("binary")) % 5 == 0, bad).otherwise(F.col(column))
+        path = str(tmp_path / "p")
+        tables.clean_perf.withColumn(column, some).write.parquet(path)
+        perf = spark.read.parquet(path)
+    else:
+        perf = tables.clean_perf.withColumn(column, bad)
+    result = standardize_performance(perf)
+    for read in (
+        lambda: result.select("loan_id").collect(),
+        lambda: result.select("performance_month").collect(),
+        lambda: result.count(),
+    ):
+        with pytest.raises(Exception, match="month"):
+            read()
+
+
 def test_strict_standardization_fails(spark, tables, tmp_path):
     bad = tables.clean_perf.withColumn("monthly_reporting_period", F.lit(None).cast("string"))
     with pytest.raises(Exception, match="performance_month is missing"):
