@@ -28,7 +28,8 @@ from loanspan.operators.riskset import at_risk_counts
 ALPHA = 0.05
 TRANSFORMS = ["rank", "km"]
 TEST_METHOD = "score_test"
-RESIDUAL_BUCKETS = 1024
+#: Hex digits of the id's digest that make a bucket.
+BUCKET_DIGITS = 3
 
 
 def ph_status(p_value: float, alpha: float = ALPHA) -> str:
@@ -123,7 +124,7 @@ def schoenfeld_residuals(
         "loan_id",
         "exit_time_month",
         *[F.col(n).cast("double").alias(f"x{i}") for i, n in enumerate(model.names)],
-        F.pmod(F.xxhash64("loan_id"), F.lit(RESIDUAL_BUCKETS)).alias("bucket"),
+        F.substring(F.md5(F.col("loan_id").cast("binary")), 1, BUCKET_DIGITS).alias("bucket"),
     )
     counts = events.groupBy("exit_time_month", "bucket").agg(F.count("*").alias("n"))
     earlier = (

@@ -35,23 +35,26 @@ PROV_SQL = (
 )
 
 
-def comparable(df: DataFrame) -> DataFrame:
+def comparable(df: DataFrame, digits: int = DIGITS) -> DataFrame:
     """Round doubles and print dates."""
     columns = []
     for f in df.schema:
         col = F.col(f"`{f.name}`")
         if isinstance(f.dataType, T.DoubleType):
-            col = F.round(col, DIGITS)
+            col = F.round(col, digits)
         elif isinstance(f.dataType, T.DateType):
             col = F.date_format(col, "yyyy-MM-dd")
         columns.append(col.alias(f.name))
     return df.select(columns)
 
 
-def query(name: str, statement: str | None = None):
+def query(name: str, statement: str | None = None, digits: int = DIGITS):
+    """Register a query with its SQL. Where very many values come out of long sums, `digits` leaves
+    fewer of them on the edge between two rounded values."""
+
     def register(build: Callable[[Study], DataFrame]):
         def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-            return comparable(build(study(spark, sf_dir)))
+            return comparable(build(study(spark, sf_dir)), digits)
 
         QUERIES[name] = run
         if statement is not None:
@@ -61,8 +64,8 @@ def query(name: str, statement: str | None = None):
     return register
 
 
-def rnd(expr: str, name: str | None = None) -> str:
-    return f"round(({expr})::DOUBLE,{DIGITS}) AS {name or expr}"
+def rnd(expr: str, name: str | None = None, digits: int = DIGITS) -> str:
+    return f"round(({expr})::DOUBLE,{digits}) AS {name or expr}"
 
 
 def count_if(cond: str, name: str) -> str:
@@ -1824,117 +1827,11 @@ query(
     'missing_loan_id', 'invalid_event', 'invalid_time', 'incomplete_predictors')} FROM complete""",
 )(lambda s: fine_gray.check_fine_gray_input(s.complete))
 
-query("cox_baseline")(lambda s: cox.fit_cox(s.complete).coefficients)
-query("cox_baseline_diagnostics")(lambda s: cox.fit_cox(s.complete).diagnostics)
-
-
-def _both_causes(s: Study) -> DataFrame:
-    models = cox.fit_cause_specific(s.complete)
-    return models["DEFAULT"].coefficients.unionByName(models["PREPAYMENT"].coefficients)
-
-
-query("cox_cause_specific")(_both_causes)
-query("cox_time_varying_diagnostics")(lambda s: cox.fit_time_varying(s.intervals).diagnostics)
-query("fine_gray_diagnostics")(lambda s: fine_gray.fit_fine_gray(s.complete).diagnostics)
-
-
-def _tv_rank(s: Study) -> DataFrame:
-    found = cox.information_rank(s.intervals)
-    return s.spark.createDataFrame([tuple(found.values())], list(found))
-
-
-query("tv_information_rank")(_tv_rank)
-query("cox_time_varying")(lambda s: cox.fit_time_varying(s.intervals).coefficients)
-query("fine_gray_default")(lambda s: fine_gray.fit_fine_gray(s.complete).coefficients)
-
-
-def _expansion(s: Study) -> DataFrame:
-    model = fine_gray.fit_fine_gray(s.complete, validate=False)
-    return fine_gray.audit_expansion(
-        fine_gray.expand_fine_gray(s.complete, model.fit.sums), s.complete
-    )
-
-
-query("fine_gray_expansion_audit")(_expansion)
-
-
-def _ph(s: Study) -> DataFrame:
-    model = cox.fit_cox(s.complete, validate=False, with_concordance=False)
-    variables, overall = ph_test.ph_tests(model)
-    return variables.unionByName(
-        overall.withColumn("variable", F.lit("GLOBAL")).select(variables.columns)
-    )
-
-
-query("ph_tests")(_ph)
-
-
-def _schoenfeld(s: Study) -> DataFrame:
-    model = cox.fit_cox(s.complete, validate=False, with_concordance=False)
-    return ph_test.schoenfeld_residuals(model, s.complete)
-
-
-query("schoenfeld_residuals")(_schoenfeld)
-
-
-def _drivers(s: Study) -> DataFrame:
-    models = cox.fit_cause_specific(s.complete, validate=False, with_concordance=False)
-    tables = {
-        f"cause_specific_{cause.lower()}_results": model.coefficients
-        for cause, model in models.items()
-    }
-    tables["fine_gray_default_results"] = fine_gray.fit_fine_gray(
-        s.complete, validate=False
-    ).coefficients
-    tables["cox_results"] = cox.fit_cox(
-        s.complete, validate=False, with_concordance=False
-    ).coefficients
-    tables["time_varying_cox_results"] = cox.fit_time_varying(s.intervals).coefficients
-    view = reads.driver_view(projections.risk_driver_results(tables, PROV))
-    return view.withColumn(
-        "evidence", reads.evidence_label(F.col("p_value"), F.col("ci_low"), F.col("ci_high"))
-    )
-
-
-query("risk_driver_view")(_drivers)
-
-
-def _diagnostics(s: Study) -> DataFrame:
-    model = cox.fit_cox(s.complete, validate=False)
-    variables, overall = ph_test.ph_tests(model)
-    tables = {
-        "cox_diagnostics": model.diagnostics,
-        "ph_diagnostics": variables,
-        "ph_global_diagnostics": overall,
-        "time_varying_cox_diagnostics": cox.fit_time_varying(s.intervals).diagnostics,
-        "fine_gray_default_diagnostics": fine_gray.fit_fine_gray(
-            s.complete, validate=False
-        ).diagnostics,
-    }
-    tables |= {
-        f"cause_specific_{cause.lower()}_diagnostics": model.diagnostics
-        for cause, model in cox.fit_cause_specific(s.complete, validate=False).items()
-    }
-    return reads.diagnostics_view(projections.model_diagnostics(tables, PROV))
-
-
-query("diagnostics_view")(_diagnostics)
-
-
-def _fitted_scores(s: Study) -> DataFrame:
-    models = cox.fit_cause_specific(s.complete, validate=False, with_concordance=False)
-    hazards = scoring.hazards_of(models)
-    scored = scoring.score_horizons(s.complete.select("loan_id", *CORE_PREDICTORS), hazards)
-    return scoring.supported_horizons(scored, hazards)
-
-
-query("fitted_profile_scores")(_fitted_scores)
-query("temporal_validation")(lambda s: scoring.temporal_validation(s.complete))
-
-
 def _outcome_metrics(s: Study) -> DataFrame:
     ages = simulator.first_overdue_ages(s.model, s.perf, s.orig)
     return simulator.fit_outcome_model(simulator.horizon_labels(ages, 12))[1]
 
 
 query("outcome_model_metrics")(_outcome_metrics)
+
+from loanspan.plans import regressions  # noqa: E402, F401

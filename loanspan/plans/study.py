@@ -1,7 +1,8 @@
 """The study tables over one data folder, each written once per application.
 
 Raw tables, the event map, the model table and the intervals are the materialization points; the
-cleaning and clock steps between them are projections that Spark fuses into the scans.
+cleaning and clock steps between them are projections that Spark fuses into the scans. Fitted models
+are kept too: a few coefficients and month sums each.
 """
 
 from __future__ import annotations
@@ -12,6 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from loanspan.functions.durable import shared_folder
+from loanspan.operators import cox, fine_gray
 from loanspan.operators.clock import build_survival
 from loanspan.operators.dataset import build_model_dataset
 from loanspan.operators.events import build_event_map
@@ -119,6 +121,22 @@ class Study:
         built = build_intervals(self.perf, self.model, validate=False)
         return self._written("intervals", built)
 
+    @cached_property
+    def baseline(self) -> cox.CoxModel:
+        return cox.fit_cox(self.complete)
+
+    @cached_property
+    def cause_specific(self) -> dict[str, cox.CoxModel]:
+        return cox.fit_cause_specific(self.complete)
+
+    @cached_property
+    def time_varying(self) -> cox.CoxModel:
+        return cox.fit_time_varying(self.intervals)
+
+    @cached_property
+    def fine_gray(self) -> fine_gray.FineGrayModel:
+        return fine_gray.fit_fine_gray(self.complete)
+
 
 def study(spark: SparkSession, sf_dir: str) -> Study:
     key = (spark.sparkContext.applicationId, sf_dir)

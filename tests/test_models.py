@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from loanspan.contracts import CORE_PREDICTORS, ContractError
 from loanspan.functions.stats import chi2_sf, two_sided_p
 from loanspan.operators import concordance, cox, fine_gray, ph_test
-from loanspan.operators.riskset import tie_terms
+from loanspan.operators.ties import LAST, tie_terms
 from tests import brute
 
 KINDS = ["CENSOR", "DEFAULT", "PREPAYMENT"]
@@ -324,3 +324,27 @@ def test_horizons_before_the_first_step_are_kept(spark):
     }
     assert [found[h] for h in (0, 12, 36)] == [(0.0, 0.0, 1.0)] * 3
     assert found[40][0] == pytest.approx(0.01 / 0.04 * -np.expm1(-0.04))
+
+
+@pytest.mark.parametrize(
+    "total, tied, d",
+    [(10.0, 10.0, 5), (10.0, 10.0, 2 * LAST + 1), (100.0, 100.0, 1000), (1e9, 1e-3, 100_000),
+     (5.0, 1e-9, 3000), (2e6, 1.9e6, 1_000_000), (7.0, 0.0, 100), (1.0, 0.5, 1)],
+)
+def test_tie_sums_equal_the_sums_step_by_step(total, tied, d):
+    f = np.arange(d, dtype=np.longdouble) / d
+    x = np.longdouble(total) - f * np.longdouble(tied)
+    k = tie_terms(total, tied, d)
+    found = [k.log_d, k.inv, k.inv_f, k.inv2, k.inv2_f, k.inv2_ff]
+    expected = [np.log(x), 1 / x, f / x, 1 / x**2, f / x**2, f * f / x**2]
+    for got, terms in zip(found, expected, strict=True):
+        assert got == pytest.approx(float(terms.sum()), rel=1e-12, abs=1e-12)
+
+
+def test_tie_sums_of_very_many_events_take_no_longer():
+    k = tie_terms(1e12, 9e11, 10**12)
+    # As many steps as there are events: the sums are integrals over the steps' share f.
+    assert k.inv == pytest.approx(np.log(10) / 0.9, rel=1e-10)
+    assert k.inv2 * 1e12 == pytest.approx(10, rel=1e-10)
+    with pytest.raises(ContractError, match="lost its weight"):
+        tie_terms(1.0, 2.0, 10)
