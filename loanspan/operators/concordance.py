@@ -1,13 +1,15 @@
 """Harrell's concordance of a risk score with exit months, without comparing loans pairwise.
 
 Loans with equal (score, month, event) are counted together first, so copies of one profile are one
-row. The counts are range-partitioned by score; a partition keeps one counter per exit month for
-the scores it has passed, and reports its totals. Pairs across partitions follow from those totals.
+row. The counts are range-partitioned by score; a partition goes through them by batch, keeping one
+counter per exit month for the scores it has passed, and reports its totals. Pairs across partitions
+follow from those totals.
 """
 
 from __future__ import annotations
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -15,100 +17,111 @@ from loanspan.contracts import ContractError, merge_rows
 from loanspan.functions.durable import durable
 
 MAX_MONTHS = 5_000
+#: Loans compared directly.
+BLOCK = 512
 
 
-def _scan_sorted(max_month: int):
-    """mapInPandas body over rows sorted by score: pair counts inside the partition, then totals."""
-    import pandas as pd
-    from pyspark import TaskContext
+class PassedCounts:
+    """Loans in order of score, and how many of the first ones outlast a given event.
+
+    A loan's key is twice its exit month, plus one if it is censored: an event of month t is
+    comparable with exactly the loans of keys above 2 t. Every `BLOCK` loans a row of a matrix holds the
+    number passed so far above each key; what is left of a block is compared directly. A question
+    thus costs one look-up and one block, whatever the number of distinct scores.
+    """
 
-    width = max_month + 2
+    def __init__(self, passed: np.ndarray, key: np.ndarray, count: np.ndarray):
+        self.key, self.count = key, count
+        self.blocks = len(key) // BLOCK + 1
+        inside = np.zeros((self.blocks + 1, len(passed)))
+        np.add.at(inside, (np.arange(len(key)) // BLOCK + 1, key), count)
+        inside[0] = passed
+        self.total = inside.sum(0)
+        before = np.cumsum(inside[:-1], axis=0)
+        self.above = np.cumsum(before[:, ::-1], axis=1)[:, ::-1] - before
+
+    def outlasting(self, place: np.ndarray, key: np.ndarray) -> np.ndarray:
+        """Number of loans above `key` among those passed and the first `place` of these."""
+        block = place // BLOCK
+        found = self.above[block, key]
+        for b in np.unique(block):
+            asked = np.flatnonzero(block == b)
+            start = b * BLOCK
+            row = np.arange(start, min(start + BLOCK, len(self.key)))
+            counted = (row < place[asked, None]) & (self.key[row] > key[asked, None])
+            found[asked] += counted @ self.count[row]
+        return found
 
-    def later(counts):
-        """Suffix sums: counts strictly after each month."""
-        tail = np.zeros(counts.shape[:-1] + (width + 1,))
-        tail[..., :width] = np.cumsum(counts[..., ::-1], axis=-1)[..., ::-1]
-        return tail[..., 1:]
+
+def _scan_sorted(max_month: int):
+    """mapInArrow body over rows sorted by score: pair counts inside the partition, then totals."""
+    from pyspark import TaskContext
 
     def scan(batches):
-        # passed[0] counts censored loans with a lower score per month, passed[1] events.
-        passed = np.zeros((2, width))
-        concordant = tied = 0.0
-        pending = None
-
-        def close(frame):
-            nonlocal concordant, tied
-            starts = np.flatnonzero(np.r_[True, np.diff(frame["score"].to_numpy()) != 0])
-            ends = np.r_[starts[1:], len(frame)]
-            month = frame["month"].to_numpy()
-            event = frame["event"].to_numpy()
-            count = frame["n"].to_numpy(dtype=float)
-            for lo, hi in zip(starts, ends):
-                own = np.zeros((2, width))
-                np.add.at(own, (event[lo:hi], month[lo:hi]), count[lo:hi])
-                deaths = own[1]
-                if deaths.any():
-                    at = np.flatnonzero(deaths)
-                    below = later(passed.sum(axis=0))[at] + passed[0, at]
-                    same = later(own.sum(axis=0))[at] + own[0, at]
-                    concordant += float(deaths[at] @ below)
-                    tied += float(deaths[at] @ same)
-                passed[...] += own
+        passed, sums, held = np.zeros(2 * max_month + 2), np.zeros(2), None
+
+        def close(rows):
+            nonlocal passed
+            score, key, count = rows
+            counts = PassedCounts(passed, key, count)
+            event = np.flatnonzero(key % 2 == 0)
+            # Loans of lower scores stand before the first row of the event's score.
+            first = np.searchsorted(score, score[event], "left")
+            last = np.searchsorted(score, score[event], "right")
+            lower = counts.outlasting(first, key[event])
+            sums[0] += count[event] @ lower
+            sums[1] += count[event] @ (counts.outlasting(last, key[event]) - lower)
+            passed = counts.total
 
         for batch in batches:
-            frame = batch if pending is None else pd.concat([pending, batch], ignore_index=True)
-            last = frame["score"].iloc[-1]
-            tail = frame["score"] == last
-            pending = frame[tail].reset_index(drop=True)
-            if not tail.all():
-                close(frame[~tail].reset_index(drop=True))
-        if pending is not None and len(pending):
-            close(pending)
-            part = TaskContext.get().partitionId()
-            event, month = np.nonzero(passed)
-            yield pd.DataFrame(
-                {
-                    "part": part,
-                    "month": month.astype("int32"),
-                    "event": event.astype("int32"),
-                    "n": passed[event, month],
-                    "concordant": 0.0,
-                    "tied": 0.0,
-                }
-            )
-            yield pd.DataFrame(
-                {
-                    "part": [part],
-                    "month": np.array([-1], dtype="int32"),
-                    "event": np.array([-1], dtype="int32"),
-                    "n": [0.0],
-                    "concordant": [concordant],
-                    "tied": [tied],
-                }
-            )
+            column = lambda name, batch=batch: batch[name].to_numpy(zero_copy_only=False)
+            now = [column("score"), 2 * column("month") + (column("event") == 0), column("n")]
+            if held is not None:
+                now = [np.concatenate(x) for x in zip(held, now, strict=True)]
+            # The last score may go on in the next batch; it has two rows for each month at most.
+            cut = int(np.searchsorted(now[0], now[0][-1], "left")) if len(now[0]) else 0
+            if cut:
+                close([x[:cut] for x in now])
+            held = [x[cut:] for x in now]
+        if held is None or not len(held[0]):
+            return
+        close(held)
+        key = np.flatnonzero(passed)
+        rows = {
+            "part": np.full(len(key) + 1, TaskContext.get().partitionId(), np.int32),
+            "month": np.append(key // 2, -1).astype(np.int32),
+            "event": np.append(1 - key % 2, -1).astype(np.int32),
+            "n": np.append(passed[key], 0.0),
+            "concordant": np.append(np.zeros(len(key)), sums[0]),
+            "tied": np.append(np.zeros(len(key)), sums[1]),
+        }
+        yield pa.RecordBatch.from_pydict(rows)
 
     return scan
 
 
-def concordance_counts(frame: DataFrame, score: Column, month: Column, event: Column) -> dict:
+def concordance_counts(
+    frame: DataFrame, score: Column, month: Column, event: Column, last: int | None = None
+) -> dict:
     """Concordant, tied and comparable pairs.
 
     An event is comparable with every later exit and with censored exits of its own month. A higher
-    score means an earlier event is expected.
+    score means an earlier event is expected. `last` is the last exit month, if it is known.
     """
     rows = frame.select(
         score.cast("double").alias("score"),
         month.cast("int").alias("month"),
         event.cast("int").alias("event"),
     )
-    last = rows.agg(F.max("month")).first()[0]
+    if last is None:
+        last = rows.agg(F.max("month")).first()[0]
     if last is None or last > MAX_MONTHS:
         raise ContractError("Concordance needs a non-empty month clock.")
     counted = rows.groupBy("score", "month", "event").agg(F.count("*").cast("double").alias("n"))
     parts = (
         counted.repartitionByRange("score")
         .sortWithinPartitions("score")
-        .mapInPandas(
+        .mapInArrow(
             _scan_sorted(last),
             "part int, month int, event int, n double, concordant double, tied double",
         )
@@ -164,8 +177,10 @@ def _combine(parts: DataFrame, last: int) -> DataFrame:
     )
 
 
-def concordance_index(frame: DataFrame, score: Column, month: Column, event: Column) -> float:
-    row = concordance_counts(frame, score, month, event)
+def concordance_index(
+    frame: DataFrame, score: Column, month: Column, event: Column, last: int | None = None
+) -> float:
+    row = concordance_counts(frame, score, month, event, last)
     if not row["comparable"]:
         raise ContractError("No comparable pairs for concordance.")
     return (row["concordant"] + 0.5 * row["tied"]) / row["comparable"]

@@ -164,7 +164,11 @@ def _fit_static(frame, code_column: Column, specs, level, with_concordance) -> l
             index = None
             if with_concordance:
                 index = concordance_index(
-                    table, linear_score(fit.beta), F.col("exit"), F.col("code") == code
+                    table,
+                    linear_score(fit.beta),
+                    F.col("exit"),
+                    F.col("code") == code,
+                    fit.sums.months - 1,
                 )
             status, warning = convergence(fit)
             p = len(CORE_PREDICTORS)

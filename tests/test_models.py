@@ -348,3 +348,37 @@ def test_tie_sums_of_very_many_events_take_no_longer():
     assert k.inv2 * 1e12 == pytest.approx(10, rel=1e-10)
     with pytest.raises(ContractError, match="lost its weight"):
         tie_terms(1.0, 2.0, 10)
+
+
+@pytest.mark.parametrize("scores, months", [(40, 6), (100_000, 30), (3, 900)])
+def test_outlasting_counts_of_large_batches(scores, months):
+    """Counts of a batch, worked by block, against a comparison of all rows."""
+    random = np.random.default_rng(scores)
+    n = 3 * concordance.BLOCK + 17
+    score = np.sort(random.integers(0, scores, n))
+    key, count = random.integers(0, 2 * months, n), random.integers(1, 5, n).astype(float)
+    passed = random.integers(0, 9, 2 * months + 2).astype(float)
+    counts = concordance.PassedCounts(passed, key, count)
+    place = np.searchsorted(score, score, "left")
+    found = counts.outlasting(place, key)
+    lower = (score[None, :] < score[:, None]) & (key[None, :] > key[:, None])
+    before = np.array([passed[k + 1 :].sum() for k in key])
+    assert (found == lower @ count + before).all()
+    assert counts.total.sum() == passed.sum() + count.sum()
+
+
+def test_concordance_of_rows_over_many_batches(spark):
+    random = np.random.default_rng(8)
+    n = 3000
+    score, month = random.integers(0, 700, n) / 7, random.integers(1, 40, n)
+    event = (random.random(n) < 0.4).astype(int)
+    rows = [(float(s), int(m), int(e)) for s, m, e in zip(score, month, event, strict=True)]
+    df = spark.createDataFrame(rows, "s double, m int, e int").repartition(3)
+    size = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "97")
+    try:
+        found = concordance.concordance_counts(df, F.col("s"), F.col("m"), F.col("e"))
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", size)
+    good, ties, pairs = brute.concordance(score, month, event)
+    assert (found["concordant"], found["tied"], found["comparable"]) == (good, ties, pairs)
