@@ -10,7 +10,8 @@ from loanspan.functions.guards import enforce
 
 def yyyymm_to_date(col: Column) -> Column:
     """YYYYMM text to the first day of that month; NULL when it is not a month."""
-    return F.try_to_date(col, "yyyyMM")
+    num = col.try_cast("int")
+    return F.when((F.length(col) == 6) & is_month(num), yyyymm_to_first_day(num))
 
 
 def require_months(df: DataFrame, columns: dict[str, Column]) -> DataFrame:

@@ -22,8 +22,8 @@ from loanspan.operators import ph_test, sampling, scoring, simulator, validate
 from loanspan.plans import projections, reads, release
 from loanspan.plans.oracle import dindex, dstr, idx, sql
 from loanspan.plans.study import Study, study
+from loanspan.sources import archives, text
 from loanspan.sources import tables as io
-from loanspan.sources import text
 
 DIGITS = 9
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -84,13 +84,20 @@ def _scanned(s: Study, kind: str) -> DataFrame:
     return reduce(DataFrame.unionByName, parts)
 
 
-query("text_scan_origination", "SELECT * FROM raw_orig")(lambda s: _scanned(s, "origination"))
-query(
-    "text_scan_performance",
-    """SELECT *, NULL::VARCHAR AS payment_deferral_flag,
+def _unpacked(s: Study, kind: str) -> DataFrame:
+    """Every vintage's archives through the member stream."""
+    folder = s.archive_folder(kind)
+    paths = {year: f"{folder}/{year}" for year in s.vintages}
+    return archives.scan_yearly_archives(s.spark, paths, kind)
+
+
+RAW_PERFORMANCE = """SELECT *, NULL::VARCHAR AS payment_deferral_flag,
   NULL::VARCHAR AS delinquency_due_to_disaster, NULL::VARCHAR AS borrower_assistance_plan
-FROM raw_perf""",
-)(lambda s: _scanned(s, "performance"))
+FROM raw_perf"""
+query("text_scan_origination", "SELECT * FROM raw_orig")(lambda s: _scanned(s, "origination"))
+query("text_scan_performance", RAW_PERFORMANCE)(lambda s: _scanned(s, "performance"))
+query("archive_scan_origination", "SELECT * FROM raw_orig")(lambda s: _unpacked(s, "origination"))
+query("archive_scan_performance", RAW_PERFORMANCE)(lambda s: _unpacked(s, "performance"))
 
 query(
     "typed_text_performance",

@@ -25,6 +25,7 @@ from loanspan.operators.standardize import (
     standardize_performance,
 )
 from loanspan.sources import order_panel
+from loanspan.sources.archives import write_archives
 from loanspan.sources.tables import path_exists, remove_path
 from loanspan.sources.text import kind_fields
 
@@ -64,7 +65,7 @@ class Study:
     def text_folder(self, kind: str) -> str:
         """The raw table of a kind as header-less pipe text, one folder per vintage."""
         path = f"{self.folder}/text_{kind}"
-        if not path_exists(self.spark, path):
+        if not path_exists(self.spark, f"{path}/_SUCCESS"):
             table = self.raw_orig if kind == "origination" else self.raw_perf
             fields, _ = kind_fields(kind)
             present = set(table.columns)
@@ -74,11 +75,21 @@ class Study:
                     F.coalesce(F.col(f), F.lit("")) if f in present else F.lit("") for f in fields
                 ],
             )
-            table.select(line.alias("value"), "vintage_year").write.partitionBy(
+            table.select(line.alias("value"), "vintage_year").write.mode("overwrite").partitionBy(
                 "vintage_year"
             ).text(path)
         return path
 
+    def archive_folder(self, kind: str) -> str:
+        """The text of a kind as archives, one folder per vintage."""
+        path = f"{self.folder}/archives_{kind}"
+        if not path_exists(self.spark, f"{path}/complete"):
+            for year in self.vintages:
+                lines = self.spark.read.text(f"{self.text_folder(kind)}/vintage_year={year}")
+                write_archives(lines.coalesce(2), kind, year, f"{path}/{year}")
+            self.spark.range(0).write.parquet(f"{path}/complete")
+        return path
+
     @cached_property
     def vintages(self) -> list[int]:
         rows = self.raw_orig.select("vintage_year").distinct().collect()

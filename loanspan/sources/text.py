@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from loanspan.contracts import (
@@ -14,9 +14,12 @@ from loanspan.contracts import (
     all_strings,
 )
 from loanspan.functions import months as M
-from loanspan.functions.codes import blank_to_null
+from loanspan.functions.codes import any_of, blank_to_null
 from loanspan.functions.guards import enforce
 
+#: Splits of text files whose line offsets travel to the lines.
+MAX_SPLITS = 200_000
+
 # Field positions and names of the typed reader.
 TYPED_ORIGINATION = {
     0: "credit_score",
@@ -89,20 +92,25 @@ def scan_text(spark: SparkSession, paths, kind: str, vintage_year: int) -> DataF
     )
 
 
-def _with_fields(lines: DataFrame, line, count: int) -> DataFrame:
-    """`lines` with `_parts`, the fields of a pipe-delimited line; another number of them fails."""
-    return enforce(
-        lines.withColumn("_parts", F.split(line, r"\|", -1)),
-        F.size("_parts") == count,
-        F.concat(F.lit(f"expected {count} fields, found "), F.size("_parts").cast("string")),
-    )
+def _with_fields(lines: DataFrame, line) -> DataFrame:
+    """`lines` with `_parts`, the fields of a pipe-delimited line.
+
+    The one-element explode keeps Spark from writing the split into every expression that uses it.
+    """
+    return lines.withColumn("_parts", F.explode(F.array(F.split(line, r"\|", -1))))
+
+
+def _right_count(count: int) -> tuple[Column, Column]:
+    found = F.size("_parts").cast("string")
+    return F.size("_parts") == count, F.concat(F.lit(f"expected {count} fields, found "), found)
 
 
 def split_lines(lines: DataFrame, kind: str) -> DataFrame:
     """Split a `value` column of pipe-delimited lines into the kept columns, strictly."""
     fields, keep = kind_fields(kind)
     rest = [name for name in lines.columns if name != "value"]
-    return _with_fields(lines, F.col("value"), len(fields)).select(
+    split = _with_fields(lines, F.col("value"))
+    return enforce(split, *_right_count(len(fields))).select(
         *[
             F.when(F.col("_parts")[fields.index(name)] != "", F.col("_parts")[fields.index(name)])
             .alias(name)
@@ -117,8 +125,8 @@ def numbered_lines(spark: SparkSession, paths) -> DataFrame:
 
     Spark cuts large files into splits, so the number is the count of lines in the earlier splits
     plus the position inside the own split. Only one row per split is aggregated; the lines are
-    never sorted or gathered. File splits are the same in both scans, so a lost executor changes
-    nothing.
+    never sorted, gathered or exchanged: the table of splits travels to them while it has at most
+    `MAX_SPLITS` rows. File splits are the same in both scans, so a lost executor changes nothing.
     """
     lines = spark.read.text(paths).select(
         "value",
@@ -129,20 +137,27 @@ def numbered_lines(spark: SparkSession, paths) -> DataFrame:
     earlier = Window.partitionBy("path").orderBy("block").rowsBetween(
         Window.unboundedPreceding, -1
     )
+    counted = spark.read.text(paths).select(
+        F.col("_metadata.file_path").alias("path"),
+        F.col("_metadata.file_block_start").alias("block"),
+        F.monotonically_increasing_id().alias("scan_id"),
+    )
     splits = (
-        lines.groupBy("path", "block")
+        counted.groupBy("path", "block")
         .agg(F.min("scan_id").alias("first_id"), F.count("*").alias("lines"))
         .select(
             "path",
             "block",
-            "first_id",
-            F.coalesce(F.sum("lines").over(earlier), F.lit(0)).alias("offset"),
+            (F.coalesce(F.sum("lines").over(earlier), F.lit(0)) - F.col("first_id") + 1).alias("shift"),
         )
     )
+    found = splits.limit(MAX_SPLITS + 1).toArrow()
+    if found.num_rows <= MAX_SPLITS:
+        splits = F.broadcast(spark.createDataFrame(found))
     return lines.join(splits, ["path", "block"]).select(
         "value",
         F.element_at(F.split("path", "/"), -1).alias("source_file"),
-        (F.col("scan_id") - F.col("first_id") + F.col("offset") + 1).alias("source_row"),
+        (F.col("scan_id") + F.col("shift")).alias("source_row"),
     )
 
 
@@ -157,25 +172,28 @@ def scan_typed_text(spark: SparkSession, paths, kind: str) -> DataFrame:
     line = F.when(
         F.col("source_row") == 1, F.regexp_replace("value", "^\\uFEFF", "")
     ).otherwise(F.col("value"))
-    source = _with_fields(numbered_lines(spark, paths), line, len(fields))
-    columns = []
+    source = enforce(
+        _with_fields(numbered_lines(spark, paths), line), *_right_count(len(fields))
+    )
+    columns, checks = [], []
     for position, name in spec.items():
         raw = F.col("_parts")[position]
         value = blank_to_null(raw)
-        if name in TYPED_DATES:
-            source = M.require_months(source, {name: value})
-            columns += [M.yyyymm_to_date(value).alias(name), raw.alias(f"{name}_raw")]
-        elif name in TYPED_NUMBERS:
-            number = value.try_cast("double")
-            source = enforce(
-                source,
-                value.isNull() | number.isNotNull(),
-                F.concat(F.lit(f"{name} is not numeric: "), value),
-            )
-            columns += [number.alias(name), raw.alias(f"{name}_raw")]
-        elif name == "loan_id":
-            source = enforce(source, value.isNotNull(), F.lit("loan_id is missing"))
-            columns.append(value.alias(name))
+        missing = F.col(f"_row.{name}").isNull()
+        if name in TYPED_DATES or name in TYPED_NUMBERS:
+            dated = name in TYPED_DATES
+            typed = M.yyyymm_to_date(value) if dated else value.try_cast("double")
+            columns += [typed.alias(name), raw.alias(f"{name}_raw")]
+            text = F.trim(F.col(f"_row.{name}_raw"))
+            label = f"{name} is {'not a YYYYMM month' if dated else 'not numeric'}: "
+            checks.append((missing & (text != ""), F.concat(F.lit(label), text)))
         else:
             columns.append(value.alias(name))
-    return source.select(*columns, "source_file", "source_row")
+            if name == "loan_id":
+                checks.append((missing, F.lit("loan_id is missing")))
+    # Checked as they are, not written again into one very long expression.
+    typed = source.select(
+        F.explode(F.array(F.struct(*columns, "source_file", "source_row"))).alias("_row")
+    )
+    message = F.coalesce(*[F.when(bad, said) for bad, said in checks])
+    return enforce(typed, ~any_of(bad for bad, _ in checks), message).select("_row.*")

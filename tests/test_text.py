@@ -1,17 +1,19 @@
 """Raw text, archives, table sinks and incremental ingestion."""
 
+import tracemalloc
 import zipfile
 
 import pytest
 from pyspark.sql import functions as F
 
 from loanspan.contracts import ORIGINATION_FIELDS, PERFORMANCE_FIELDS, ContractError, schema_of
+from loanspan.functions.months import yyyymm_to_date
 from loanspan.operators.standardize import (
     clean_origination,
     standardize_origination,
     standardize_performance,
 )
-from loanspan.sources.archives import scan_archives
+from loanspan.sources.archives import member_lines, scan_archives, write_archives
 from loanspan.sources.tables import (
     export_checked,
     path_exists,
@@ -20,7 +22,7 @@ from loanspan.sources.tables import (
     write_parquet,
     write_vintages,
 )
-from loanspan.sources.text import scan_text, scan_typed_text
+from loanspan.sources.text import numbered_lines, scan_text, scan_typed_text
 from loanspan.streaming.ingest import ingest_new_files
 
 
@@ -213,3 +215,65 @@ def test_incremental_ingestion_reads_each_file_once(spark, tmp_path):
     ingest_new_files(spark, str(folder), "origination", out, state)
     got = sorted((r.vintage_year, r.loan_id) for r in spark.read.parquet(out).collect())
     assert got == [(2020, "F20Q10000001"), (2021, "F21Q10000002")]
+
+
+def test_members_larger_than_a_chunk_are_streamed(tmp_path):
+    path = str(tmp_path / "a.zip")
+    line = b"0123456789" * 20
+    with zipfile.ZipFile(path, "w", zipfile.ZIP_DEFLATED) as archive:
+        with archive.open("in/sample_perf_2020.txt", "w") as member:
+            member.write(b"\xef\xbb\xbf")
+            for _ in range(600):
+                member.write((line + b"\r\n") * 1000)
+            member.write(b"last")
+    tracemalloc.start()
+    rows = 0
+    for batch in member_lines(path, "sample_perf_2020.txt", "2020"):
+        values = batch.column(0)
+        assert values[0].as_py() in (line.decode(), "last")
+        rows += len(values)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    # 120 MB of text pass through a few chunks of 4 MB.
+    assert rows == 600_001 and peak < 48 << 20
+
+
+def test_archives_round_trip(spark, tmp_path):
+    rows = [(orig_line(loan_id=f"F20Q1000{i:04}"),) for i in range(500)]
+    lines = spark.createDataFrame(rows, "value string").repartition(3)
+    folder = str(tmp_path / "zips")
+    write_archives(lines, "origination", 2020, folder)
+    write_archives(lines.filter("false"), "origination", 2021, str(tmp_path / "none"))
+    assert len(list((tmp_path / "zips").glob("*.zip"))) == 3 and not (tmp_path / "none").exists()
+    found = scan_archives(spark, folder, "origination", 2020)
+    text_path = str(tmp_path / "plain")
+    lines.write.text(text_path)
+    expected = scan_text(spark, text_path, "origination", 2020)
+    assert sorted(found.collect()) == sorted(expected.select(found.columns).collect())
+
+
+def test_numbering_lines_exchanges_no_text(spark, tmp_path):
+    path = str(tmp_path / "long.txt")
+    with open(path, "w") as file:
+        file.writelines(f"{i}|{'x' * 90}\n" for i in range(20_000))
+    size = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "200k")
+    try:
+        numbered = numbered_lines(spark, [path])
+        plan = numbered._jdf.queryExecution().executedPlan().toString()
+        rows = numbered.collect()
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", size)
+    assert len(rows) == 20_000
+    assert all(r.value.startswith(f"{r.source_row - 1}|") and r.source_file == "long.txt" for r in rows)
+    assert "BroadcastHashJoin" in plan and "hashpartitioning" not in plan
+
+
+@pytest.mark.parametrize(
+    "text, month",
+    [("202001", "2020-01-01"), ("202013", None), ("202000", None), ("20201", None), ("2020012", None),
+     ("", None), (None, None), ("abcdef", None), ("+20201", None), ("-20201", None), ("999912", "9999-12-01")],
+)
+def test_month_text(spark, text, month):
+    row = spark.createDataFrame([(text,)], "t string").select(yyyymm_to_date(F.col("t")).alias("d")).first()
+    assert (None if row.d is None else str(row.d)) == month
