@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from loanspan.contracts import CUTOFF, violations
 from loanspan.functions import months as M
 from loanspan.functions.codes import true
 
+#: Neighbouring source rows that are kept together.
+ORDER_CHUNK = 1 << 20
+
 
 def build_survival(events: DataFrame, cutoff: int = CUTOFF) -> DataFrame:
     """Entry and exit on the clock whose month 1 is the first payment month.
@@ -78,24 +81,41 @@ def check_survival(survival: DataFrame) -> DataFrame:
     )
 
 
-def _month_steps(perf: DataFrame, cutoff: int) -> DataFrame:
-    """Distinct (loan, month) pairs with their row count and the months since the previous one.
+def _steps() -> Column:
+    """Months since the loan's previous reported month."""
+    index = M.month_index(F.col("reporting_period_num"))
+    ordered = Window.partitionBy("loan_id").orderBy("reporting_period_num")
+    return index - F.lag(index).over(ordered)
+
+
+def _first_reports(rows: DataFrame, clock: DataFrame, chunk: int) -> DataFrame:
+    """`rows` (loan_id, reporting_period_num, row_order, ..) with `month_step` and the loan's clock.
 
-    Counting combines map-side, and the window then holds at most one row per calendar month of a
-    loan, however many reports a loan has.
+    A loan, or one month of it, may hold a third of all reports, so rows never meet another table on
+    the loan alone. Each month is cut into chunks of neighbouring rows; a chunk carries its first
+    row, the first of those is the month's, and a loan has one row for each month when steps are
+    taken. Step and clock come to the chunk, and with it to at most `chunk` rows in one place.
     """
-    per_month = (
-        perf.filter(F.col("reporting_period_num") <= cutoff)
-        .groupBy("loan_id", "reporting_period_num")
-        .agg(F.count("*").alias("reports"))
+    month = ["loan_id", "reporting_period_num"]
+    placed = rows.withColumn("chunk", F.floor(F.col("row_order") / F.lit(chunk)))
+    chunks = placed.groupBy(*month, "chunk").agg(F.min("row_order").alias("first_row"))
+    firsts = chunks.groupBy(*month).agg(F.min("first_row").alias("first_row"))
+    steps = firsts.withColumn("gap_from_previous", _steps())
+    carried = chunks.drop("first_row").join(steps, month).join(clock, "loan_id", "left")
+    step = F.when(F.col("row_order") == F.col("first_row"), F.col("gap_from_previous")).otherwise(0)
+    return (
+        placed.join(carried, [*month, "chunk"])
+        .withColumn("month_step", step)
+        .drop("chunk", "first_row", "gap_from_previous")
     )
-    index = M.month_index(F.col("reporting_period_num"))
-    ordered = Window.partitionBy("loan_id").orderBy("reporting_period_num")
-    return per_month.withColumn("gap_from_previous", index - F.lag(index).over(ordered))
 
 
 def build_loan_age_panel(
-    perf: DataFrame, survival: DataFrame, cutoff: int = CUTOFF, row_order: str | None = None
+    perf: DataFrame,
+    survival: DataFrame,
+    cutoff: int = CUTOFF,
+    row_order: str | None = None,
+    chunk: int = ORDER_CHUNK,
 ) -> DataFrame:
     """Loan-months with their analysis month and review flags; odd rows stay in, flagged.
 
@@ -106,29 +126,6 @@ def build_loan_age_panel(
     origin = M.date_month_index(F.col("operational_origination_date"))
     keep = ["loan_id", "reporting_period_num", F.col("loan_age").alias("source_loan_age")]
     rows = perf.filter(F.col("reporting_period_num") <= cutoff)
-    if row_order is None:
-        panel = rows.select(*keep)
-        # One report per month: the window can run on the rows themselves.
-        index = M.month_index(F.col("reporting_period_num"))
-        ordered = Window.partitionBy("loan_id").orderBy("reporting_period_num")
-        panel = panel.withColumn("month_step", index - F.lag(index).over(ordered))
-    else:
-        firsts = rows.groupBy("loan_id", "reporting_period_num").agg(
-            F.min(row_order).alias("first_row")
-        )
-        panel = (
-            rows.select(*keep, F.col(row_order).alias("row_order"))
-            .join(
-                _month_steps(perf, cutoff).join(firsts, ["loan_id", "reporting_period_num"]),
-                ["loan_id", "reporting_period_num"],
-            )
-            .withColumn(
-                "month_step",
-                F.when(F.col("row_order") == F.col("first_row"), F.col("gap_from_previous"))
-                .otherwise(0),
-            )
-            .drop("reports", "gap_from_previous", "first_row")
-        )
     clock = survival.select(
         "loan_id",
         "vintage_year",
@@ -143,11 +140,15 @@ def build_loan_age_panel(
         "survival_eligible",
         "survival_exclusion_reason",
     )
+    if row_order is None:
+        # One report per month: the window can run on the rows themselves.
+        panel = rows.select(*keep).withColumn("month_step", _steps()).join(clock, "loan_id", "left")
+    else:
+        panel = _first_reports(rows.select(*keep, F.col(row_order).alias("row_order")), clock, chunk)
     time = F.col("analysis_time_month")
     step = F.col("month_step")
     return (
-        panel.join(clock, "loan_id", "left")
-        .withColumns(
+        panel.withColumns(
             {
                 "performance_month": M.yyyymm_to_first_day(F.col("reporting_period_num")),
                 "analysis_time_month": (

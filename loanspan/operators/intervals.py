@@ -18,6 +18,7 @@ from loanspan.contracts import (
     LAG_COLUMNS,
     PERFORMANCE_SOURCE,
     TV_PREDICTORS,
+    ContractError,
     merge_rows,
     require_columns,
     require_schema,
@@ -140,27 +141,44 @@ def check_interval_coverage(intervals: DataFrame, loans: DataFrame) -> DataFrame
     )
 
 
-HASH_BITS = 30
+#: Months of a word of the bitmaps, and words at most.
+WORD, MAX_WORDS = 64, 64
 
 
-def _chain_sum(seed: int) -> Column:
-    """Sum of h(stop) - h(start); over a gap-free chain it telescopes to h(last) - h(first)."""
-    return F.sum(_chain_hash("stop_time_month", seed) - _chain_hash("start_time_month", seed))
+def _bit(month: Column, word: int) -> Column:
+    """The month's bit, if it belongs to the word, else 0."""
+    inside = F.floor(month / F.lit(WORD)) == word
+    # The shift count is taken modulo 64.
+    bit = F.call_function("shiftleft", F.lit(1).cast("long"), (month % F.lit(WORD)).cast("int"))
+    return F.when(inside, bit).otherwise(F.lit(0).cast("long"))
 
 
-def _chain_hash(name: str, seed: int) -> Column:
-    return F.pmod(F.xxhash64(F.lit(seed), F.col(name)), F.lit(1 << HASH_BITS))
+def _chain_broken(words: int) -> Column:
+    """Whether a loan's intervals, each with start < stop, fail to make one chain without gap.
+
+    They do if starts are distinct, stops are distinct, and the starts but the first are the stops
+    but the last.
+    """
+    count = lambda name: sum((F.bit_count(f"{name}_{w}") for w in range(words)), F.lit(0))
+    linked = [
+        F.col(f"starts_{w}").bitwiseXOR(_bit(F.col("first_start"), w))
+        != F.col(f"stops_{w}").bitwiseXOR(_bit(F.col("last_stop"), w))
+        for w in range(words)
+    ]
+    return any_of([count("starts") != F.col("rows"), count("stops") != F.col("rows"), *linked])
 
 
 def check_intervals(intervals: DataFrame) -> DataFrame:
     """Row, chain and terminal-event violations of an interval table.
 
-    One hash aggregate per loan, without sort or window. With start < stop in every row, the rows
-    of a loan are disjoint and gap-free exactly when all starts but the first equal all stops but
-    the last as multisets; repeated rows break that too. Two independent 30-bit hash sums compare
-    the multisets. The last row's flags travel in the maximum of one packed number.
+    One hash aggregate per loan, without sort or window. Starts and stops are kept as bitmaps of
+    months, which decide exactly whether the rows of a loan are disjoint and gap-free; repeated rows
+    break that too. The last row's flags travel in the maximum of one packed number.
     """
     require_schema(intervals, INTERVALS, "Time-varying input")
+    words = (intervals.agg(F.max("stop_time_month")).first()[0] or 0) // WORD + 1
+    if words > MAX_WORDS:
+        raise ContractError("The clock has too many months for the interval check.")
     start, stop = F.col("start_time_month"), F.col("stop_time_month")
     flags = [F.col(name) for name in LAG_COLUMNS[2:]]
     length = F.col("interval_length_months")
@@ -184,7 +202,11 @@ def check_intervals(intervals: DataFrame) -> DataFrame:
         *violations(**rules),
         F.min("start_time_month").alias("first_start"),
         F.max("stop_time_month").alias("last_stop"),
-        *[_chain_sum(seed).alias(f"chain_{seed}") for seed in (1, 2)],
+        *[
+            F.bit_or(_bit(month, w)).alias(f"{name}_{w}")
+            for name, month in {"starts": start, "stops": stop}.items()
+            for w in range(max(words, 1))
+        ],
         F.sum(event).alias("events"),
         F.count_if("terminal_interval_flag").alias("terminals"),
         F.count_if(F.col("event_type") == "DEFAULT").alias("default_rows"),
@@ -192,10 +214,7 @@ def check_intervals(intervals: DataFrame) -> DataFrame:
         *[F.min(name).alias(f"lo_{name}") for name in CORE_PREDICTORS],
         *[F.max(name).alias(f"hi_{name}") for name in CORE_PREDICTORS],
     )
-    broken = any_of(
-        F.col(f"chain_{seed}") != _chain_hash("last_stop", seed) - _chain_hash("first_start", seed)
-        for seed in (1, 2)
-    )
+    broken = _chain_broken(max(words, 1))
     expected = (F.col("default_rows") > 0).cast("int")
     bad_terminal = (
         ((F.col("default_rows") > 0) & (F.col("default_rows") < F.col("rows")))

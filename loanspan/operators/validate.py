@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+import numpy as np
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from loanspan.contracts import CUTOFF, CUTOFF_DATE, ContractError, merge_rows, require_columns
@@ -155,6 +156,72 @@ def order_violations(
     )
 
 
+def _file_pieces(keys: list[str]):
+    """mapInPandas body: each stretch of a file's rows with its first and last key and disorder."""
+    import pandas as pd
+
+    def descents(frame) -> int:
+        before, after = frame[keys].shift(1).iloc[1:], frame[keys].iloc[1:]
+        lower, equal = np.zeros(len(after), bool), np.ones(len(after), bool)
+        for k in keys:
+            a, b = before[k].to_numpy(), after[k].to_numpy()
+            lower |= equal & (b < a)
+            equal &= a == b
+        return int(lower.sum())
+
+    def run(batches):
+        for batch in batches:
+            for file, frame in batch.groupby("file", sort=False):
+                ends = frame.iloc[[0, -1]]
+                row = {"file": [file], "start": [ends["row"].iloc[0]], "rows": [len(frame)]}
+                row["inside"] = [descents(frame)]
+                for k in keys:
+                    row[f"first_{k}"], row[f"last_{k}"] = [ends[k].iloc[0]], [ends[k].iloc[1]]
+                yield pd.DataFrame(row)
+
+    return run
+
+
+def stored_order(spark: SparkSession, path: str, keys: list[str]) -> DataFrame:
+    """Rows of a stored Parquet table and how many come before their predecessor by `keys`.
+
+    Rows stand in order of file name and place in the file. Every Arrow batch of a scan is compared
+    in place and reports its first and last key; batches are compared along each file, files along
+    the table, so no row is sorted or exchanged. Rows with a NULL key are left out: the key check
+    counts them.
+    """
+    stored = spark.read.parquet(path)
+    table = stored.select(
+        *keys, F.col("_metadata.file_name").alias("file"), F.col("_metadata.row_index").alias("row")
+    ).dropna(subset=keys)
+    kinds = {k: stored.schema[k].dataType.simpleString() for k in keys}
+    edges = ", ".join(f"first_{k} {kind}, last_{k} {kind}" for k, kind in kinds.items())
+    pieces = table.mapInPandas(
+        _file_pieces(keys), f"file string, start bigint, rows bigint, inside bigint, {edges}"
+    )
+    first, last = (F.struct(*[F.col(f"{end}_{k}").alias(k) for k in keys]) for end in ("first", "last"))
+    ordered = pieces.select("file", "start", "rows", "inside", first.alias("first"), last.alias("last"))
+    along = Window.partitionBy("file").orderBy("start")
+    files = (
+        ordered.withColumn("before", F.lag("last").over(along))
+        .groupBy("file")
+        .agg(
+            F.sum("rows").alias("rows"),
+            (F.sum("inside") + F.count_if(F.col("first") < F.col("before"))).alias("inside"),
+            F.min_by("first", "start").alias("first"),
+            F.max_by("last", "start").alias("last"),
+        )
+    )
+    # One row for each file.
+    across = files.withColumn("before", F.lag("last").over(Window.orderBy("file")))
+    return across.agg(
+        F.coalesce(F.sum("rows"), F.lit(0)).alias("table_rows"),
+        (F.coalesce(F.sum("inside"), F.lit(0)) + F.count_if(F.col("first") < F.col("before"))).alias(
+            "order_violations"
+        ),
+    )
+
+
 def reporting_gaps(perf: DataFrame, period: str = "reporting_period_num") -> DataFrame:
     """Loans with missing months between their first and last report, and how many months."""
     p = F.col(period)

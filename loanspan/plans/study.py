@@ -40,10 +40,13 @@ class Study:
         name = sf_dir.strip("/").replace("/", "_")
         self.folder = f"{shared_folder(spark)}/{spark.sparkContext.applicationId}-{name}"
 
-    def _written(self, name: str, df: DataFrame) -> DataFrame:
+    def written_path(self, name: str, df: DataFrame) -> str:
         path = f"{self.folder}/{name}"
         df.write.mode("overwrite").option("compression", "zstd").parquet(path)
-        return self.spark.read.parquet(path)
+        return path
+
+    def _written(self, name: str, df: DataFrame) -> DataFrame:
+        return self.spark.read.parquet(self.written_path(name, df))
 
     def drop(self) -> None:
         """Remove the written tables; the study is unusable afterwards."""

@@ -2,6 +2,7 @@
 
 import datetime
 import math
+from collections import Counter
 
 import numpy as np
 import pytest
@@ -338,3 +339,95 @@ def test_final_validation_finds_broken_tables(spark, tables):
     assert orphan.perf_ids_not_in_orig == raw.select("loan_id").distinct().count() - 1
     with pytest.raises(ContractError):
         validate.require_pass(validate.final_validation(*base))
+
+
+def test_a_hot_loan_is_spread_over_tasks(spark):
+    hot = spark.range(9000).select(
+        F.lit("hot").alias("loan_id"),
+        (F.lit(202001) + (F.col("id") % 2 == 0).cast("int")).alias("reporting_period_num"),
+        F.lit(0).alias("loan_age"),
+        F.col("id").alias("source_row"),
+    )
+    others = spark.range(9000, 27000).select(
+        F.concat(F.lit("l"), (F.col("id") % 6000).cast("string")),
+        F.lit(202001),
+        F.lit(0),
+        F.col("id"),
+    )
+    survival = hot.union(others).select("loan_id").distinct().selectExpr(
+        "loan_id", "2019S vintage_year", "date'2020-01-01' first_payment_month",
+        "date'2019-12-01' operational_origination_date", "1 entry_time_month", "5 exit_time_month",
+        "4 observed_duration_months", "202004 event_month", "'CENSOR' event_type", "0Y event_code",
+        "true survival_eligible", "cast(null as string) survival_exclusion_reason",
+    )
+    conf = {
+        "spark.sql.adaptive.skewJoin.enabled": "false",
+        "spark.sql.adaptive.coalescePartitions.enabled": "false",
+        "spark.sql.autoBroadcastJoinThreshold": "-1",
+        "spark.sql.adaptive.autoBroadcastJoinThreshold": "-1",
+        "spark.sql.shuffle.partitions": "40",
+    }
+    before = {k: spark.conf.get(k, None) for k in conf}
+    for k, v in conf.items():
+        spark.conf.set(k, v)
+    try:
+        panel = clock.build_loan_age_panel(hot.union(others), survival, row_order="source_row", chunk=300)
+        rows = panel.withColumn("task", F.spark_partition_id()).select("task", "loan_id", "month_step").collect()
+    finally:
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+    assert len(rows) == 27000
+    by_task = Counter(r.task for r in rows)
+    # A third of all rows are one loan's, and half of those one month's.
+    assert max(by_task.values()) < 27000 / 8
+    steps = Counter(r.month_step for r in rows if r.loan_id == "hot")
+    assert steps == {None: 1, 1: 1, 0: 8998}
+
+
+@pytest.mark.parametrize("seed", range(3))
+def test_chains_are_decided_exactly(spark, seed):
+    random = np.random.default_rng(seed)
+    spans = []
+    for _ in range(60):
+        cuts = np.sort(random.choice(200, random.integers(2, 9), replace=False)).tolist()
+        rows = list(zip(cuts, cuts[1:], strict=False))
+        kind = random.integers(0, 5)
+        if kind == 1 and len(rows) > 2:
+            rows.pop(1)
+        elif kind == 2:
+            rows.append(rows[0])
+        elif kind == 3 and len(rows) > 1:
+            # Same sums of starts and of stops, other pairs.
+            (a, b), (c, d) = rows[0], rows[1]
+            rows[:2] = [(a, d), (c, b)] if c < b else [(a, b + 1), (c, d - 1)]
+        elif kind == 4:
+            rows = [(a, b) for a, b in rows] + [(cuts[0] + 300, cuts[0] + 301)]
+        spans.append([(a, b) for a, b in rows if a < b])
+    broken = 0
+    for rows in spans:
+        ordered = sorted(rows)
+        broken += any(stop != start for (_, stop), (start, _) in zip(ordered, ordered[1:], strict=False))
+    check = intervals.check_intervals(interval_rows(spark, spans)).first()
+    assert check.noncontiguous_loans == broken > 0
+
+
+def test_stored_order(spark, tmp_path):
+    path = str(tmp_path / "t")
+    rows = spark.range(5000).selectExpr("concat('k', lpad(id div 3, 5, '0')) k", "cast(id % 3 as int) m")
+    rows.coalesce(1).sortWithinPartitions("k", "m").write.option("maxRecordsPerFile", 700).parquet(path)
+    found = validate.stored_order(spark, path, ["k", "m"]).first()
+    assert (found.table_rows, found.order_violations) == (5000, 0)
+    damaged = str(tmp_path / "d")
+    swapped = rows.withColumn("m", F.when(F.col("k") == "k00500", 2 - F.col("m")).otherwise(F.col("m")))
+    late = spark.createDataFrame([("a", 1), (None, 1)], "k string, m int")
+    ordered = swapped.coalesce(1).sortWithinPartitions("k", F.when(F.col("k") == "k00500", -F.col("m")).otherwise(F.col("m")))
+    ordered.write.parquet(damaged)
+    late.coalesce(1).write.mode("append").parquet(damaged)
+    files = sorted(r.f for r in spark.read.parquet(damaged).select(F.col("_metadata.file_name").alias("f")).distinct().collect())
+    small = spark.read.parquet(f"{damaged}/{files[0]}").count() == 2
+    found = validate.stored_order(spark, damaged, ["k", "m"]).first()
+    # Two descents within k00500, and one where the files meet unless the small one comes first.
+    assert (found.table_rows, found.order_violations) == (5001, 2 + (not small))
+    empty = str(tmp_path / "e")
+    rows.limit(0).write.parquet(empty)
+    assert tuple(validate.stored_order(spark, empty, ["k", "m"]).first()) == (0, 0)
