@@ -1866,4 +1866,4 @@ def _outcome_metrics(s: Study) -> DataFrame:
 
 query("outcome_model_metrics")(_outcome_metrics)
 
-from loanspan.plans import regressions  # noqa: E402, F401
+from loanspan.plans import damaged, regressions  # noqa: E402, F401
