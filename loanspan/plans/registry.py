@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from loanspan.contracts import CORE_PREDICTORS, CUTOFF, TV_PREDICTORS
+from loanspan.contracts import CORE_PREDICTORS, CUTOFF, TV_PREDICTORS, merge_rows
 from loanspan.functions import months as M
 from loanspan.functions.codes import delinquency_label, event_label
 from loanspan.operators import aalen_johansen as aj
@@ -174,6 +174,32 @@ query(
     .agg(F.count("*").alias("loans"))
 )
 
+
+
+def _snapshots(s: Study) -> DataFrame:
+    """Two versions of the model table published one after the other, and what readers get."""
+    root = f"{s.folder}/analysis_versions"
+    last = max((n for n, _ in io.pointed(s.spark, root)), default=0)
+    first = io.publish_snapshot(
+        s.model.filter("event_type <> 'CENSOR'"), root, dataset.validate_model_frame, last
+    )
+    io.publish_snapshot(s.model, root, dataset.validate_model_frame, first)
+    parts = {"current": io.read_snapshot(s.spark, root), "earlier": io.read_snapshot(s.spark, root, first)}
+    return reduce(
+        DataFrame.unionByName,
+        [
+            df.groupBy("event_type").agg(F.count("*").alias("loans")).withColumn("version", F.lit(name))
+            for name, df in parts.items()
+        ],
+    )
+
+
+query(
+    "snapshot_publication",
+    """SELECT 'current' AS version, event_type, count(*) AS loans FROM model GROUP BY 2
+UNION ALL SELECT 'earlier', event_type, count(*) FROM model WHERE event_type<>'CENSOR' GROUP BY 2""",
+)(_snapshots)
+
 # ---- standardization -------------------------------------------------------------------------
 
 query(
@@ -1662,6 +1688,78 @@ UNION ALL SELECT 'performance', count(*), NULL, NULL, NULL, NULL FROM perf""",
     .drop("content_hash")
 )
 
+
+
+def _hashes(s: Study) -> DataFrame:
+    """Whether the content hash of an input stays the same for its rows in another order, and when
+    one value changes."""
+    parts = []
+    for name, df, column in [("analysis_loans", s.model, "duration_months"), ("performance", s.perf, "loan_age")]:
+        once = F.struct(F.col("loan_id"), F.col(column)) == df.select(F.max(F.struct("loan_id", column))).scalar()
+        value = F.col(column)
+        changed = df.withColumn(column, F.when(once, value + 1).otherwise(value).cast(df.schema[column].dataType))
+        hashes = [
+            release.fingerprint(t, name).select(F.col("content_hash").alias(f"h{i}"))
+            for i, t in enumerate([df, df.repartition(7, "loan_id"), changed])
+        ]
+        parts.append(
+            merge_rows(*hashes).select(
+                F.lit(name).alias("input"),
+                (F.col("h0") == F.col("h1")).alias("same_in_other_order"),
+                (F.col("h0") == F.col("h2")).alias("same_when_changed"),
+                F.col("h0").rlike("^-?[0-9]+$").alias("is_number"),
+            )
+        )
+    return reduce(DataFrame.unionByName, parts)
+
+
+query(
+    "input_content_hash",
+    """SELECT unnest(['analysis_loans','performance']) AS input, true AS same_in_other_order,
+  false AS same_when_changed, true AS is_number""",
+)(_hashes)
+
+
+def _release_cycle(s: Study) -> DataFrame:
+    """A run built, checked, published and read again: rows of each of its tables."""
+    root = f"{s.folder}/release"
+    if release.run_status(s.spark, root, "r1") is None:
+        release.build_release(s.model, s.perf, root, "r1")
+        release.validate_release(s.spark, root, "r1", s.model)
+        release.publish(s.spark, root, "r1")
+    run = release.current_run(s.spark, root)
+    status = release.run_status(s.spark, root, run)
+    parts = [
+        df.agg(F.count("*").alias("rows")).withColumn("table_name", F.lit(name))
+        for name, df in release.current_tables(s.spark, root).items()
+    ]
+    return reduce(DataFrame.unionByName, parts).select(
+        F.lit(run).alias("run_id"), F.lit(status).alias("status"), "table_name", "rows"
+    )
+
+
+_FITTED = {
+    "cox_results": 5, "cox_diagnostics": 1, "ph_diagnostics": 10, "ph_global_diagnostics": 2,
+    "cause_specific_default_results": 5, "cause_specific_default_diagnostics": 1,
+    "cause_specific_prepayment_results": 5, "cause_specific_prepayment_diagnostics": 1,
+    "fine_gray_default_results": 5, "fine_gray_default_diagnostics": 1, "time_varying_cox_results": 9,
+    "time_varying_cox_diagnostics": 1,
+}
+_COUNTED = {
+    "km_results": "km_all", "aalen_johansen_results": "curve_all", "overall_pd_horizons": "pd_overall",
+    "vintage_cif_results": "curve_vintage", "vintage_horizon_results": "pd_vintage",
+    "grouped_cif_results": "curve_band", "grouped_pd_horizons": "pd_band",
+}
+query(
+    "release_cycle",
+    "SELECT 'r1' AS run_id, 'PUBLISHED' AS status, table_name, rows FROM ("
+    + " UNION ALL ".join(
+        [f"SELECT '{t}' AS table_name, {n}::BIGINT AS rows" for t, n in _FITTED.items()]
+        + [f"SELECT '{t}', count(*) FROM {view}" for t, view in _COUNTED.items()]
+    )
+    + ")",
+)(_release_cycle)
+
 query(
     "count_reconciliation",
     """SELECT table_name, horizon_rows, 0::BIGINT AS loan_mismatches,

@@ -28,7 +28,7 @@ from loanspan.operators import cox, dataset, fine_gray, horizons, intervals
 from loanspan.operators import kaplan_meier as km
 from loanspan.operators import ph_test
 from loanspan.plans import projections
-from loanspan.sources.tables import path_exists, write_parquet
+from loanspan.sources.tables import path_exists, point, pointed, write_parquet
 
 TRANSITIONS = {
     None: {"CREATED"},
@@ -39,7 +39,6 @@ TRANSITIONS = {
     "PUBLISHED": set(),
 }
 STATUS = schema_of("run_id string, step int, status string, changed_at string")
-CURRENT = schema_of("run_id string, published_at string")
 CHECKS = schema_of("run_id string, check_name string, status string, detail string")
 FINGERPRINT = schema_of(
     "input string, row_count bigint, default_count bigint, prepayment_count bigint, "
@@ -395,34 +394,20 @@ def publish(spark: SparkSession, root: str, run_id: str) -> None:
     """Make a validated run the current one."""
     if run_status(spark, root, run_id) != "VALIDATED":
         raise ContractError("Only a VALIDATED run can be published.")
-    pointer = small_frame(spark, [(run_id, _now())], CURRENT)
-    # Old pointers stay as rows; the latest publication wins, so a reader never meets a gap.
-    write_parquet(pointer, f"{root.rstrip('/')}/current", mode="append")
+    # A run counter orders publications, however close in time; a reader never meets a gap.
+    point(spark, f"{root.rstrip('/')}/current", run_id)
     transition(spark, root, run_id, "PUBLISHED")
 
 
 def current_run(spark: SparkSession, root: str) -> str:
     """The last published run."""
-    path = f"{root.rstrip('/')}/current"
-    if not path_exists(spark, path):
+    pointers = pointed(spark, f"{root.rstrip('/')}/current")
+    if not pointers:
         raise ContractError("No run is published.")
-    published = (
-        spark.read.schema(STATUS)
-        .parquet(f"{root.rstrip('/')}/status")
-        .filter(F.col("status") == "PUBLISHED")
-        .select("run_id")
-        .distinct()
-    )
-    row = (
-        spark.read.schema(CURRENT)
-        .parquet(path)
-        .join(published, "run_id", "left_semi")
-        .agg(F.max_by("run_id", "published_at").alias("run_id"))
-        .first()
-    )
-    if row["run_id"] is None:
-        raise ContractError("The current pointer names no published run.")
-    return row["run_id"]
+    for _, run_id in pointers:
+        if run_status(spark, root, run_id) == "PUBLISHED":
+            return run_id
+    raise ContractError("The current pointer names no published run.")
 
 
 def current_tables(spark: SparkSession, root: str) -> dict[str, DataFrame]:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable, Iterable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -121,3 +122,81 @@ def export_checked(
         raise ContractError(f"{path}: could not move the validated table into place.")
     fs.delete(previous, True)
     return path
+
+
+def _pointers(spark: SparkSession, root: str) -> dict[int, str]:
+    """Numbered pointer files of a folder, by number."""
+    fs, folder = _filesystem(spark, f"{root.rstrip('/')}/pointers")
+    if not fs.exists(folder):
+        return {}
+    names = [str(f.getPath().getName()) for f in fs.listStatus(folder)]
+    return {int(n): f"{root.rstrip('/')}/pointers/{n}" for n in names if n.isdigit()}
+
+
+def point(spark: SparkSession, root: str, target: str, expected: int | None = None) -> int:
+    """Make `target` what the folder's highest pointer names, and return the pointer's number.
+
+    A pointer is a file that is created once and never changed or replaced, so two publications get
+    two numbers whatever the clock says. Where another one takes the same number first, or the
+    highest number is not the `expected` one, this one fails and changes nothing.
+    """
+    last = max(_pointers(spark, root), default=0)
+    if expected is not None and expected != last:
+        raise ContractError(f"{root}: expected pointer {expected}, found {last}.")
+    fs, place = _filesystem(spark, f"{root.rstrip('/')}/pointers/{last + 1:010d}")
+    try:
+        stream = fs.create(place, False)
+    except Exception as error:
+        if fs.exists(place):
+            raise ContractError(f"{root}: pointer {last + 1} was published meanwhile.") from error
+        raise
+    stream.write(f"{target}\n".encode())
+    stream.close()
+    return last + 1
+
+
+def pointed(spark: SparkSession, root: str) -> list[tuple[int, str]]:
+    """(number, target) of all pointers, the highest first.
+
+    A pointer whose writer died in between has no full line and counts for nothing.
+    """
+    found = []
+    for number, path in sorted(_pointers(spark, root).items(), reverse=True):
+        fs, place = _filesystem(spark, path)
+        stream = fs.open(place)
+        text = spark.sparkContext._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8")
+        stream.close()
+        if text.endswith("\n"):
+            found.append((number, text[:-1]))
+    return found
+
+
+def publish_snapshot(
+    df: DataFrame,
+    root: str,
+    validate: Callable[[DataFrame], object],
+    expected: int | None = None,
+    partition_by=(),
+) -> int:
+    """Write `df` as a new version under `root`, check it as stored, and switch to it.
+
+    Readers see the old version until one new file names the new one, so there is no moment without a
+    table. A version that fails its check, is empty or loses against another publication is never
+    named. Returns the version's number.
+    """
+    spark = df.sparkSession
+    version = f"version-{uuid.uuid4().hex}"
+    write_parquet(df, f"{root.rstrip('/')}/{version}", partition_by=partition_by)
+    written = spark.read.parquet(f"{root.rstrip('/')}/{version}")
+    if written.isEmpty():
+        raise ContractError(f"{root}: refusing to publish an empty table.")
+    validate(written)
+    return point(spark, root, version, expected)
+
+
+def read_snapshot(spark: SparkSession, root: str, number: int | None = None) -> DataFrame:
+    """The current version, or an earlier one by number."""
+    for found, version in pointed(spark, root):
+        if number in (None, found):
+            return spark.read.parquet(f"{root.rstrip('/')}/{version}")
+    raise ContractError(f"{root}: no such version is published.")

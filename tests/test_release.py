@@ -6,7 +6,13 @@ from pyspark.sql import functions as F
 from loanspan.contracts import ContractError
 from loanspan.operators import sampling
 from loanspan.plans import projections, reads, release
-from loanspan.sources.tables import write_parquet
+from loanspan.sources.tables import (
+    point,
+    pointed,
+    publish_snapshot,
+    read_snapshot,
+    write_parquet,
+)
 
 
 @pytest.fixture(scope="module")
@@ -97,3 +103,47 @@ def test_sampled_histories_keep_all_months(tables):
     kept = sampling.complete_histories(tables.perf, sampled)
     ids = [r.loan_id for r in sampled.collect()]
     assert kept.count() == tables.perf.filter(F.col("loan_id").isin(ids)).count()
+
+
+def test_publications_in_one_moment_keep_their_order(spark, tmp_path):
+    root = str(tmp_path / "runs")
+    for run in ("a", "b", "c"):
+        for status in ("CREATED", "RUNNING", "VALIDATED"):
+            release.transition(spark, root, run, status)
+    for run in ("c", "a", "b"):
+        release.publish(spark, root, run)
+        assert release.current_run(spark, root) == run
+    # A pointer whose run never got its status, and one that was not written to its end.
+    assert point(spark, f"{root}/current", "ghost") == 4
+    (tmp_path / "runs" / "current" / "pointers" / "0000000005").write_text("half")
+    assert release.current_run(spark, root) == "b"
+    assert point(spark, f"{root}/current", "later") == 6
+
+
+def test_snapshots_switch_at_once(spark, tmp_path):
+    root = str(tmp_path / "table")
+    with pytest.raises(ContractError, match="no such version"):
+        read_snapshot(spark, root)
+    assert publish_snapshot(spark.range(3), root, lambda df: None) == 1
+    before = read_snapshot(spark, root)
+
+    def refuse(df):
+        raise ContractError("no")
+
+    with pytest.raises(ContractError, match="^no$"):
+        publish_snapshot(spark.range(9), root, refuse)
+    with pytest.raises(ContractError, match="empty"):
+        publish_snapshot(spark.range(0), root, lambda df: None)
+    assert read_snapshot(spark, root).count() == 3
+    assert publish_snapshot(spark.range(5), root, lambda df: None, expected=1) == 2
+    with pytest.raises(ContractError, match="expected pointer 1, found 2"):
+        publish_snapshot(spark.range(7), root, lambda df: None, expected=1)
+
+    def overtaken(df):
+        point(spark, root, pointed(spark, root)[0][1])
+
+    # The other publication comes between this one's check and its switch.
+    with pytest.raises(ContractError, match="expected pointer 2, found 3"):
+        publish_snapshot(spark.range(7), root, overtaken, expected=2)
+    assert read_snapshot(spark, root).count() == 5 and read_snapshot(spark, root, 1).count() == 3
+    assert before.count() == 3
