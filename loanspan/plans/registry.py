@@ -18,7 +18,7 @@ from loanspan.functions.codes import delinquency_label, event_label
 from loanspan.operators import aalen_johansen as aj
 from loanspan.operators import audit, clock, cox, dataset, events, fine_gray, horizons, intervals
 from loanspan.operators import kaplan_meier as km
-from loanspan.operators import ph_test, sampling, scoring, simulator, validate
+from loanspan.operators import ph_test, sampling, scoring, outcomes, validate
 from loanspan.plans import projections, reads, release
 from loanspan.plans.oracle import dindex, dstr, idx, sql
 from loanspan.plans.study import Study, study
@@ -1872,23 +1872,34 @@ FROM model m, (SELECT {', '.join(f'min({c}) AS lo_{c}, max({c}) AS hi_{c}' for c
     ).select("loan_id", *[f"{c}_out_of_range" for c in CORE_PREDICTORS])
 )
 
-query(
-    "overdue_labels",
-    f"""SELECT loan_id, age AS first_30dpd_age,
-  CASE WHEN dq IS NOT NULL AND dq<=24 AND (pp IS NULL OR dq<=pp) THEN 0
-       WHEN pp IS NOT NULL AND pp<=24 AND (dq IS NULL OR pp<dq) THEN 1 ELSE 2 END AS target
+def _labels_sql(h: str) -> str:
+    """First overdue age, its and the prepayment's month, and the outcome by horizon `h`."""
+    return f"""SELECT *,
+  CASE WHEN dq IS NOT NULL AND dq<={h} AND (pp IS NULL OR dq<=pp) THEN 0
+       WHEN pp IS NOT NULL AND pp<={h} AND (dq IS NULL OR pp<dq) THEN 1 ELSE 2 END AS target
 FROM (SELECT *, CASE WHEN age BETWEEN 1 AND duration_months THEN age END AS dq,
     CASE WHEN event_type='PREPAYMENT' THEN duration_months END AS pp
-  FROM (SELECT m.loan_id, m.duration_months, m.event_type,
+  FROM (SELECT m.loan_id, m.vintage_year, m.duration_months, m.event_type,
       ({idx('f.fm')}-{dindex('m.first_payment_month')}+1)::INTEGER AS age
     FROM model m LEFT JOIN (SELECT loan_id, min(reporting_period_num) AS fm FROM perf
-      WHERE delinquency_num>=1 GROUP BY 1) f USING (loan_id)))
-WHERE least(dq,pp)<=24 OR duration_months>=24""",
-)(
-    lambda s: simulator.horizon_labels(
-        simulator.first_overdue_ages(s.model, s.perf, s.orig), 24
-    ).select("loan_id", "first_30dpd_age", "target")
-)
+      WHERE delinquency_num>=1 GROUP BY 1) f USING (loan_id))), (VALUES (12),(24),(36),(60)) hz(h)
+WHERE least(dq,pp)<={h} OR duration_months>={h}"""
+
+
+def _overdue(s: Study) -> DataFrame:
+    return outcomes.first_overdue_ages(s.model, s.perf, s.orig)
+
+
+query(
+    "overdue_labels",
+    f"SELECT loan_id, age AS first_30dpd_age, target FROM ({_labels_sql('h')}) WHERE h=24",
+)(lambda s: outcomes.horizon_labels(_overdue(s), 24).select("loan_id", "first_30dpd_age", "target"))
+
+query(
+    "outcome_class_counts",
+    f"""SELECT h::INTEGER AS horizon_months, CASE WHEN vintage_year<=2022 THEN 'train' ELSE 'valid' END AS half,
+  target, count(*) AS loans FROM ({_labels_sql('h')}) GROUP BY 1, 2, 3""",
+)(lambda s: outcomes.class_counts(outcomes.labels_by_horizon(_overdue(s), outcomes.HORIZONS)))
 
 # ---- regression models: iterative, checked against brute force in the tests --------------------
 
@@ -1958,8 +1969,7 @@ query(
 )(lambda s: fine_gray.check_fine_gray_input(s.complete))
 
 def _outcome_metrics(s: Study) -> DataFrame:
-    ages = simulator.first_overdue_ages(s.model, s.perf, s.orig)
-    return simulator.fit_outcome_model(simulator.horizon_labels(ages, 12))[1]
+    return outcomes.fit_outcome_models(_overdue(s))[1]
 
 
 query("outcome_model_metrics")(_outcome_metrics)

@@ -12,7 +12,7 @@ from loanspan.contracts import CORE_PREDICTORS, EVENT_TYPES, ContractError, hori
 from loanspan.functions import months as M
 from loanspan.functions.codes import delinquency_label, event_label, truthy_text
 from loanspan.operators import (
-    clock, dataset, horizons, intervals, sampling, scoring, simulator, validate,
+    clock, dataset, horizons, intervals, sampling, scoring, outcomes, validate,
 )
 from loanspan.plans import reads
 
@@ -266,7 +266,7 @@ def test_overdue_labels(spark):
     df = spark.createDataFrame(
         rows, "loan_id string, duration_months int, event_type string, first_30dpd_age int"
     )
-    got = {r.loan_id: r.target for r in simulator.horizon_labels(df, 12).collect()}
+    got = {r.loan_id: r.target for r in outcomes.horizon_labels(df, 12).collect()}
     assert got == {"same": 0, "later": 1, "after_end": 1, "none": 2, "late": 2, "negative": 2}
 
 
