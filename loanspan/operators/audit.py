@@ -209,40 +209,46 @@ def payoff_summary(payoffs: DataFrame) -> DataFrame:
 def loan_candidates(orig: DataFrame, perf: DataFrame) -> DataFrame:
     """First month of every kind of event evidence per loan, and how default and prepayment relate.
 
-    The payoff class needs only the loan's maturity, so it joins before one aggregate over the
-    monthly rows instead of aggregating twice.
+    One aggregate over the monthly rows. A payoff without remaining months is classified by the
+    loan's maturity, which the reports do not hold: the months of those payoffs, one for each calendar
+    month at most, wait in a set until the loan's row meets its origination.
     """
     month, code = F.col("reporting_period_num"), F.col("zero_balance_code")
+    remaining, event_month = F.col("remaining_months_maturity"), zero_balance_month()
+    payoff, dated = code == "01", F.col("zero_balance_effective_month").isNotNull()
 
     def first(cond, value):
         return F.min(F.when(cond, value))
 
-    event_month = zero_balance_month()
     evidence = perf.groupBy("loan_id", "vintage_year").agg(
         first(F.col("delinquency_num") >= 3, month).alias("first_d90_month"),
         first(F.col("is_ra"), month).alias("first_ra_month"),
         first(code.isin("02", "03", "09"), event_month).alias("first_credit_zb_month"),
         first(code.isin("15", "16", "96"), event_month).alias("first_admin_termination_month"),
         F.max(month).alias("last_observed_month"),
+        first(payoff & (remaining > 0), event_month).alias("_prepaid"),
+        first(payoff & (remaining <= 0), event_month).alias("_matured"),
+        first(payoff & remaining.isNull() & ~dated, event_month).alias("_undated"),
+        F.collect_set(F.when(payoff & remaining.isNull() & dated, event_month)).alias("_open"),
     )
-    kind = F.col("zb01_classification")
-    payoffs = (
-        classify_payoffs(orig, perf)
-        .groupBy("loan_id")
-        .agg(
-            first(kind.startswith("PREPAY"), F.col("zb_event_month")).alias("first_prepay_month"),
-            first(kind.startswith("MATURED"), F.col("zb_event_month")).alias(
-                "first_maturity_month"
-            ),
-            first(kind == "AMBIGUOUS", F.col("zb_event_month")).alias("first_zb01_ambiguous_month"),
-        )
-    )
+    maturity = F.col("_maturity")
+
+    def first_open(keep):
+        return F.array_min(F.filter("_open", lambda m: F.coalesce(keep(m), F.lit(False))))
+
+    payoffs = {
+        "first_prepay_month": F.least("_prepaid", first_open(lambda m: m < maturity)),
+        "first_maturity_month": F.least("_matured", first_open(lambda m: m >= maturity)),
+        "first_zb01_ambiguous_month": F.least("_undated", first_open(lambda m: maturity.isNull())),
+    }
+    matures = orig.select("loan_id", M.date_to_yyyymm(F.col("maturity_month")).alias("_maturity"))
+    found = evidence.join(matures, "loan_id", "left").withColumns(payoffs)
+    found = found.drop("_prepaid", "_matured", "_undated", "_open", "_maturity")
     default = F.least("first_d90_month", "first_ra_month", "first_credit_zb_month")
     prepay = F.col("first_prepay_month")
     evidence_month = F.col("first_default_evidence_month")
     return (
-        evidence.join(payoffs, "loan_id", "left")
-        .withColumn("first_default_evidence_month", default)
+        found.withColumn("first_default_evidence_month", default)
         .withColumn(
             "default_prepay_relation",
             F.when(evidence_month < prepay, "DEFAULT_BEFORE_PREPAY")
