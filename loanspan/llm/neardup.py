@@ -10,8 +10,12 @@ that agree in POSTED_MATCHES of the posted and MATCHES of all coordinates are wa
 * Skip: the frequent postings, those of common passages, stand last and are never joined.
 * Groups: a posting held by m sets is not expanded into m² pairs. Each posting compares its sets
   with one pivot, another one for every posting. Sets joined that way form components, and only
-  pairs between different components of a posting are looked at again, with new pivots while
-  there are many, and then in full. No link between components is lost.
+  pairs between different components of a posting are looked at again. Where a posting of more
+  than SMALL sets still holds several components, its sets are dealt into blocks of bounded size and
+  rows are made of pairs of blocks, not of sets: one task counts the coinciding coordinates of all
+  pairs of two blocks, confirms those above the threshold and returns links that join components
+  only, fewer than it has sets. What is left are pairs of small postings. No link between
+  components is lost.
 * Every link is confirmed on the full sets.
 """
 
@@ -40,11 +44,11 @@ BLOCK = 1000
 DENSE = 8
 #: Pairs or ids, 24 bytes each, that are broadcast at most to pick texts; more are shuffled.
 BROADCAST_ROWS = 500_000
-#: A posting of more than SMALL sets and more pairs between components than this, per set, gets
-#: other pivots first, while these take away a fifth of the pairs, in so many rounds.
-SMALL = 50
-PAIRS_PER_SET = 8
-PIVOT_ROUNDS = 5
+#: Sets of the largest posting whose pairs are laid out as rows.
+SMALL = 16
+#: Sets and shingles of a block of a larger posting, on average.
+HOME_SETS = 500
+HOME_SHINGLES = 500_000
 
 
 def _signatures(n: int, coordinates: int):
@@ -118,12 +122,101 @@ def _confirmed_block(n: int, percent: int):
     return run
 
 
+class _Block:
+    """Sets of two blocks, one of which may be missing, and links between their components."""
+
+    def __init__(self, rows: list[tuple], n: int, known: WordHashes, sign: MinHash):
+        self.sid, self.side, roots, signatures, self.sets = [], [], [], [], []
+        seen = set()
+        for sid, side, root, text in rows:
+            if sid in seen:
+                continue
+            found = shingle_set(text, n, known)
+            # Rows that repeat an id with another text are not the set's text.
+            if len(found) and set_id(found) == sid:
+                seen.add(sid)
+                self.sid.append(sid)
+                self.side.append(side)
+                roots.append(root)
+                signatures.append(sign(found))
+                self.sets.append(found)
+        self.label = np.unique(np.array(roots, np.int64), return_inverse=True)[1]
+        self.size = np.array([len(x) for x in self.sets], np.int64)
+        self.signature = np.array(signatures, np.int32).reshape(len(self.sid), -1)
+
+    def wanted(self, percent: int, matches: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Rows, columns and the matrix of pairs that may be links by size and signature."""
+        side = np.array(self.side, np.int8)
+        a, b = np.flatnonzero(side == 0), np.flatnonzero(side == 1)
+        same = not len(b)
+        b = a if same else b
+        equal = np.zeros((len(a), len(b)), np.uint16)
+        for c in range(self.signature.shape[1]):
+            equal += self.signature[a, c][:, None] == self.signature[b, c][None, :]
+        small = np.minimum(self.size[a][:, None], self.size[b][None, :])
+        large = np.maximum(self.size[a][:, None], self.size[b][None, :])
+        wanted = (equal >= matches) & (100 * small >= percent * large)
+        return a, b, np.triu(wanted, 1) if same else wanted
+
+    def links(self, percent: int, matches: int) -> list[tuple[int, int]]:
+        """A link for every two components that the confirmed pairs join, and no more."""
+        if len(self.sid) < 2:
+            return []
+        rows, columns, wanted = self.wanted(percent, matches)
+        # Shingles as small numbers, so that a set is marked in one array and others are counted in it.
+        numbers = np.unique(np.concatenate(self.sets), return_inverse=True)[1]
+        ends = np.cumsum(self.size)
+        numbered = [numbers[e - n : e] for e, n in zip(ends, self.size, strict=True)]
+        marked = np.zeros(len(numbers), np.int64)
+        found = []
+        for a, mask in zip(rows, wanted, strict=True):
+            others = columns[mask]
+            others = others[self.label[others] != self.label[a]]
+            if not len(others):
+                continue
+            marked[numbered[a]] = 1
+            starts = np.cumsum(self.size[others]) - self.size[others]
+            common = np.add.reduceat(marked[np.concatenate([numbered[o] for o in others])], starts)
+            marked[numbered[a]] = 0
+            linked = others[100 * common >= percent * (self.size[a] + self.size[others] - common)]
+            joined, first = np.unique(self.label[linked], return_index=True)
+            found += [(self.sid[a], self.sid[o]) for o in linked[first]]
+            self.label[np.isin(self.label, joined)] = self.label[a]
+        return found
+
+
+def _forest(n: int, percent: int, coordinates: int, matches: int):
+    """Links of each pair of blocks; rows come sorted by `pair`."""
+
+    def run(batches):
+        known, sign, rows, pair = WordHashes(), MinHash(coordinates), [], None
+
+        def done():
+            links = _Block(rows, n, known, sign).links(percent, matches)
+            rows.clear()
+            return pa.RecordBatch.from_arrays(
+                [pa.array([x[i] for x in links], pa.int64()) for i in (0, 1)], names=["u", "v"]
+            )
+
+        for batch in batches:
+            for row in zip(*[c.to_pylist() for c in batch.columns], strict=True):
+                if row[0] != pair and rows:
+                    yield done()
+                pair = row[0]
+                rows.append(row[1:])
+        if rows:
+            yield done()
+
+    return run
+
+
 _LINKS = pa.schema([("u", pa.int64()), ("v", pa.int64())])
 
 
 class _Search:
     def __init__(self, docs: DataFrame, n: int, percent: int, coordinates: int, matches: int):
-        self.docs, self.n, self.percent, self.matches = docs, n, percent, matches
+        self.docs, self.n, self.percent = docs, n, percent
+        self.coordinates, self.matches = coordinates, matches
         self.rows = written(
             docs.mapInArrow(
                 _signatures(n, coordinates),
@@ -242,6 +335,85 @@ class _Search:
             .applyInArrow(_confirmed_block(self.n, self.percent), "u bigint, v bigint")
         )
 
+    def homes(self, rooted: DataFrame, wide: DataFrame) -> DataFrame:
+        """(sid, root, home, block, keys): sets of wide postings, dealt into blocks.
+
+        A posting belongs to the widest posting that one of its sets is also in, and a set to the
+        widest of those: near copies of one text end up in one home. A home is cut into as many
+        blocks as its number of sets and of shingles asks for, by a hash of the set.
+        """
+        best = lambda c: F.max(c).alias("best")
+        members = rooted.join(wide.select("key", "held"), "key")
+        sets = (
+            members.groupBy("sid", "root")
+            .agg(best(F.struct("held", "key")), F.collect_list("key").alias("keys"))
+            .join(self.sets.select("sid", "n_shingles"), "sid")
+        )
+        sets = written(sets)
+        reached = sets.select(F.explode("keys").alias("key"), "best").groupBy("key").agg(best("best"))
+        widest = (
+            sets.select("sid", F.explode("keys").alias("key"))
+            .join(reached, "key")
+            .groupBy("sid")
+            .agg(F.max("best").alias("widest"))
+        )
+        home = written(
+            sets.join(widest, "sid").select("sid", "root", "n_shingles", "keys", F.col("widest.key").alias("home"))
+        )
+        counts = home.groupBy("home").agg(
+            F.ceil(
+                F.greatest(F.count("*") / HOME_SETS, F.sum("n_shingles") / HOME_SHINGLES)
+            ).alias("blocks")
+        )
+        place = F.pmod(F.xxhash64("sid", F.lit(5)), F.col("blocks"))
+        return written(
+            home.join(counts, "home").select(
+                "sid", "root", "home", F.xxhash64("home", place).alias("block"), "keys"
+            )
+        )
+
+    def links_in_blocks(self, homes: DataFrame) -> DataFrame:
+        """Links that join components of wide postings.
+
+        Every two sets that share a wide posting lie in two blocks that share it, or in one. Two
+        blocks of one and the same component are not compared.
+        """
+        blocks = homes.groupBy("block").agg(F.min("root").alias("low"), F.max("root").alias("high"))
+        held = homes.select("block", F.explode("keys").alias("key")).distinct().join(blocks, "block")
+        side = lambda x: held.select("key", *[F.col(c).alias(f"{c}_{x}") for c in ("block", "low", "high")])
+        several = F.least("low_a", "low_b") < F.greatest("high_a", "high_b")
+        pairs = (
+            side("a")
+            .join(side("b"), "key")
+            .filter((F.col("block_a") <= F.col("block_b")) & several)
+            .select(F.col("block_a").alias("first"), F.col("block_b").alias("second"))
+            .distinct()
+            .withColumn("pair", F.xxhash64("first", "second"))
+        )
+        sides = written(
+            pairs.select("pair", F.col("first").alias("block"), F.lit(0).alias("side")).union(
+                pairs.filter("first < second").select("pair", "second", F.lit(1))
+            )
+        )
+        needed = written(
+            homes.select("sid", "root", "block")
+            .join(sides, "block")
+            .join(self.sets.select("sid", "label"), "sid")
+            .select("label", "pair", "sid", "side", "root")
+        )
+        small = needed.count() <= BROADCAST_ROWS
+        texts = self.docs.join(
+            F.broadcast(needed) if small else needed, F.col("doc_id") == F.col("label")
+        )
+        return written(
+            texts.select("pair", "sid", "side", "root", "text")
+            .repartition("pair")
+            .sortWithinPartitions("pair")
+            .mapInArrow(
+                _forest(self.n, self.percent, self.coordinates, self.matches), "u bigint, v bigint"
+            )
+        )
+
 
 def _pivoted(members: DataFrame, seed: int) -> DataFrame:
     """Pairs (a, b) of each set and its posting's pivot, with the number of such postings.
@@ -287,27 +459,18 @@ def similar_groups(
         .agg(F.max(F.struct("common", F.col("b").alias("b"))).alias("m"))
         .select("a", F.col("m.b").alias("b"))
     )
-    checked = [written(search.matching(best))]
-    links = [search.links(checked[0])]
-    before = None
-    for seed in range(PIVOT_ROUNDS + 1):
-        rooted = _rooted(postings, components(reduce(DataFrame.union, links)))
-        keys = written(_unresolved(rooted))
-        wide = keys.filter(
-            (F.col("held") > SMALL) & (F.col("pairs") > PAIRS_PER_SET * F.col("held"))
-        )
-        left = wide.agg(F.coalesce(F.sum("pairs"), F.lit(0))).first()[0]
-        last = seed == PIVOT_ROUNDS or not left or (before is not None and 5 * left > 4 * before)
-        before = left
-        # Pivots thin out the wide postings; what they leave is compared in full.
-        pairs = _between(search, rooted, keys) if last else _stars(rooted, wide, seed)
-        done = reduce(DataFrame.union, checked)
-        checked.append(
-            written(search.matching(pairs.join(done, ["a", "b"], "left_anti")))
-        )
-        links.append(search.links(checked[-1]))
-        if last:
-            break
+    checked = written(search.matching(best))
+    links = [search.links(checked)]
+    rooted = written(_rooted(postings, components(links[0])))
+    wide = written(_unresolved(rooted).filter(F.col("held") > SMALL))
+    homes = None
+    if not wide.isEmpty():
+        homes = search.homes(rooted, wide)
+        links.append(search.links_in_blocks(homes))
+        rooted = written(_rooted(postings, components(reduce(DataFrame.union, links))))
+    narrow = _unresolved(rooted).filter(F.col("held") <= SMALL)
+    pairs = _between(search, rooted, narrow, homes).join(checked, ["a", "b"], "left_anti")
+    links.append(search.links(written(search.matching(pairs))))
     roots = components(reduce(DataFrame.union, links))
     found = roots.withColumnRenamed("node", "sid")
     labelled = search.sets.select("sid", "label").join(found, "sid", "left")
@@ -368,27 +531,31 @@ def _unresolved(rooted: DataFrame) -> DataFrame:
     )
 
 
-def _stars(rooted: DataFrame, wide: DataFrame, seed: int) -> DataFrame:
-    """Pairs of each set of a wide posting and the posting's pivot, if of other components."""
-    members = rooted.join(wide.select("key"), "key")
-    root = members.select("sid", "root").distinct()
-    return (
-        _pivoted(members.select("key", "sid"), seed)
-        .join(root.select(F.col("sid").alias("a"), F.col("root").alias("ra")), "a")
-        .join(root.select(F.col("sid").alias("b"), F.col("root").alias("rb")), "b")
-        .filter("ra <> rb")
-        .select("a", "b")
-    )
-
+def _between(
+    search: _Search, rooted: DataFrame, keys: DataFrame, homes: DataFrame | None
+) -> DataFrame:
+    """Pairs of sets of one posting that are in different components and near enough in size.
 
-def _between(search: _Search, rooted: DataFrame, keys: DataFrame) -> DataFrame:
-    """Pairs of sets of one posting that are in different components and near enough in size."""
+    Sets of one home have been compared with each other.
+    """
     sizes = search.sets.select("sid", F.col("n_shingles").alias("n"))
     members = rooted.join(keys.select("key"), "key").join(sizes, "sid")
-    left = members.select("key", F.col("sid").alias("a"), F.col("root").alias("ra"), F.col("n").alias("na"))
-    right = members.select("key", F.col("sid").alias("b"), F.col("root").alias("rb"), F.col("n").alias("nb"))
-    near = 100 * F.least("na", "nb") >= search.percent * F.greatest("na", "nb")
-    return left.join(right, "key").filter((F.col("ra") < F.col("rb")) & near).select("a", "b").distinct()
+    if homes is None:
+        members = members.withColumn("home", F.lit(None).cast("bigint"))
+    else:
+        members = members.join(homes.select("sid", "home"), "sid", "left")
+    side = lambda x: members.select(
+        "key", *[F.col(c).alias(f"{c}_{x}") for c in ("sid", "root", "n", "home")]
+    )
+    near = 100 * F.least("n_a", "n_b") >= search.percent * F.greatest("n_a", "n_b")
+    apart = F.coalesce(F.col("home_a") != F.col("home_b"), F.lit(True))
+    return (
+        side("a")
+        .join(side("b"), "key")
+        .filter((F.col("root_a") < F.col("root_b")) & near & apart)
+        .select(F.col("sid_a").alias("a"), F.col("sid_b").alias("b"))
+        .distinct()
+    )
 
 
 def deduplicated(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame:

@@ -12,6 +12,7 @@ from tokenizers import Tokenizer
 import corpus_pipeline
 from loanspan.llm import bpe, extract, langid, neardup, pii, queries, toxicity
 from loanspan.llm.common import tokenizer_path
+from loanspan.llm.shingles import MinHash, WordHashes, set_id, shingle_set, similar
 from tests.conftest import SF
 from tests.llm.conftest import documents
 
@@ -42,7 +43,7 @@ def groups(rows, n):
 
 def test_near_duplicates_of_a_large_group(spark, monkeypatch):
     monkeypatch.setattr(neardup, "SMALL", 10)
-    monkeypatch.setattr(neardup, "PAIRS_PER_SET", 2)
+    monkeypatch.setattr(neardup, "HOME_SETS", 40)
     random = np.random.default_rng(3)
     base = [f"w{i}" for i in range(120)]
     texts = []
@@ -59,6 +60,57 @@ def test_near_duplicates_of_a_large_group(spark, monkeypatch):
     assert all(r["kept"] == (d == r["component_id"]) for d, r in rows.items())
 
 
+@pytest.mark.parametrize("small, home_sets", [(2, 25), (16, 500)])
+def test_a_large_group_of_copies_below_the_threshold(spark, monkeypatch, small, home_sets):
+    """Most copies of one text are 0.6 to 0.8 alike, and few of them are linked."""
+    monkeypatch.setattr(neardup, "SMALL", small)
+    monkeypatch.setattr(neardup, "HOME_SETS", home_sets)
+    random = np.random.default_rng(11)
+    base = [f"w{i}" for i in range(150)]
+    texts = []
+    for i in range(260):
+        words = list(base)
+        for place in random.choice(150, random.integers(3, 9), replace=False):
+            words[place] = f"v{i}x{place}"
+        texts.append(" ".join(words))
+    rows = {r["doc_id"]: r for r in neardup.similar_groups(documents(spark, texts), n=4).collect()}
+    expected = groups(list(enumerate(texts)), 4)
+    assert {d: (r["n_shingles"], r["component_id"]) for d, r in rows.items()} == expected
+    assert 1 < len({c for _, c in expected.values()}) < 260
+
+
+def test_links_of_blocks_join_components_only():
+    random = np.random.default_rng(2)
+    known, sign = WordHashes(), MinHash(128)
+    base = [f"w{i}" for i in range(60)]
+    texts = []
+    for i in range(80):
+        words = list(base)
+        for place in random.choice(60, random.integers(0, 5), replace=False):
+            words[place] = f"v{i}x{place}"
+        texts.append(" ".join(words))
+    sets = {set_id(x): (x, t) for t in texts for x in [shingle_set(t, 3, known)]}
+    rows = [(sid, i % 2, sid if i % 5 else 0, t) for i, (sid, (_, t)) in enumerate(sets.items())]
+    # A row whose text is another one's, and a row that comes twice.
+    block = neardup._Block([*rows, rows[0], (rows[1][0], 1, 0, "other words")], 3, known, sign)
+    links = block.links(80, 60)
+    assert 0 < len(links) < len(rows)
+
+    def parts(joined):
+        root = {r[0]: r[2] for r in rows}
+        for a, b in joined:
+            old, new = root[a], root[b]
+            root = {k: new if v == old else v for k, v in root.items()}
+        return sorted(sorted(k for k in root if root[k] == r) for r in set(root.values()))
+
+    true = [
+        (a[0], b[0]) for a in rows if not a[1] for b in rows if b[1]
+        if similar(sets[a[0]][0], sets[b[0]][0], 80)
+    ]
+    assert parts(links) == parts(true)
+    assert all(similar(sets[a][0], sets[b][0], 80) for a, b in links)
+
+
 def test_near_duplicates_of_odd_rows(spark, odd, none):
     rows = neardup.similar_groups(odd).collect()
     assert len(rows) == 10
