@@ -11,13 +11,16 @@ from loanspan.llm import decontam, quality, queries, secrets, sharding
 from tests.conftest import SF
 from tests.llm.conftest import documents
 
-SQL_CHECKED = ["op1_quality", "op2_minhash_neardup", "op3_sharding", "op10_decontaminate"]
+SQL_CHECKED = [
+    "op1_quality", "op2_minhash_neardup", "op3_sharding", "op10_decontaminate", "op11_topk",
+    "op12_hard_negatives",
+]
 
 
 @pytest.mark.parametrize("name", SQL_CHECKED)
 def test_query_equals_sql(spark, name):
     db = duckdb.connect()
-    for table in ("documents", "benchmark"):
+    for table in ("documents", "benchmark", "embeddings"):
         db.execute(f"CREATE VIEW {table} AS SELECT * FROM '{SF}/{table}.parquet'")
     result = db.execute(queries.ORACLE[name])
     names = [d[0] for d in result.description]
