@@ -3,7 +3,8 @@
 The most frequent words of the corpus and their ids are compiled into a minimal acyclic
 transducer: states with equal continuations are shared, and the numbers on a word's edges add up
 to its place in the list of id sequences. Tasks memory-map the transducer and look up all new
-words of a batch together; a word that it lacks is merged exactly.
+words of a batch together; a word that it lacks is merged exactly. Texts are put together from
+units between white space, so that each distinct unit of a batch is encoded once.
 """
 
 from __future__ import annotations
@@ -14,8 +15,11 @@ import io
 import json
 import tempfile
 import unicodedata
+from array import array
+from collections import Counter
 from dataclasses import dataclass, field
 from functools import cache
+from itertools import pairwise
 
 import numpy as np
 import pyarrow as pa
@@ -28,18 +32,19 @@ from loanspan.llm.common import replacing, written
 #: Words in the lexicon, and bytes of the longest one.
 LEXICON_WORDS = 100_000
 LEXICON_BYTES = 64
-#: Words whose count a task, or whose encoding a process remembers.
-REMEMBERED = 200_000
+#: Units whose count a task, or whose encoding a process remembers, about 300 bytes each.
+REMEMBERED = 400_000
 #: Rows that are encoded before they are passed on.
 ROWS = 500
 #: Bytes of a word up to which plain search for the best pair is faster than a heap.
-SHORT = 32
+SHORT = 128
 #: Counts are told apart by this many steps for each doubling when the lexicon is cut.
 STEPS = 64
 
 _SPACE = r"\t-\r \x85\xa0  -     　"
 #: Fixed values of the tokenizer file's kind: its word pattern, ends of words, byte characters.
 _WORD = regex.compile(rf"'s|'t|'re|'ve|'m|'ll|'d|[\p{{L}}]+|[\p{{N}}]|[^{_SPACE}\p{{L}}\p{{N}}]+")
+_BLANK = regex.compile(f"[{_SPACE}]+")
 _END = "</w>"
 
 
@@ -58,10 +63,21 @@ class Vocabulary:
     tokens: dict[int, str]
     ranks: dict[tuple[str, str], int]
     special: dict[str, int]
-    ids: dict[str, int] = field(init=False)
+    #: Id of each byte inside a word and at its end, -1 for one without token.
+    inside: list[int] = field(init=False)
+    last: list[int] = field(init=False)
+    #: Rank of a pair of ids, as one number, and the id that each rank makes.
+    pairs: dict[int, int] = field(init=False)
+    made: list[int] = field(init=False)
+    width: int = field(init=False)
 
     def __post_init__(self):
-        self.ids = {token: i for i, token in self.tokens.items()}
+        ids = {token: i for i, token in self.tokens.items()}
+        self.width = max(self.tokens, default=0) + 1
+        self.inside = [ids.get(c, -1) for c in _byte_chars()]
+        self.last = [ids.get(c + _END, -1) for c in _byte_chars()]
+        self.pairs = {ids[a] * self.width + ids[b]: r for (a, b), r in self.ranks.items()}
+        self.made = [ids[a + b] for a, b in self.ranks]
 
     @staticmethod
     def load(path: str) -> Vocabulary:
@@ -77,64 +93,79 @@ class Vocabulary:
     def merge(self, word: str) -> list[int]:
         """Ids of one word: the adjacent pair of lowest rank, leftmost first, is merged while
         there is one."""
-        parts: list[str | None] = [_byte_chars()[b] for b in word.encode("utf-8", "replace")]
-        parts[-1] += _END
-        if len(parts) <= SHORT:
-            ranks, never = self.ranks, len(self.ranks)
-            while len(parts) > 1:
-                found = [ranks.get(pair, never) for pair in zip(parts, parts[1:], strict=False)]
-                best = min(found)
-                if best == never:
-                    break
+        data = word.encode("utf-8", "replace")
+        ids = [self.inside[b] for b in data]
+        ids[-1] = self.last[data[-1]]
+        if min(ids) < 0:
+            raise ValueError(f"the vocabulary lacks a byte of {word!r}")
+        rank, made, width, never = self.pairs.get, self.made, self.width, len(self.made)
+        if len(ids) <= SHORT:
+            found = [rank(a * width + b, never) for a, b in pairwise(ids)]
+            while found and (best := min(found)) < never:
                 i = found.index(best)
-                parts[i : i + 2] = [parts[i] + parts[i + 1]]
-            return [self.ids[p] for p in parts]
-        after = [*range(1, len(parts)), -1]
-        before = [*range(-1, len(parts) - 1)]
+                ids[i : i + 2] = [made[best]]
+                del found[i]
+                if i:
+                    found[i - 1] = rank(ids[i - 1] * width + ids[i], never)
+                if i < len(found):
+                    found[i] = rank(ids[i] * width + ids[i + 1], never)
+            return ids
+        after = [*range(1, len(ids)), -1]
+        before = [*range(-1, len(ids) - 1)]
         heap = [
-            (rank, i, a, b)
-            for i, (a, b) in enumerate(zip(parts, parts[1:], strict=False))
-            if (rank := self.ranks.get((a, b))) is not None
+            (best, i, a, b)
+            for i, (a, b) in enumerate(pairwise(ids))
+            if (best := rank(a * width + b, never)) < never
         ]
         heapq.heapify(heap)
         while heap:
-            _, i, a, b = heapq.heappop(heap)
+            best, i, a, b = heapq.heappop(heap)
             j = after[i]
-            if parts[i] != a or j < 0 or parts[j] != b:
+            if ids[i] != a or j < 0 or ids[j] != b:
                 continue
-            parts[i], parts[j] = a + b, None
+            ids[i], ids[j] = made[best], -1
             after[i] = after[j]
             if after[j] >= 0:
                 before[after[j]] = i
             for left, right in ((before[i], i), (i, after[i])):
                 if left >= 0 and right >= 0:
-                    pair = (parts[left], parts[right])
-                    if (rank := self.ranks.get(pair)) is not None:
-                        heapq.heappush(heap, (rank, left, *pair))
-        return [self.ids[p] for p in parts if p is not None]
+                    a, b = ids[left], ids[right]
+                    if (best := rank(a * width + b, never)) < never:
+                        heapq.heappush(heap, (best, left, a, b))
+        return [i for i in ids if i >= 0]
 
-    def decode(self, ids) -> str:
-        """Tokens joined by one space; ids without token are left out."""
-        return " ".join(self.tokens[i] for i in ids if i in self.tokens)
+    def units(self, text: str | None) -> list[str]:
+        """Runs of characters other than white space, and special tokens, in order.
 
-    def split(self, text: str | None) -> list[str]:
-        """Words of a text in order, in lower case and composed form, and special tokens."""
+        No word reaches over white space, and neither lower case nor composed form depends on what
+        stands beyond it, so the words of a text are those of its units.
+        """
         text = text or ""
-        if "<|" not in text:
-            return _words(text)
+        if not any(token in text for token in self.special):
+            return _runs(text)
         pattern = "|".join(regex.escape(t) for t in sorted(self.special, key=len, reverse=True))
         found, at = [], 0
-        for match in regex.finditer(pattern, text) if pattern else ():
-            found += [*_words(text[at : match.start()]), match.group()]
+        for match in regex.finditer(pattern, text):
+            found += [*_runs(text[at : match.start()]), match.group()]
             at = match.end()
-        return found + _words(text[at:])
+        return found + _runs(text[at:])
 
+    def words(self, unit: str) -> list[str]:
+        """Words of a unit in order, in lower case and composed form; a special token is one."""
+        if unit in self.special:
+            return [unit]
+        if not unit.isascii():
+            # Lower case goes by character: no final sigma.
+            unit = unicodedata.normalize("NFC", unit).replace("Σ", "σ")
+        unit = unit.lower()
+        return [unit] if unit.isalpha() else _WORD.findall(unit)
 
-def _words(text: str) -> list[str]:
-    if not text.isascii():
-        # Lower case goes by character: no final sigma.
-        text = unicodedata.normalize("NFC", text).replace("Σ", "σ")
-    return _WORD.findall(text.lower())
+
+def _runs(text: str) -> list[str]:
+    # Python takes four control characters for white space that the tokenizer's kind does not.
+    if any(c in text for c in "\x1c\x1d\x1e\x1f"):
+        return [run for run in _BLANK.split(text) if run]
+    return text.split()
 
 
 class Transducer:
@@ -217,7 +248,7 @@ class Transducer:
         with tempfile.TemporaryFile() as file:
             file.write(data)
             file.flush()
-            flat = np.memmap(file, np.int64, "r")
+            flat = np.asarray(np.memmap(file, np.int64, "r"))
         ends = len(Transducer.PARTS) + np.cumsum(flat[: len(Transducer.PARTS)])
         starts = ends - flat[: len(Transducer.PARTS)]
         return Transducer({p: flat[a:b] for p, a, b in zip(Transducer.PARTS, starts, ends, strict=True)})
@@ -250,76 +281,101 @@ class Transducer:
 
 
 class Encoder:
-    """Encodes words through the transducer, exact merges for the rest, and remembers them."""
+    """Encodes units through the transducer, exact merges for the rest, and remembers them."""
 
-    def __init__(self, vocabulary: Vocabulary, transducer: Transducer):
-        self.vocabulary, self.transducer = vocabulary, transducer
-        self.known: dict[str, tuple[int, ...]] = {}
-        #: Number of ids, the ids and the decoded text as strings, of each known word.
-        self.shown: dict[str, tuple[int, str, str]] = {}
+    def __init__(self, vocabulary: Vocabulary, transducer: Transducer, digest: bool):
+        self.vocabulary, self.transducer, self.digest = vocabulary, transducer, digest
+        #: Ids of each known unit, as decimals joined by spaces or as packed 32-bit integers.
+        self.ids: dict[str, str] | dict[str, bytes] = {}
+        #: Decoded text of each known unit.
+        self.plain: dict[str, str] = {}
+        self.decimals = {i: str(i) for i in vocabulary.tokens}
 
-    def ids_of(self, words: list[str]) -> list[tuple[int, ...]]:
+    def ids_of(self, words: list[str]) -> list[list[int]]:
         """Ids of each word: a special token's, the transducer's, or those of exact merges."""
         special, found = self.vocabulary.special, []
         looked_up = self.transducer.lookup([w.encode("utf-8", "replace") for w in words])
         for word, ids in zip(words, looked_up, strict=True):
             if word in special:
-                found.append((special[word],))
+                found.append([special[word]])
             else:
-                found.append(tuple(ids.tolist() if ids is not None else self.vocabulary.merge(word)))
+                found.append(ids.tolist() if ids is not None else self.vocabulary.merge(word))
         return found
 
-    def _new(self, memory: dict, words: set[str]) -> list[str]:
-        if len(memory) + len(words) > REMEMBERED:
-            memory.clear()
-        return [w for w in words if w not in memory]
-
-    def learn(self, words: set[str]) -> None:
-        new = self._new(self.known, words)
-        self.known.update(zip(new, self.ids_of(new), strict=True))
-
-    def show(self, words: set[str]) -> None:
-        new = self._new(self.shown, words)
-        for word, ids in zip(new, self.ids_of(new), strict=True):
-            self.shown[word] = (len(ids), " ".join(map(str, ids)), self.vocabulary.decode(ids))
+    def learn(self, units: set[str]) -> None:
+        """Remember these units; what was known before is forgotten when there is no room."""
+        new = units.difference(self.ids)
+        if len(self.ids) + len(new) > REMEMBERED:
+            self.ids.clear()
+            self.plain.clear()
+            new = units
+        parts = {unit: self.vocabulary.words(unit) for unit in new}
+        words = list({word for found in parts.values() for word in found})
+        ids_of = dict(zip(words, self.ids_of(words), strict=True))
+        decimal, token = self.decimals.__getitem__, self.vocabulary.tokens.__getitem__
+        for unit, found in parts.items():
+            ids = ids_of[found[0]] if len(found) == 1 else [i for w in found for i in ids_of[w]]
+            self.ids[unit] = " ".join(map(decimal, ids)) if self.digest else array("i", ids).tobytes()
+            self.plain[unit] = " ".join(map(token, ids))
+
+    def decoded(self, units: list[str]) -> str:
+        return " ".join(map(self.plain.__getitem__, units))
+
+    def digests(self, texts: list[list[str]]) -> list[pa.Array]:
+        """Number of ids and digests of ids and decoded text, for texts as known units."""
+        ids = [" ".join(map(self.ids.__getitem__, units)) for units in texts]
+        sha = lambda x: hashlib.sha256(x.encode("utf-8")).hexdigest()
+        return [
+            pa.array([x.count(" ") + 1 if x else 0 for x in ids], pa.int64()),
+            pa.array([sha(x) for x in ids], pa.string()),
+            pa.array([sha(self.decoded(units)) for units in texts], pa.string()),
+        ]
 
-    def encode(self, text: str | None) -> list[int]:
-        words = self.vocabulary.split(text)
-        self.learn(set(words))
-        return [i for w in words for i in self.known[w]]
+    def whole(self, texts: list[list[str]], decode: bool) -> list[pa.Array]:
+        """Number of ids, the ids and, if wanted, the decoded text, for texts as known units."""
+        packed = [b"".join(map(self.ids.__getitem__, units)) for units in texts]
+        sizes = np.array([len(x) // 4 for x in packed], np.int64)
+        offsets = pa.array(np.concatenate(([0], np.cumsum(sizes))).astype(np.int32))
+        ids = pa.array(np.frombuffer(b"".join(packed), np.int32))
+        found = [pa.array(sizes), pa.ListArray.from_arrays(offsets, ids)]
+        if decode:
+            found.append(pa.array([self.decoded(units) for units in texts], pa.string()))
+        return found
 
 
-_loaded: dict[str, Encoder] = {}
+_loaded: dict[tuple[str, bool], Encoder] = {}
 
 
-def _encoder(shared) -> Encoder:
+def _encoder(shared, digest: bool) -> Encoder:
     """Encoder of a broadcast (vocabulary, transducer bytes), made once in a process."""
     vocabulary, data = shared.value
-    key = hashlib.sha256(data).hexdigest()
+    key = (hashlib.sha256(data).hexdigest(), digest)
     if key not in _loaded:
         _loaded.clear()
-        _loaded[key] = Encoder(vocabulary, Transducer.mapped(data))
+        _loaded[key] = Encoder(vocabulary, Transducer.mapped(data), digest)
     return _loaded[key]
 
 
 def _count_words(shared):
     def run(batches):
         vocabulary = shared.value
-        counts: dict[str, int] = {}
+        units: Counter[str] = Counter()
 
         def flushed():
-            part = pa.RecordBatch.from_arrays(
+            counts: dict[str, int] = {}
+            for unit, n in units.items():
+                for word in vocabulary.words(unit):
+                    counts[word] = counts.get(word, 0) + n
+            units.clear()
+            return pa.RecordBatch.from_arrays(
                 [pa.array(counts.keys(), pa.string()), pa.array(counts.values(), pa.int64())],
                 names=["word", "n"],
             )
-            counts.clear()
-            return part
 
         for batch in batches:
             for text in batch.column(0).to_pylist():
-                for word in vocabulary.split(text):
-                    counts[word] = counts.get(word, 0) + 1
-                if len(counts) > REMEMBERED:
+                units.update(vocabulary.units(text))
+                if len(units) > REMEMBERED:
                     yield flushed()
         yield flushed()
 
@@ -355,33 +411,19 @@ def lexicon(docs: DataFrame, vocabulary: Vocabulary, size: int = LEXICON_WORDS)
     )
 
 
-def _encode_batches(shared, names: list[str], kinds: list[pa.DataType]):
-    def digests(encoder: Encoder, words: list[str]) -> tuple:
-        encoder.show(set(words))
-        shown = [encoder.shown[w] for w in words]
-        ids, plain = " ".join([x[1] for x in shown]), " ".join([x[2] for x in shown])
-        return (
-            sum([x[0] for x in shown]),
-            hashlib.sha256(ids.encode()).hexdigest(),
-            hashlib.sha256(plain.encode("utf-8")).hexdigest(),
-        )
-
-    def whole(encoder: Encoder, words: list[str]) -> tuple:
-        encoder.learn(set(words))
-        ids = [i for w in words for i in encoder.known[w]]
-        return (len(ids), ids, encoder.vocabulary.decode(ids) if "decoded" in names else None)
-
+def _encode_batches(shared, names: list[str]):
     def run(batches):
-        encoder = _encoder(shared)
-        row = digests if "ids_sha256" in names else whole
+        digest = "ids_sha256" in names
+        encoder = _encoder(shared, digest)
         for batch in batches:
             # Ids take more memory than texts: a few rows at a time.
             for start in range(0, batch.num_rows, ROWS):
                 part = batch.slice(start, ROWS)
-                texts = part.column(0).field("text").to_pylist()
-                rows = [row(encoder, encoder.vocabulary.split(text)) for text in texts]
-                columns = [pa.array([r[i] for r in rows], k) for i, k in enumerate(kinds)]
-                yield pa.RecordBatch.from_arrays([part.column(0), *columns], names=["row", *names])
+                column = part.column(0).field("text").to_pylist()
+                texts = [encoder.vocabulary.units(text) for text in column]
+                encoder.learn(set().union(*texts))
+                found = encoder.digests(texts) if digest else encoder.whole(texts, "decoded" in names)
+                yield pa.RecordBatch.from_arrays([part.column(0), *found], names=["row", *names])
 
     return run
 
@@ -403,16 +445,15 @@ def encoded(
     transducer = lexicon(docs, vocabulary, size)
     shared = docs.sparkSession.sparkContext.broadcast((vocabulary, transducer.to_bytes()))
     row = docs.select(F.struct("*").alias("row"))
+    kinds = {"n": "bigint"}
     if digest:
-        names, kinds = ["n", "ids_sha256", "decoded_sha256"], [pa.int64(), pa.string(), pa.string()]
+        kinds |= {"ids_sha256": "string", "decoded_sha256": "string"}
     else:
-        names, kinds = ["n", "ids"], [pa.int64(), pa.list_(pa.int32())]
-        if decode:
-            names, kinds = [*names, "decoded"], [*kinds, pa.string()]
-    sql = {pa.int64(): "bigint", pa.string(): "string", pa.list_(pa.int32()): "array<int>"}
-    columns = ", ".join(f"{n} {sql[k]}" for n, k in zip(names, kinds, strict=True))
+        kinds |= {"ids": "array<int>"} | ({"decoded": "string"} if decode else {})
+    names = list(kinds)
+    columns = ", ".join(f"{name} {kind}" for name, kind in kinds.items())
     found = row.mapInArrow(
-        _encode_batches(shared, names, kinds),
+        _encode_batches(shared, names),
         f"row {row.schema['row'].dataType.simpleString()}, {columns}",
     )
     flat = found.select("row.*", *[F.col(c).alias(f"__{c}") for c in names])
