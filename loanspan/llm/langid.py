@@ -14,17 +14,17 @@ from zlib import crc32
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from loanspan.llm.common import replacing
+from loanspan.llm.common import replacing, written
 
 DIMENSIONS = 4096
 ORDERS = 3
-#: About this many documents of each language, picked by a hash of the id, are learned from.
+#: At most this many documents of each language and in all, picked by a hash of id and text, are
+#: learned from.
 TRAIN_DOCS_PER_LANGUAGE = 500
-#: Languages, by number of training documents and name, that a model holds at most.
-MAX_LANGUAGES = 500
+TRAIN_DOCS = 8000
 CLUSTERS = 4
 ROUNDS = 12
 #: A centroid's radius is this quantile of its members' distances, and a share of the way from
@@ -201,22 +201,31 @@ def held_out(doc_id):
 def train(docs: DataFrame) -> Model:
     """Model of the documents with lang that are not held out.
 
-    A sample of at most about TRAIN_DOCS_PER_LANGUAGE documents of each language is used; vectors
-    are counted on executors and only they reach the driver, 8 KB each.
+    Of each language TRAIN_DOCS_PER_LANGUAGE documents at most are learned from, fewer where that
+    makes more than TRAIN_DOCS in all, but one of each language. They are those with the smallest
+    hash of id and text, so neither null nor repeated ids change the bound, and repeated rows count
+    once. Vectors are counted on executors and only they reach the driver, 8 KB each; counts stop
+    at 65,535.
     """
-    labelled = docs.filter(F.col("lang").isNotNull() & ~held_out(F.col("doc_id")))
-    sizes = (
-        labelled.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(MAX_LANGUAGES).collect()
+    keyed = docs.filter(F.col("lang").isNotNull() & ~held_out(F.col("doc_id"))).select(
+        "lang", "text", F.xxhash64("doc_id", "text").alias("key")
     )
-    if not sizes:
+    sizes = written(keyed.groupBy("lang").agg(F.approx_count_distinct("key").alias("size")))
+    languages = sizes.count()
+    if not languages:
         return fit(np.zeros((0, DIMENSIONS)), [])
-    share = F.element_at(
-        F.create_map(
-            *[F.lit(x) for r in sizes for x in (r["lang"], min(1.0, TRAIN_DOCS_PER_LANGUAGE / r["count"]))]
-        ),
-        F.col("lang"),
+    most = max(1, min(TRAIN_DOCS_PER_LANGUAGE, TRAIN_DOCS // languages))
+    # Enough rows of small hash for `most` of every language, then exactly so many.
+    place = F.pmod("key", F.lit(10**12))
+    enough = place.cast("double") * F.col("size") < 1e12 * (2 * most + 20)
+    by_hash = Window.partitionBy("lang").orderBy(place, "key")
+    picked = (
+        keyed.join(F.broadcast(sizes) if languages <= TRAIN_DOCS else sizes, "lang")
+        .filter(enough)
+        .dropDuplicates(["lang", "key"])
+        .withColumn("place", F.row_number().over(by_hash))
+        .filter(F.col("place") <= most)
     )
-    picked = labelled.filter(F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000)) < 1_000_000 * share)
     rows = (
         picked.select("lang", "text")
         .mapInArrow(_count_batches, "lang string, counts binary")
