@@ -53,6 +53,11 @@ def replacing(df: DataFrame, columns: dict[str, Column]) -> DataFrame:
     return df.select(*kept, *[value.alias(name) for name, value in columns.items()])
 
 
+def row_key() -> Column:
+    """`row`: 64 bits of doc_id and text, which tell documents apart where ids are null or repeated."""
+    return F.xxhash64(F.col("doc_id").cast("bigint"), F.col("text")).alias("row")
+
+
 def written(df: DataFrame, partition_by: list[str] | None = None) -> DataFrame:
     """`df` written once as Parquet in the shared folder and read again.
 

@@ -18,7 +18,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from loanspan.llm.common import text_of, windows, written
+from loanspan.llm.common import row_key, text_of, windows, written
 
 SHINGLE = 5
 PERCENT = 80
@@ -126,9 +126,12 @@ def contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 
 
 def decontaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """`docs` without the documents that contain an item; rows without doc_id stay."""
-    ids = contaminated(docs, benchmark).select(F.col("doc_id").alias("__leaked")).distinct()
-    return docs.join(ids, docs["doc_id"] == ids["__leaked"], "left_anti")
+    """`docs` without the rows that contain an item; each row is judged by its own text, whether its
+    doc_id is null, repeated or neither. All columns of `docs` are returned, whatever their names."""
+    rows = docs.select(row_key(), "text", F.struct("*").alias("doc"))
+    leaked = contaminated(rows.select(F.col("row").alias("doc_id"), "text"), benchmark)
+    leaked = leaked.select(F.col("doc_id").alias("row")).distinct()
+    return rows.join(leaked, "row", "left_anti").select("doc.*")
 
 
 SQL = r"""

@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from loanspan.llm.common import written
+from loanspan.llm.common import SPACE, row_key, written
 from loanspan.llm.components import components
 from loanspan.llm.shingles import MinHash, WordHashes, set_id, shingle_set, similar
 
@@ -559,18 +559,38 @@ def _between(
 
 
 def deduplicated(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame:
-    """`docs` with one document of each group: the one with the smallest doc_id.
+    """`docs` with one document of each group: that of the smallest doc_id, one without id last.
 
-    Rows that repeat a doc_id and text are one document; rows without an id all stay.
+    A document is a doc_id and a text, each of which may be null: rows of one id with different
+    texts are judged one by one, and rows that repeat both are one document. Rows without words
+    stay, but for repetitions under one id. All columns of `docs` are returned, whatever their names.
     """
-    groups = written(similar_groups(docs, n, percent))
-    dropped = groups.filter("NOT kept").select(F.col("doc_id").alias("__dropped")).distinct()
-    kept = docs.join(dropped, docs["doc_id"] == dropped["__dropped"], "left_anti")
-    again = groups.filter("kept AND doc_id IS NOT NULL").groupBy("doc_id").count().filter("count > 1")
-    if again.isEmpty():
-        return kept
-    return kept.filter("doc_id IS NOT NULL").dropDuplicates(["doc_id", "text"]).union(
-        kept.filter("doc_id IS NULL")
+    rows = docs.select(
+        F.col("doc_id").cast("bigint").alias("id"), "text", row_key(), F.struct("*").alias("doc")
+    )
+    groups = written(similar_groups(rows.select(F.col("row").alias("doc_id"), "text"), n, percent))
+    # The group's own key is one of its rows: a group with another one has several.
+    several = groups.filter("NOT kept").select(F.col("component_id").alias("group")).distinct()
+    grouped = (
+        groups.select(F.col("doc_id").alias("row"), F.col("component_id").alias("group"))
+        .join(several, "group", "left_semi")
+        .distinct()
+    )
+    members = written(grouped.join(rows.select("row", "id"), "row").distinct())
+    first = members.groupBy("group").agg(
+        F.min(F.struct(F.col("id").isNull().alias("last"), "id", "row")).alias("first")
+    )
+    dropped = members.join(first, "group").filter("row <> first.row").select("row").distinct()
+    kept = rows.join(dropped, "row", "left_anti")
+    # Rows of one key that are repeated; only then texts are shuffled to tell them apart.
+    repeated = groups.groupBy("doc_id").count().filter("count > 1")
+    if repeated.isEmpty():
+        return kept.select("doc.*")
+    worded = F.length(F.regexp_replace(F.coalesce("text", F.lit("")), SPACE, "")) > 0
+    alone = F.col("id").isNull() & ~worded
+    return (
+        kept.filter(~alone).dropDuplicates(["row"]).select("doc.*")
+        .union(kept.filter(alone).select("doc.*"))
     )
 
 

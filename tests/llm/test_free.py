@@ -7,6 +7,7 @@ import zlib
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 import corpus_pipeline
@@ -118,7 +119,40 @@ def test_near_duplicates_of_odd_rows(spark, odd, none):
     assert {r["n_shingles"] for r in rows if r["doc_id"] in (0, 1, 2)} == {0}
     assert neardup.similar_groups(none).count() == 0
     kept = neardup.deduplicated(odd)
-    assert kept.columns == odd.columns and kept.count() == 9
+    # One of the repeated rows goes, and the copy without id.
+    assert kept.columns == odd.columns and kept.count() == 8
+
+
+def test_near_duplicates_are_judged_by_row(spark):
+    a, b = ("one two three four five six seven", "red green blue black white grey pink")
+    rows = [(5, b), (3, a), (5, a), (5, b), (None, a), (None, "x y z"), (None, "x y z"), (None, ""), (None, ""), (9, None)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string").select(
+        "*", *[F.lit(1).alias(c) for c in ("row", "id", "doc", "group", "__dropped", "__leaked")]
+    )
+    kept = neardup.deduplicated(docs)
+    assert kept.columns == docs.columns
+    key = lambda r: (str(r[0]), str(r[1]))
+    found = sorted(((r["doc_id"], r["text"]) for r in kept.collect()), key=key)
+    assert found == sorted([(3, a), (5, b), (9, None), (None, "x y z"), (None, ""), (None, "")], key=key)
+
+
+def test_language_samples_are_bounded(spark):
+    words = F.concat_ws(" ", *[F.md5((F.col("id") * 7 + i).cast("string")) for i in range(3)])
+    table = spark.range(6000).select(
+        F.when(F.col("id") % 3 > 0, F.lit(0)).cast("bigint").alias("doc_id"),
+        F.when(F.col("id") % 5 > 0, words).otherwise("hot text").alias("text"),
+        F.lit("en").alias("lang"),
+    )
+    seen = []
+    original = langid.fit
+    langid.fit = lambda counts, languages: seen.append(len(languages)) or original(counts, languages)
+    try:
+        langid.train(table)
+        langid.train(table.withColumn("lang", F.concat("lang", (F.xxhash64("text") % 100).cast("string"))))
+    finally:
+        langid.fit = original
+    assert seen[0] == langid.TRAIN_DOCS_PER_LANGUAGE
+    assert 0 < seen[1] <= langid.TRAIN_DOCS
 
 
 def test_components_of_a_chain(spark):
@@ -142,7 +176,6 @@ def test_language(spark, small, odd, none):
     assert langid.query(none).count() == 0
     assert {r["lang_pred"] for r in langid.identify(odd, langid.train(none)).collect()} == {"und"}
     # Labels of held-out rows change nothing.
-    from pyspark.sql import functions as F
 
     other = small.withColumn("lang", F.when(langid.held_out(F.col("doc_id")), "zz").otherwise(F.col("lang")))
     assert np.array_equal(langid.train(other).centroids, model.centroids)

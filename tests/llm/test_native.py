@@ -166,3 +166,9 @@ def test_decontamination(spark, odd, none):
     assert decontam.contaminated(none, bench).count() == 0
     assert decontam.contaminated(odd, bench.limit(0)).count() == 0
     assert decontam.decontaminated(odd, bench).count() == 10
+    shared = spark.createDataFrame(
+        [(1, item, 0), (1, "clean words", 0), (None, item, 0), (None, "other words", 0)],
+        "doc_id bigint, text string, __leaked int",
+    )
+    left = decontam.decontaminated(shared, bench).collect()
+    assert {r["text"] for r in left} == {"clean words", "other words"} and len(left) == 2
