@@ -53,6 +53,25 @@ def replacing(df: DataFrame, columns: dict[str, Column]) -> DataFrame:
     return df.select(*kept, *[value.alias(name) for name, value in columns.items()])
 
 
+def set_aside(docs: DataFrame, **columns: Column) -> tuple[DataFrame, dict[str, Column]]:
+    """`docs` with `columns`, and its own columns under names that no operator uses.
+
+    The second value has these columns by their former names, to be selected at the end.
+    """
+    own = {c: f"__own_{i}" for i, c in enumerate(docs.columns)}
+    frame = docs.select(
+        *[F.col(f"`{c}`").alias(n) for c, n in own.items()], *[v.alias(n) for n, v in columns.items()]
+    )
+    return frame, {c: F.col(n) for c, n in own.items()}
+
+
+def with_results(df: DataFrame, own: dict[str, Column], columns: dict[str, Column]) -> DataFrame:
+    """The columns set aside, and result columns at the end in place of those of such a name."""
+    new = {name.lower() for name in columns}
+    kept = [value.alias(name) for name, value in own.items() if name.lower() not in new]
+    return df.select(*kept, *[value.alias(name) for name, value in columns.items()])
+
+
 def row_key() -> Column:
     """`row`: 64 bits of doc_id and text, which tell documents apart where ids are null or repeated."""
     return F.xxhash64(F.col("doc_id").cast("bigint"), F.col("text")).alias("row")

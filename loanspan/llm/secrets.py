@@ -12,7 +12,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from loanspan.llm.common import replacing, text_of
+from loanspan.llm.common import set_aside, text_of, with_results
 
 #: Fixed formats: kind, pattern, group whose length counts, least length; in order of kind.
 FORMATS = [
@@ -27,13 +27,18 @@ FORMATS = [
     ("access", r"AKIA[A-Z0-9]{16,}", 0, 20),
     ("hex", r"[0-9a-f]{24,}", 0, 24),
 ]
-#: Runs that the models judge.
-RUN = r"[A-Za-z0-9+/=_-]{16,}"
+#: Runs that the models judge, whole or what a fixed format leaves of them, and their least length.
+LEAST_RUN = 16
+RUN = rf"[A-Za-z0-9+/=_-]{{{LEAST_RUN},}}"
 ORDINARY = r"[A-Za-z0-9+/=_-]{6,}"
 #: About this many documents, picked by a hash of the id, give the labelled samples.
 TRAIN_DOCS = 4000
-#: Generated random strings that join the random samples, of each alphabet.
+#: Generated random strings that join the random samples, of each alphabet: hexadecimal digits with
+#: small letters, with capitals, and base64.
 RANDOM_STRINGS = 2000
+#: Generated ordinary samples: numbers of about 40 digits, and pairs of each repeated character.
+NUMBERS, REPEATS = 500, 200
+REPEATED = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/=_-"
 #: Ratio of a secret in nats: in all, and for each pair of characters.
 MIN_RATIO = 14.0
 MIN_RATIO_PER_PAIR = 1.0
@@ -77,6 +82,30 @@ def _at_least(length: int):
     return lambda x: x["n"] >= length
 
 
+def _touch(a: Column, b: Column) -> Column:
+    """Whether two spans share a character."""
+    return (a["s"] < b["e"]) & (b["s"] < a["e"])
+
+
+def _remainders(run: Column, base: Column) -> Column:
+    """(s, e) of the parts of a run outside the spans that touch it, LEAST_RUN characters or more."""
+    touching = F.filter(F.sort_array(base), lambda b: _touch(run, b))
+    free = F.aggregate(
+        touching,
+        F.struct(run["s"].alias("at"), F.array().cast("array<struct<s:int,e:int>>").alias("out")),
+        lambda state, b: F.struct(
+            F.greatest(state["at"], b["e"]).alias("at"),
+            F.concat(
+                state["out"], F.array(F.struct(state["at"].alias("s"), b["s"].alias("e")))
+            ).alias("out"),
+        ),
+        lambda state: F.concat(
+            state["out"], F.array(F.struct(state["at"].alias("s"), run["e"].alias("e")))
+        ),
+    )
+    return F.filter(free, lambda x: x["e"] - x["s"] >= LEAST_RUN)
+
+
 def _with_base(docs: DataFrame) -> DataFrame:
     """`docs` with __base, the spans of the fixed formats; __text is scanned."""
     parts, empty = [], F.array().cast("array<struct<s:int,k:int,e:int,n:int>>")
@@ -108,8 +137,9 @@ def train(docs: DataFrame) -> list[int]:
     """Log-likelihood ratio of each pair of characters, in 1/1000 nats.
 
     Random samples are the matches of the fixed formats and generated strings; ordinary samples
-    are the other runs of token characters of the sampled documents. No documents leave the
-    generated strings, and every ordinary pair equally likely.
+    are the other runs of token characters of the sampled documents, generated numbers, and lines
+    of one repeated character. No documents leave the generated strings alone. Null ids fall into the sample or out
+    of it together, as do repeated ones; only counts of pairs reach the driver.
     """
     total = docs.count()
     share = min(1.0, TRAIN_DOCS / max(total, 1))
@@ -129,12 +159,23 @@ def train(docs: DataFrame) -> list[int]:
     )
     digest = F.sha2(F.col("id").cast("string"), 256)
     made = docs.sparkSession.range(0, RANDOM_STRINGS, 1, 2).select(
-        F.explode(F.array(digest, F.base64(F.unhex(digest)))).alias("t"),
+        F.explode(F.array(digest, F.upper(digest), F.rtrim(F.base64(F.unhex(digest)), F.lit("=")))).alias("t"),
         F.lit(True).alias("random"),
     )
+    number = F.regexp_replace(F.sha2(F.concat(F.lit("n"), F.col("id").cast("string")), 256), "[a-f]", "")
+    fills = F.transform(
+        F.split(F.lit(REPEATED), ""), lambda c: F.repeat(c, F.lit(REPEATS + 1))
+    )
+    spark = docs.sparkSession
+    ordinary = (
+        spark.range(0, NUMBERS, 1, 2).select(number.alias("t"))
+        .union(spark.range(0, 1, 1, 1).select(F.explode(fills).alias("t")))
+        .select("t", F.lit(False).alias("random"))
+    )
     counts = (
         secret.union(plain)
         .union(made)
+        .union(ordinary)
         .select("random", F.explode(_pairs(F.col("t"))).alias("pair"))
         .groupBy("random", "pair")
         .count()
@@ -153,27 +194,50 @@ def scan(docs: DataFrame, model: list[int]) -> DataFrame:
     secret_spans (array of start, kind, end), in place of columns of these names.
 
     Spans count code points, ends are exclusive, order is by start, then kind. Null texts are
-    empty: no spans and the digest of nothing. Runs that touch a span of a fixed format are not
-    judged again. Null ids, repeated rows and other columns pass through.
+    empty: no spans and the digest of nothing. Of a run that touches spans of a fixed format, the
+    parts outside them are judged one by one, so added spans never overlap those. Texts of any
+    length are scanned whole. Null ids, repeated rows and other columns pass through, whatever
+    their names.
     """
-    text = text_of(F.col("text"))
-    based = docs.withColumn("__text", text).transform(_with_base)
+    frame, own = set_aside(docs, __text=text_of(F.col("text")))
     table = F.split(F.lit(",".join(map(str, model))), ",").cast("array<int>")
     ratio = lambda run: F.aggregate(
         _pairs(run), F.lit(0), lambda total, pair: total + F.get(table, pair)
     )
-    runs = based.withColumn("__m", _found(F.col("__text"), RUN)[0])
-    scored = runs.withColumn("__ratios", F.transform("__m", ratio))
-    found = _spans(3, F.col("__m"), F.split("__text", RUN, -1), F.col("__ratios"))
+    based = frame.transform(_with_base).withColumn("__m", _found(F.col("__text"), RUN)[0])
     none = F.array().cast("array<struct<s:int,k:int,e:int,n:int>>")
-    added = F.filter(
-        found,
-        lambda x: (x["n"] >= int(MIN_RATIO * SCALE))
-        & (x["n"] >= int(MIN_RATIO_PER_PAIR * SCALE) * (x["e"] - x["s"] - 1))
-        & ~F.exists("__base", lambda b: (b["s"] < x["e"]) & (x["s"] < b["e"])),
+    random = lambda x: (x["n"] >= int(MIN_RATIO * SCALE)) & (
+        x["n"] >= int(MIN_RATIO_PER_PAIR * SCALE) * (x["e"] - x["s"] - 1)
     )
+    scored = based.withColumn("__ratios", F.transform("__m", ratio))
+    runs = F.filter(_spans(3, F.col("__m"), F.split("__text", RUN, -1), F.col("__ratios")), random)
     some = F.exists("__ratios", lambda x: x >= int(MIN_RATIO * SCALE))
-    every = scored.withColumn("__added", F.when(some, added).otherwise(none)).withColumn(
+    # Where a fixed format was found, runs carry their place until its spans are cut out of them.
+    placed = F.zip_with(
+        _spans(3, F.col("__m"), F.split("__text", RUN, -1), F.col("__ratios")),
+        F.col("__m"),
+        lambda x, m: F.struct(x["s"].alias("s"), x["e"].alias("e"), x["n"].alias("n"), m.alias("m")),
+    )
+    span = lambda s, e, n: F.struct(
+        s.alias("s"), F.lit(3).alias("k"), e.alias("e"), n.alias("n")
+    )
+    parts = F.flatten(
+        F.transform(
+            placed,
+            lambda x: F.when(
+                F.exists("__base", lambda b: _touch(x, b)),
+                F.transform(
+                    _remainders(x, F.col("__base")),
+                    lambda r: span(
+                        r["s"], r["e"], ratio(F.substring(x["m"], r["s"] - x["s"] + 1, r["e"] - r["s"]))
+                    ),
+                ),
+            ).otherwise(F.array(span(x["s"], x["e"], x["n"]))),
+        )
+    )
+    both = (F.size("__base") > 0) & (F.size("__m") > 0)
+    added = F.when(both, F.filter(parts, random)).when(some, runs).otherwise(none)
+    every = scored.withColumn("__added", added).withColumn(
         "__all", F.sort_array(F.concat("__base", "__added"))
     )
     names = F.array(*map(F.lit, KINDS))
@@ -184,8 +248,9 @@ def scan(docs: DataFrame, model: list[int]) -> DataFrame:
         ",",
     )
     count = lambda k: F.size(F.filter("__all", lambda x: x["k"] == k)).cast("bigint")
-    result = replacing(
+    return with_results(
         every,
+        own,
         {f"n_{kind}": count(k) for k, kind in enumerate(KINDS)}
         | {
             "base_sha256": F.sha2(listed(F.sort_array("__base")), 256),
@@ -198,7 +263,6 @@ def scan(docs: DataFrame, model: list[int]) -> DataFrame:
             ),
         },
     )
-    return result.drop(*[c for c in result.columns if c.startswith("__") and c not in docs.columns])
 
 
 def redacted(docs: DataFrame) -> DataFrame:

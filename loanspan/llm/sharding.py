@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from loanspan.llm.common import replacing, text_of, written
+from loanspan.llm.common import set_aside, text_of, with_results, written
 
 BYTE_LIMIT = 1 << 20
 #: Hash bits, the levels of one pass over the sizes, and the cells aimed at for a full shard.
@@ -55,14 +55,19 @@ def sharded(docs: DataFrame, limit: int = BYTE_LIMIT) -> DataFrame:
     shard and page hold more than `limit` bytes of text. Rows that no bit can part, copies of one
     id and text, go to pages 0, 1, ... of the shard at the last depth; every other page is 0. A
     text over the limit is alone in its page. Null texts have no bytes; null ids hash as empty.
+    Other columns pass through, whatever their names; an empty table has no shards.
     """
     text = text_of(F.col("text"))
     size, h = F.octet_length(text).cast("bigint"), row_hash(F.col("doc_id"), text)
     sizes = written(docs.select(size.alias("n_bytes"), h.alias("h")))
     total = sizes.agg(F.sum("n_bytes")).first()[0] or 0
     low, high = 0, min(max(STEP, (CELLS * total // limit).bit_length()), BITS)
-    placed = replacing(docs, {"n_bytes": size}).withColumns(
-        {"__h": h, "__shard": F.lit(None).cast("string"), "__depth": F.lit(None).cast("int")}
+    placed, own = set_aside(
+        docs,
+        n_bytes=size,
+        __h=h,
+        __shard=F.lit(None).cast("string"),
+        __depth=F.lit(None).cast("int"),
     )
     while True:
         cell = F.expr(f"shiftright(h, {BITS - high})")
@@ -87,9 +92,16 @@ def sharded(docs: DataFrame, limit: int = BYTE_LIMIT) -> DataFrame:
     single = placed.filter("__shard IS NOT NULL").withColumn("__page", F.lit(0).cast("bigint"))
     if not over.isEmpty():
         single = single.union(_pages(placed.filter("__shard IS NULL"), limit))
-    return replacing(
-        single, {"shard": F.col("__shard"), "depth": F.col("__depth"), "page": F.col("__page")}
-    ).drop("__h", "__shard", "__depth", "__page")
+    return with_results(
+        single,
+        own,
+        {
+            "n_bytes": F.col("n_bytes"),
+            "shard": F.col("__shard"),
+            "depth": F.col("__depth"),
+            "page": F.col("__page"),
+        },
+    )
 
 
 def _pages(copies: DataFrame, limit: int) -> DataFrame:
