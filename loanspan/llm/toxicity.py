@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 BUCKETS = 1 << 16
 NGRAMS = (3, 4, 5, 6)
 DIMENSIONS = 8
-#: About this many labelled documents, picked by a hash of the id, are learned from.
+#: This many labelled documents at most, those with the smallest hash of the id, are learned from.
 TRAIN_DOCS = 6000
 BATCH = 32
 EPOCHS = 6
@@ -162,10 +162,13 @@ def _bag_batches(batches):
 
 
 def train(docs: DataFrame, labels: DataFrame) -> Model:
-    """Model of about TRAIN_DOCS labelled documents that are not held out.
+    """Model of TRAIN_DOCS labelled documents at most that are not held out.
 
-    Bags are counted on executors; only they reach the driver, at most 256 KB each and about 12 KB
-    on average. Labels without id or value are left out; of several labels the larger counts.
+    Bags are counted on executors; only they reach the driver, one for each picked id, at most 256
+    KB each and about 12 KB on average. Of several texts of one id, the one with the smallest hash
+    is learned from, however many rows have that id. Labels without id or value are left out; of
+    several labels the larger counts. No labels, or none of a known document, give a model without
+    evidence. Counts of a subword stop at 65,535.
     """
     known = (
         labels.filter(F.col("toxic").isNotNull() & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id")))
@@ -173,11 +176,15 @@ def train(docs: DataFrame, labels: DataFrame) -> Model:
         .agg((F.max("toxic") > 0).cast("int").alias("toxic"))
     )
     total = known.count()
-    share = min(1.0, TRAIN_DOCS / max(total, 1))
-    picked = known.filter(F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000)) < int(1_000_000 * share))
+    # Enough ids of small hash at any size, then exactly so many.
+    place = F.pmod(F.xxhash64("doc_id"), F.lit(10**12))
+    enough = place.cast("double") * total < 1e12 * (2 * TRAIN_DOCS + 20)
+    picked = known.filter(enough).orderBy(place, "doc_id").limit(TRAIN_DOCS)
     rows = (
         docs.select("doc_id", "text")
         .join(F.broadcast(picked), "doc_id")
+        .groupBy("doc_id", "toxic")
+        .agg(F.min_by("text", F.xxhash64("text")).alias("text"))
         .select("toxic", "text")
         .mapInArrow(_bag_batches, "toxic int, buckets binary, counts binary")
         .toArrow()

@@ -380,6 +380,19 @@ def test_toxicity(spark, small, odd, none):
     assert toxicity.query(odd, labels.limit(0)).filter("predicted = 1").count() == 0
 
 
+def test_toxicity_training_is_bounded(spark, monkeypatch):
+    """Repeated ids and many labels leave at most TRAIN_DOCS bags, one for each id."""
+    monkeypatch.setattr(toxicity, "TRAIN_DOCS", 50)
+    ids = [4] * 3000 + list(range(400))
+    docs = documents(spark, [f"text number {i} of {d}" for i, d in enumerate(ids)], ids)
+    labels = spark.createDataFrame([(i, i % 2) for i in range(400)], "doc_id bigint, toxic int")
+    fitted = []
+    monkeypatch.setattr(toxicity, "fit", lambda bags, marks: fitted.append((len(bags), sum(marks))))
+    toxicity.train(docs, labels)
+    toxicity.train(docs, labels.filter("doc_id = 4"))
+    assert fitted[0][0] == 50 and 0 < fitted[0][1] < 50 and fitted[1][0] <= 1
+
+
 def test_pipeline(spark, small, odd, tokenizer):
     """Every stage on what the one before kept, and the ids of what is left."""
     from loanspan.llm.common import written
