@@ -38,6 +38,8 @@ REMEMBERED = 400_000
 ROWS = 500
 #: Bytes of a word up to which plain search for the best pair is faster than a heap.
 SHORT = 128
+#: Short words that are merged together.
+TOGETHER = 4096
 #: Counts are told apart by this many steps for each doubling when the lexicon is cut.
 STEPS = 64
 
@@ -70,6 +72,9 @@ class Vocabulary:
     pairs: dict[int, int] = field(init=False)
     made: list[int] = field(init=False)
     width: int = field(init=False)
+    #: The pairs in order and their ranks, for many words at once.
+    sorted_pairs: np.ndarray = field(init=False)
+    sorted_ranks: np.ndarray = field(init=False)
 
     def __post_init__(self):
         ids = {token: i for i, token in self.tokens.items()}
@@ -78,6 +83,8 @@ class Vocabulary:
         self.last = [ids.get(c + _END, -1) for c in _byte_chars()]
         self.pairs = {ids[a] * self.width + ids[b]: r for (a, b), r in self.ranks.items()}
         self.made = [ids[a + b] for a, b in self.ranks]
+        self.sorted_pairs = np.array(sorted(self.pairs), np.int64)
+        self.sorted_ranks = np.array([self.pairs[p] for p in self.sorted_pairs.tolist()], np.int64)
 
     @staticmethod
     def load(path: str) -> Vocabulary:
@@ -134,6 +141,66 @@ class Vocabulary:
                         heapq.heappush(heap, (best, left, a, b))
         return [i for i in ids if i >= 0]
 
+    def _ranks_of(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        """Rank of each pair of ids; the number of merges for a pair without, or an id below 0."""
+        never = len(self.made)
+        if not len(self.sorted_pairs):
+            return np.full(a.shape, never, np.int64)
+        pairs = a * self.width + b
+        at = np.minimum(np.searchsorted(self.sorted_pairs, pairs), len(self.sorted_pairs) - 1)
+        known = (self.sorted_pairs[at] == pairs) & (a >= 0) & (b >= 0)
+        return np.where(known, self.sorted_ranks[at], never)
+
+    def merge_all(self, words: list[str]) -> list[list[int]]:
+        """What `merge` gives for each word; short words of near lengths are merged together."""
+        data = [word.encode("utf-8", "replace") for word in words]
+        found: list[list[int]] = [[] for _ in words]
+        order = sorted(range(len(words)), key=lambda i: len(data[i]))
+        while order and len(data[order[-1]]) > SHORT:
+            i = order.pop()
+            found[i] = self.merge(words[i])
+        for start in range(0, len(order), TOGETHER):
+            self._merge_rows(order[start : start + TOGETHER], words, data, found)
+        return found
+
+    def _merge_rows(self, order: list[int], words: list[str], data: list[bytes], found: list[list[int]]):
+        """Merge the words `order` into `found`, a row for each; every round merges one pair of a row."""
+        sizes = np.array([len(data[i]) for i in order], np.int64)
+        wide, never = int(sizes.max()), len(self.made)
+        letters = np.frombuffer(b"".join(data[i].ljust(wide, b"\0") for i in order), np.uint8)
+        letters = letters.reshape(len(order), wide)
+        rows, place = np.arange(len(order)), np.arange(wide)
+        ids = np.array(self.inside, np.int64)[letters]
+        ids[rows, sizes - 1] = np.array(self.last, np.int64)[letters[rows, sizes - 1]]
+        beyond = place >= sizes[:, None]
+        for row in np.flatnonzero(((ids < 0) & ~beyond).any(axis=1))[:1]:
+            raise ValueError(f"the vocabulary lacks a byte of {words[order[row]]!r}")
+        ids[beyond] = -1
+        ranks, made = self._ranks_of(ids[:, :-1], ids[:, 1:]), np.array(self.made, np.int64)
+        while len(rows):
+            if ids.shape[1] > 1:
+                at = ranks.argmin(axis=1)
+                best = ranks[np.arange(len(rows)), at]
+                going = best < never
+            else:
+                going = np.zeros(len(rows), bool)
+            for row, kept in zip(rows[~going].tolist(), ids[~going].tolist(), strict=True):
+                found[order[row]] = [i for i in kept if i >= 0]
+            if not going.any():
+                return
+            rows, ids, ranks, at, best = (x[going] for x in (rows, ids, ranks, at, best))
+            here, wide = np.arange(len(rows)), ids.shape[1]
+            ids[here, at] = made[best]
+            # The second id of the pair goes, and with it the pair; its neighbours are new pairs.
+            place = np.arange(wide - 1)
+            ids = np.take_along_axis(ids, place + (place > at[:, None]), 1)
+            place = np.arange(wide - 2)
+            ranks = np.take_along_axis(ranks, place + (place >= at[:, None]), 1)
+            left = np.flatnonzero(at > 0)
+            ranks[left, at[left] - 1] = self._ranks_of(ids[left, at[left] - 1], ids[left, at[left]])
+            right = np.flatnonzero(at < wide - 2)
+            ranks[right, at[right]] = self._ranks_of(ids[right, at[right]], ids[right, at[right] + 1])
+
     def units(self, text: str | None) -> list[str]:
         """Runs of characters other than white space, and special tokens, in order.
 
@@ -289,26 +356,35 @@ class Encoder:
         self.ids: dict[str, str] | dict[str, bytes] = {}
         #: Decoded text of each known unit.
         self.plain: dict[str, str] = {}
+        #: Both of them for the units known before these, from where those met again come back.
+        self.older: tuple[dict, dict] = ({}, {})
         self.decimals = {i: str(i) for i in vocabulary.tokens}
 
     def ids_of(self, words: list[str]) -> list[list[int]]:
         """Ids of each word: a special token's, the transducer's, or those of exact merges."""
         special, found = self.vocabulary.special, []
         looked_up = self.transducer.lookup([w.encode("utf-8", "replace") for w in words])
+        lacking = [
+            w for w, ids in zip(words, looked_up, strict=True) if ids is None and w not in special
+        ]
+        merged = iter(self.vocabulary.merge_all(lacking))
         for word, ids in zip(words, looked_up, strict=True):
             if word in special:
                 found.append([special[word]])
             else:
-                found.append(ids.tolist() if ids is not None else self.vocabulary.merge(word))
+                found.append(ids.tolist() if ids is not None else next(merged))
         return found
 
     def learn(self, units: set[str]) -> None:
-        """Remember these units; what was known before is forgotten when there is no room."""
+        """Remember these units; without room, those not met since the last time are forgotten."""
         new = units.difference(self.ids)
-        if len(self.ids) + len(new) > REMEMBERED:
-            self.ids.clear()
-            self.plain.clear()
-            new = units
+        if len(self.ids) + len(new) > REMEMBERED // 2:
+            self.older, self.ids, self.plain, new = (self.ids, self.plain), {}, {}, units
+        known, plain = self.older
+        again = [unit for unit in new if unit in known]
+        for unit in again:
+            self.ids[unit], self.plain[unit] = known[unit], plain[unit]
+        new = new.difference(again)
         parts = {unit: self.vocabulary.words(unit) for unit in new}
         words = list({word for found in parts.values() for word in found})
         ids_of = dict(zip(words, self.ids_of(words), strict=True))
