@@ -19,7 +19,7 @@ def build_survival(events: DataFrame, cutoff: int = CUTOFF) -> DataFrame:
     The origin is the month before the first payment, a proxy of the origination month.
     """
     origin = F.add_months(F.col("first_payment_month"), -1)
-    origin_index = M.date_month_index(origin)
+    origin_index = M.date_month_index(F.col("first_payment_month")) - 1
     entry, exit_ = F.col("entry_time_month"), F.col("exit_time_month")
     reason = (
         F.when(

@@ -69,7 +69,8 @@ def build_model_dataset(
     )
     kind = F.col("event_type")
     joined = enforce(
-        population.join(features, "loan_id", "left"),
+        # The unique rows lie sorted by loan already: merged, they need not pass through the driver.
+        population.join(features.hint("merge"), "loan_id", "left"),
         F.col("_matched"),
         F.concat(F.lit("Loan without origination row: "), F.col("loan_id")),
     )

@@ -6,7 +6,7 @@ arithmetic so that a SQL engine reproduces them exactly; see `loanspan.plans.ora
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from loanspan.contracts import CUTOFF
@@ -87,13 +87,14 @@ def _vintage() -> Column:
     return F.floor((F.col("origin_index") - 1) / F.lit(12)).cast("int")
 
 
+def _first_months() -> tuple[Column, Column]:
+    """Earliest month up to the cutoff, and of all: the first one that is there counts."""
+    return F.min(F.when(F.col("month") <= CUTOFF, F.col("month"))), F.min("month")
+
+
 def loans_of(months: DataFrame) -> DataFrame:
     """One row per loan key with its first payment, origin and public loan id."""
-    firsts = months.groupBy("loan_key").agg(
-        F.coalesce(
-            F.min(F.when(F.col("month") <= CUTOFF, F.col("month"))), F.min("month")
-        ).alias("first_month")
-    )
+    firsts = months.groupBy("loan_key").agg(F.coalesce(*_first_months()).alias("first_month"))
     return firsts.withColumns(_origin_columns(F.col("first_month"))).select(
         "loan_key",
         "fp_index",
@@ -113,7 +114,7 @@ def raw_origination(spark: SparkSession, sf_dir: str) -> DataFrame:
     ltv = 40 + (key * 31) % 61
     term = F.when(key % 4 == 0, 180).otherwise(360)
     tenths = 20 + key % 60
-    return loans_of(_months(spark, sf_dir)).select(
+    return loans_of(report_feed(spark, sf_dir)).select(
         "loan_id",
         F.when(key % 37 == 0, "9999").otherwise(text(300 + (key * 7919) % 551)).alias("fico"),
         M.index_to_yyyymm(F.col("fp_index")).cast("string").alias("first_payment_date"),
@@ -144,9 +145,16 @@ def raw_performance(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     Months after a termination code stay in on purpose.
     """
-    months = _months(spark, sf_dir)
-    # Both sides group by loan_key, so the aggregates and the join share one partitioning.
-    rows = months.join(loans_of(months), "loan_key")
+    # A loan has one row per calendar month here, so a window holds few rows, whatever its orders,
+    # and the feed is aggregated once.
+    loan = Window.partitionBy("loan_key")
+    rows = (
+        _months(spark, sf_dir)
+        .filter(F.col("loan_key").isNotNull())
+        .withColumn("first_month", F.coalesce(*[m.over(loan) for m in _first_months()]))
+        .withColumns(_origin_columns(F.col("first_month")))
+        .withColumns({"loan_id": _loan_id(), "vintage": _vintage()})
+    )
     key, month = F.col("loan_key"), F.col("month")
     index = M.month_index(month)
     age = index - F.col("origin_index") + F.when((key % 53 == 0) & (month % 2 == 1), 1).otherwise(0)
