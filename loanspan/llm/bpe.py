@@ -27,7 +27,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from loanspan.llm.common import replacing, written
+from loanspan.llm.common import pieces, replacing, written
 
 #: Words in the lexicon, and bytes of the longest one.
 LEXICON_WORDS = 100_000
@@ -348,10 +348,16 @@ class Transducer:
 
 
 class Encoder:
-    """Encodes units through the transducer, exact merges for the rest, and remembers them."""
+    """Encodes units through the transducer, exact merges for the rest, and remembers them.
 
-    def __init__(self, vocabulary: Vocabulary, transducer: Transducer, digest: bool):
-        self.vocabulary, self.transducer, self.digest = vocabulary, transducer, digest
+    Without `decode` no decoded texts are made and remembered.
+    """
+
+    def __init__(
+        self, vocabulary: Vocabulary, transducer: Transducer, digest: bool, decode: bool = True
+    ):
+        self.vocabulary, self.transducer = vocabulary, transducer
+        self.digest, self.decode = digest, decode
         #: Ids of each known unit, as decimals joined by spaces or as packed 32-bit integers.
         self.ids: dict[str, str] | dict[str, bytes] = {}
         #: Decoded text of each known unit.
@@ -383,7 +389,9 @@ class Encoder:
         known, plain = self.older
         again = [unit for unit in new if unit in known]
         for unit in again:
-            self.ids[unit], self.plain[unit] = known[unit], plain[unit]
+            self.ids[unit] = known[unit]
+            if self.decode:
+                self.plain[unit] = plain[unit]
         new = new.difference(again)
         parts = {unit: self.vocabulary.words(unit) for unit in new}
         words = list({word for found in parts.values() for word in found})
@@ -392,7 +400,8 @@ class Encoder:
         for unit, found in parts.items():
             ids = ids_of[found[0]] if len(found) == 1 else [i for w in found for i in ids_of[w]]
             self.ids[unit] = " ".join(map(decimal, ids)) if self.digest else array("i", ids).tobytes()
-            self.plain[unit] = " ".join(map(token, ids))
+            if self.decode:
+                self.plain[unit] = " ".join(map(token, ids))
 
     def decoded(self, units: list[str]) -> str:
         return " ".join(map(self.plain.__getitem__, units))
@@ -419,16 +428,16 @@ class Encoder:
         return found
 
 
-_loaded: dict[tuple[str, bool], Encoder] = {}
+_loaded: dict[tuple[str, bool, bool], Encoder] = {}
 
 
-def _encoder(shared, digest: bool) -> Encoder:
+def _encoder(shared, digest: bool, decode: bool) -> Encoder:
     """Encoder of a broadcast (vocabulary, transducer bytes), made once in a process."""
     vocabulary, data = shared.value
-    key = (hashlib.sha256(data).hexdigest(), digest)
+    key = (hashlib.sha256(data).hexdigest(), digest, decode)
     if key not in _loaded:
         _loaded.clear()
-        _loaded[key] = Encoder(vocabulary, Transducer.mapped(data), digest)
+        _loaded[key] = Encoder(vocabulary, Transducer.mapped(data), digest, decode)
     return _loaded[key]
 
 
@@ -448,7 +457,7 @@ def _count_words(shared):
                 names=["word", "n"],
             )
 
-        for batch in batches:
+        for batch in pieces(batches):
             for text in batch.column(0).to_pylist():
                 units.update(vocabulary.units(text))
                 if len(units) > REMEMBERED:
@@ -489,17 +498,15 @@ def lexicon(docs: DataFrame, vocabulary: Vocabulary, size: int = LEXICON_WORDS)
 
 def _encode_batches(shared, names: list[str]):
     def run(batches):
-        digest = "ids_sha256" in names
-        encoder = _encoder(shared, digest)
-        for batch in batches:
-            # Ids take more memory than texts: a few rows at a time.
-            for start in range(0, batch.num_rows, ROWS):
-                part = batch.slice(start, ROWS)
-                column = part.column(0).field("text").to_pylist()
-                texts = [encoder.vocabulary.units(text) for text in column]
-                encoder.learn(set().union(*texts))
-                found = encoder.digests(texts) if digest else encoder.whole(texts, "decoded" in names)
-                yield pa.RecordBatch.from_arrays([part.column(0), *found], names=["row", *names])
+        digest, decode = "ids_sha256" in names, "decoded" in names
+        encoder = _encoder(shared, digest, digest or decode)
+        # Ids take more memory than texts: a few rows at a time.
+        for part in pieces(batches, ROWS):
+            column = part.column(0).field("text").to_pylist()
+            texts = [encoder.vocabulary.units(text) for text in column]
+            encoder.learn(set().union(*texts))
+            found = encoder.digests(texts) if digest else encoder.whole(texts, decode)
+            yield pa.RecordBatch.from_arrays([part.column(0), *found], names=["row", *names])
 
     return run
 

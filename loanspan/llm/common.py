@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import uuid
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -11,6 +12,8 @@ from loanspan.functions.durable import shared_folder
 
 #: White space that separates words, as a character class of Java, RE2 and Python regexes.
 SPACE = r"[\x20\x09-\x0D]"
+#: Rows of a batch that a task turns into Python values at a time.
+PIECE_ROWS = 256
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -77,6 +80,20 @@ def row_key() -> Column:
     return F.xxhash64(F.col("doc_id").cast("bigint"), F.col("text")).alias("row")
 
 
+def pieces(batches, rows: int = PIECE_ROWS):
+    """The rows of all batches, in order, in slices of `rows` rows at most.
+
+    A Spark batch has 10,000 rows however long they are: as Python values, with results of the same
+    size, they would take most of a worker's memory. Memory that Arrow keeps after a batch goes back
+    to the system, since workers live on from stage to stage.
+    """
+    for batch in batches:
+        for start in range(0, batch.num_rows, rows):
+            yield batch.slice(start, rows)
+        del batch
+        pa.default_memory_pool().release_unused()
+
+
 def written(df: DataFrame, partition_by: list[str] | None = None) -> DataFrame:
     """`df` written once as Parquet in the shared folder and read again.
 

@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from loanspan.llm.common import replacing, written
+from loanspan.llm.common import pieces, replacing, written
 
 DIMENSIONS = 4096
 ORDERS = 3
@@ -182,7 +182,7 @@ def fit(counts: np.ndarray, languages: list[str]) -> Model:
 
 
 def _count_batches(batches):
-    for batch in batches:
+    for batch in pieces(batches):
         found = [term_counts(t) for t in batch.column(1).to_pylist()]
         yield pa.RecordBatch.from_arrays(
             [
@@ -243,12 +243,10 @@ def train(docs: DataFrame) -> Model:
 
 def _predictor(model: Model):
     def run(batches):
-        for batch in batches:
+        for batch in pieces(batches):
             texts = batch.column(0).field("text").to_pylist()
-            found = []
-            for i in range(0, len(texts), 256):
-                found += model.predict([term_counts(t) for t in texts[i : i + 256]])
-            language, score, rejected = zip(*found, strict=True) if found else ((), (), ())
+            found = model.predict([term_counts(t) for t in texts])
+            language, score, rejected = zip(*found, strict=True)
             yield pa.RecordBatch.from_arrays(
                 [
                     batch.column(0),

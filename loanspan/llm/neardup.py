@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from loanspan.llm.common import SPACE, row_key, written
+from loanspan.llm.common import SPACE, pieces, row_key, written
 from loanspan.llm.components import components
 from loanspan.llm.shingles import MinHash, WordHashes, set_id, shingle_set, similar
 
@@ -54,7 +54,7 @@ HOME_SHINGLES = 500_000
 def _signatures(n: int, coordinates: int):
     def run(batches):
         known, signature = WordHashes(), MinHash(coordinates)
-        for batch in batches:
+        for batch in pieces(batches):
             ids, sizes, signatures = [], [], []
             for text in batch.column(1).to_pylist():
                 shingles = shingle_set(text, n, known)
@@ -77,7 +77,7 @@ def _signatures(n: int, coordinates: int):
 def _confirmed(n: int, percent: int):
     def run(batches):
         known = WordHashes()
-        for batch in batches:
+        for batch in pieces(batches):
             a, b, text_a, text_b = (c.to_pylist() for c in batch.columns)
             keep = []
             seen: dict[int, np.ndarray] = {}
@@ -198,7 +198,7 @@ def _forest(n: int, percent: int, coordinates: int, matches: int):
                 [pa.array([x[i] for x in links], pa.int64()) for i in (0, 1)], names=["u", "v"]
             )
 
-        for batch in batches:
+        for batch in pieces(batches):
             for row in zip(*[c.to_pylist() for c in batch.columns], strict=True):
                 if row[0] != pair and rows:
                     yield done()

@@ -11,7 +11,7 @@ _STEP = np.uint64(0x9E3779B97F4A7C15)
 class WordHashes(dict):
     """64-bit hash of a word, remembered; emptied when it grows, so memory stays bounded."""
 
-    LIMIT = 500_000
+    LIMIT = 100_000
 
     def __missing__(self, word: bytes) -> int:
         if len(self) >= self.LIMIT:
@@ -51,7 +51,7 @@ def set_id(shingles: np.ndarray) -> int:
 class MinHash:
     """Signature of a set: the least value of each of `size` hash functions, as 32-bit integers."""
 
-    BLOCK = 4096
+    BLOCK = 256
 
     def __init__(self, size: int):
         random = np.random.default_rng(20240607)
