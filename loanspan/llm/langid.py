@@ -280,8 +280,12 @@ def identify(docs: DataFrame, model: Model) -> DataFrame:
 
 def accepted(docs: DataFrame) -> DataFrame:
     """`docs` without those whose language is rejected; the model is trained on `docs`."""
-    found = identify(docs.select("text", F.struct("*").alias("doc")), train(docs))
-    return found.filter("NOT rejected").select("doc.*")
+    # Each text goes to a task once, whatever the columns beside it are called.
+    text = "text" if "text" in docs.columns else next(c for c in docs.columns if c.lower() == "text")
+    own = {c: "text" if c == text else f"__own_{i}" for i, c in enumerate(docs.columns)}
+    frame = docs.select(*[F.col(f"`{c}`").alias(n) for c, n in own.items()])
+    found = identify(frame, train(docs)).filter("NOT rejected")
+    return found.select(*[F.col(n).alias(c) for c, n in own.items()])
 
 
 def query(docs: DataFrame) -> DataFrame:

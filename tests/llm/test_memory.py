@@ -85,3 +85,15 @@ def test_pieces_take_every_row_of_every_batch():
     found = list(common.pieces(iter(batches)))
     assert max(map(len, found)) <= common.PIECE_ROWS
     assert pa.Table.from_batches(found).equals(pa.Table.from_batches(batches))
+
+
+def test_each_text_goes_to_a_task_once(spark):
+    texts = ["the cat and the dog", "le chat et le chien"] * 10
+    rows = [(i, t, "en", 0.5, True) for i, t in enumerate(texts)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, Text string, lang string, SCORE double, rejected boolean")
+    kept = langid.accepted(docs)
+    assert kept.columns == docs.columns
+    plan = kept._jdf.queryExecution().analyzed().toString()
+    struct = next(line for line in plan.split("\n") if "AS row#" in line)
+    assert struct.lower().count("text#") == 1
+    assert set(kept.collect()) <= set(docs.collect())
