@@ -14,6 +14,7 @@ from zlib import crc32
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -193,6 +194,22 @@ def _count_batches(batches):
         )
 
 
+def _learnable(rows: pa.Table) -> tuple[np.ndarray, list[str]]:
+    """Counts and languages of the rows, the same whatever the order of arrival.
+
+    The driver reads them where Arrow holds them, and then gives that memory back.
+    """
+    order = pc.sort_indices(rows, [("lang", "ascending"), ("counts", "ascending")])
+    counts = np.zeros((rows.num_rows, DIMENSIONS), np.float32)
+    found = rows["counts"]
+    for place, i in enumerate(order):
+        counts[place] = np.frombuffer(found[i.as_py()].as_buffer(), np.uint16)
+    languages = rows["lang"].take(order).to_pylist()
+    del rows, found, order
+    pa.default_memory_pool().release_unused()
+    return counts, languages
+
+
 def held_out(doc_id):
     """Documents that no model learns from."""
     return F.coalesce(F.pmod(F.crc32(doc_id.cast("string")), F.lit(3)) == 1, F.lit(False))
@@ -226,19 +243,14 @@ def train(docs: DataFrame) -> Model:
         .withColumn("place", F.row_number().over(by_hash))
         .filter(F.col("place") <= most)
     )
-    rows = (
-        picked.select("lang", "text")
-        .mapInArrow(_count_batches, "lang string, counts binary")
-        .filter("counts IS NOT NULL")
-        .toArrow()
-        .to_pydict()
+    return fit(
+        *_learnable(
+            picked.select("lang", "text")
+            .mapInArrow(_count_batches, "lang string, counts binary")
+            .filter("counts IS NOT NULL")
+            .toArrow()
+        )
     )
-    # The same model whatever the order of arrival.
-    order = sorted(range(len(rows["lang"])), key=lambda i: (rows["lang"][i], rows["counts"][i]))
-    counts = np.zeros((len(order), DIMENSIONS), np.float32)
-    for place, i in enumerate(order):
-        counts[place] = np.frombuffer(rows["counts"][i], np.uint16)
-    return fit(counts, [rows["lang"][i] for i in order])
 
 
 def _predictor(model: Model):

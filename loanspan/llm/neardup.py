@@ -21,15 +21,13 @@ that agree in POSTED_MATCHES of the posted and MATCHES of all coordinates are wa
 
 from __future__ import annotations
 
-from functools import reduce
-
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from loanspan.llm.common import SPACE, pieces, row_key, written
-from loanspan.llm.components import components
+from loanspan.llm.components import components, stars
 from loanspan.llm.shingles import MinHash, WordHashes, set_id, shingle_set, similar
 
 COORDINATES = 128
@@ -460,18 +458,18 @@ def similar_groups(
         .select("a", F.col("m.b").alias("b"))
     )
     checked = written(search.matching(best))
-    links = [search.links(checked)]
-    rooted = written(_rooted(postings, components(links[0])))
+    # Links found later are added to the stars of the components so far.
+    roots = components(search.links(checked))
+    rooted = written(_rooted(postings, roots))
     wide = written(_unresolved(rooted).filter(F.col("held") > SMALL))
     homes = None
     if not wide.isEmpty():
         homes = search.homes(rooted, wide)
-        links.append(search.links_in_blocks(homes))
-        rooted = written(_rooted(postings, components(reduce(DataFrame.union, links))))
+        roots = components(stars(roots).union(search.links_in_blocks(homes)))
+        rooted = written(_rooted(postings, roots))
     narrow = _unresolved(rooted).filter(F.col("held") <= SMALL)
     pairs = _between(search, rooted, narrow, homes).join(checked, ["a", "b"], "left_anti")
-    links.append(search.links(written(search.matching(pairs))))
-    roots = components(reduce(DataFrame.union, links))
+    roots = components(stars(roots).union(search.links(written(search.matching(pairs)))))
     found = roots.withColumnRenamed("node", "sid")
     labelled = search.sets.select("sid", "label").join(found, "sid", "left")
     least = (
