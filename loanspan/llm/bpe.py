@@ -9,6 +9,7 @@ units between white space, so that each distinct unit of a batch is encoded once
 
 from __future__ import annotations
 
+import gc
 import hashlib
 import heapq
 import io
@@ -17,6 +18,7 @@ import tempfile
 import unicodedata
 from array import array
 from collections import Counter
+from contextlib import contextmanager
 from dataclasses import dataclass, field
 from functools import cache
 from itertools import pairwise
@@ -428,6 +430,22 @@ class Encoder:
         return found
 
 
+@contextmanager
+def _uncollected():
+    """Without Python's search for cycles of references.
+
+    Encoding makes none, but so many short lists that they would be gone through again and again;
+    they end with their last reference.
+    """
+    enabled = gc.isenabled()
+    gc.disable()
+    try:
+        yield
+    finally:
+        if enabled:
+            gc.enable()
+
+
 _loaded: dict[tuple[str, bool, bool], Encoder] = {}
 
 
@@ -448,9 +466,10 @@ def _count_words(shared):
 
         def flushed():
             counts: dict[str, int] = {}
-            for unit, n in units.items():
-                for word in vocabulary.words(unit):
-                    counts[word] = counts.get(word, 0) + n
+            with _uncollected():
+                for unit, n in units.items():
+                    for word in vocabulary.words(unit):
+                        counts[word] = counts.get(word, 0) + n
             units.clear()
             return pa.RecordBatch.from_arrays(
                 [pa.array(counts.keys(), pa.string()), pa.array(counts.values(), pa.int64())],
@@ -503,9 +522,10 @@ def _encode_batches(shared, names: list[str]):
         # Ids take more memory than texts: a few rows at a time.
         for part in pieces(batches, ROWS):
             column = part.column(0).field("text").to_pylist()
-            texts = [encoder.vocabulary.units(text) for text in column]
-            encoder.learn(set().union(*texts))
-            found = encoder.digests(texts) if digest else encoder.whole(texts, decode)
+            with _uncollected():
+                texts = [encoder.vocabulary.units(text) for text in column]
+                encoder.learn(set().union(*texts))
+                found = encoder.digests(texts) if digest else encoder.whole(texts, decode)
             yield pa.RecordBatch.from_arrays([part.column(0), *found], names=["row", *names])
 
     return run
