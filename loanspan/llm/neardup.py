@@ -16,7 +16,9 @@ that agree in POSTED_MATCHES of the posted and MATCHES of all coordinates are wa
   pairs of two blocks, confirms those above the threshold and returns links that join components
   only, fewer than it has sets. What is left are pairs of small postings. No link between
   components is lost.
-* Every link is confirmed on the full sets.
+* Every link is confirmed on the full sets. Only texts of sets that have a candidate are shuffled
+  for that, and only those of dropped documents to leave them out: a bitmap of the wanted keys goes
+  to where the texts lie.
 """
 
 from __future__ import annotations
@@ -40,8 +42,12 @@ POSTED_MATCHES = 25
 #: Sets in a block, where there are more than DENSE pairs for each set.
 BLOCK = 1000
 DENSE = 8
-#: Pairs or ids, 24 bytes each, that are broadcast at most to pick texts; more are shuffled.
+#: Pairs or ids, 24 bytes each, that are broadcast at most to pick texts. Of more, a bitmap is.
 BROADCAST_ROWS = 500_000
+#: Bits of a bitmap for each key; one in so many other keys passes it too, and a join sorts it out.
+KEY_BITS = 16
+#: Bits of one value of bitmap_construct_agg.
+BITMAP = 32_768
 #: Sets of the largest posting whose pairs are laid out as rows.
 SMALL = 16
 #: Sets and shingles of a block of a larger posting, on average.
@@ -279,8 +285,7 @@ class _Search:
     def links(self, pairs: DataFrame) -> DataFrame:
         """Links (u, v) among the pairs, confirmed on the full sets.
 
-        Each pair goes to the text of its first set, where the texts lie if the pairs are few
-        enough to broadcast, and then to that of its second set.
+        Each pair goes to the text of its first set and then to that of its second set.
         """
         labels = self.sets.select("sid", "label")
         pairs = written(
@@ -289,23 +294,27 @@ class _Search:
         second = written(
             pairs.select(F.col("b").alias("sid")).distinct().join(labels, "sid")
         )
-        near = lambda df: F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
         if pairs.count() > DENSE * second.count():
-            return self._links_by_block(pairs, near)
-        left = self.docs.join(near(pairs), F.col("doc_id") == F.col("label")).select(
-            "a", "b", F.col("text").alias("text_a")
-        )
-        right = self.docs.join(near(second), F.col("doc_id") == F.col("label")).select(
-            F.col("sid").alias("b"), F.col("text").alias("text_b")
-        )
+            return self._links_by_block(pairs)
+        left = self.texts(pairs).select("a", "b", F.col("text").alias("text_a"))
+        right = self.texts(second).select(F.col("sid").alias("b"), F.col("text").alias("text_b"))
         return written(
             left.join(right, "b")
             .select("a", "b", "text_a", "text_b")
             .mapInArrow(_confirmed(self.n, self.percent), "u bigint, v bigint")
         )
 
-
-    def _links_by_block(self, pairs: DataFrame, near) -> DataFrame:
+    def texts(self, wanted: DataFrame) -> DataFrame:
+        """Rows of `wanted`, which is written, with the texts of the documents of their `label`."""
+        docs = self.docs
+        if wanted.count() <= BROADCAST_ROWS:
+            wanted = F.broadcast(wanted)
+        else:
+            labels = wanted.select(F.col("label").alias("key")).distinct()
+            docs = _listed(docs, "doc_id", labels).filter("listed").drop("listed")
+        return docs.join(wanted, F.col("doc_id") == F.col("label"))
+
+    def _links_by_block(self, pairs: DataFrame) -> DataFrame:
         """Links among many pairs of few sets: sets fall into blocks, each pair of blocks is one
         group, and a text goes once to each group that needs it instead of to each of its pairs."""
         sets = pairs.select(F.col("a").alias("sid")).union(pairs.select(F.col("b").alias("sid")))
@@ -324,9 +333,7 @@ class _Search:
             .distinct()
             .join(self.sets.select("sid", "label"), "sid")
         )
-        texts = self.docs.join(near(needed), F.col("doc_id") == F.col("label")).select(
-            "pa", "pb", "sid", "text"
-        )
+        texts = self.texts(needed).select("pa", "pb", "sid", "text")
         return written(
             placed.groupBy("pa", "pb")
             .cogroup(texts.groupBy("pa", "pb"))
@@ -399,12 +406,9 @@ class _Search:
             .join(self.sets.select("sid", "label"), "sid")
             .select("label", "pair", "sid", "side", "root")
         )
-        small = needed.count() <= BROADCAST_ROWS
-        texts = self.docs.join(
-            F.broadcast(needed) if small else needed, F.col("doc_id") == F.col("label")
-        )
         return written(
-            texts.select("pair", "sid", "side", "root", "text")
+            self.texts(needed)
+            .select("pair", "sid", "side", "root", "text")
             .repartition("pair")
             .sortWithinPartitions("pair")
             .mapInArrow(
@@ -413,6 +417,49 @@ class _Search:
         )
 
 
+def _listed(df: DataFrame, key: str, keys: DataFrame) -> DataFrame:
+    """`df` with `listed`: true where the bigint `key` is one of `keys`, and seldom elsewhere.
+
+    `keys` has distinct values in its one column `key`. They are marked in bitmaps of KEY_BITS bits
+    a key, which are broadcast; no row of `df` is shuffled.
+    """
+    keys = written(keys)
+    blocks = max(1, -(-keys.count() * KEY_BITS // BITMAP))
+    place = F.pmod(F.xxhash64("key", F.lit(11)), F.lit(blocks * BITMAP).cast("bigint"))
+    block = F.shiftright("place", 15)
+    bits = (
+        keys.select(place.alias("place"))
+        .select(block.alias("block"), F.col("place").bitwiseAND(F.lit(BITMAP - 1)).alias("bit"))
+        .repartition("block")
+        .groupBy("block")
+        .agg(F.bitmap_construct_agg("bit").alias("bits"))
+    )
+    byte = F.substring("bits", F.shiftright("place", 3).bitwiseAND(F.lit(BITMAP // 8 - 1)).cast("int") + 1, F.lit(1))
+    value = F.conv(F.hex(byte), 16, 10).cast("int")
+    bit = F.getbit(value, F.col("place").bitwiseAND(F.lit(7)).cast("int"))
+    return (
+        df.withColumn("key", F.col(key))
+        .withColumn("place", place)
+        .withColumn("block", block)
+        .join(F.broadcast(bits), "block", "left")
+        .select(*df.columns, F.coalesce(bit == 1, F.lit(False)).alias("listed"))
+    )
+
+
+def _without(rows: DataFrame, dropped: DataFrame) -> DataFrame:
+    """`rows` whose `row` is not in `dropped`, which is written and has no other column.
+
+    Few dropped keys are broadcast. Of more, a bitmap tells most other rows, which stay where they
+    are; dropped rows and the few that it can't tell from them are shuffled.
+    """
+    if dropped.count() <= BROADCAST_ROWS:
+        return rows.join(F.broadcast(dropped), "row", "left_anti")
+    listed = _listed(rows, "row", dropped.select(F.col("row").alias("key")))
+    told = listed.filter("NOT listed")
+    untold = listed.filter("listed").join(dropped, "row", "left_anti")
+    return told.drop("listed").unionByName(untold.drop("listed"))
+
+
 def _pivoted(members: DataFrame, seed: int) -> DataFrame:
     """Pairs (a, b) of each set and its posting's pivot, with the number of such postings.
 
@@ -579,7 +626,7 @@ def deduplicated(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame:
         F.min(F.struct(F.col("id").isNull().alias("last"), "id", "row")).alias("first")
     )
     dropped = members.join(first, "group").filter("row <> first.row").select("row").distinct()
-    kept = rows.join(dropped, "row", "left_anti")
+    kept = _without(rows, written(dropped))
     # Rows of one key that are repeated; only then texts are shuffled to tell them apart.
     repeated = groups.groupBy("doc_id").count().filter("count > 1")
     if repeated.isEmpty():
